@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebound import config as C
-from rebound.operators.ordered import kth_boundaries, prefix_sums, exact_quantiles
+from rebound.operators.ordered import exact_quantiles, kth_boundaries, prefix_sums, top_k_per_group
 
 
 def _y(label) -> Column:
@@ -262,12 +262,14 @@ def segment_metrics(df: DataFrame, label: str, score: str, threshold=0.5,
         n, ", ".join(f"'{c}', {c}" for c, _ in specs))
     long = df.select(label, score, *[missing_as(c).alias(c) for c, _ in specs]).selectExpr(
         label, score, stack)
-    counts = long.groupBy("segment_column", "segment_value").agg(F.count(F.lit(1)).alias("__rows"))
-    limits = F.create_map(*[x for c, k in specs for x in (F.lit(c), F.lit(k))])
-    w = Window.partitionBy("segment_column").orderBy(F.col("__rows").desc(), F.col("segment_value").asc())
-    top = (counts.withColumn("__rank", F.row_number().over(w))
-           .where((F.col("__rank") <= limits[F.col("segment_column")]) & (F.col("__rows") >= min_support))
-           .select("segment_column", "segment_value"))
+    counts = (long.groupBy("segment_column", "segment_value").agg(F.count(F.lit(1)).alias("__rows"))
+              .withColumn("__neg", -F.col("__rows")))
+    parts = None
+    for c, k in specs:
+        t = top_k_per_group(counts.where(F.col("segment_column") == c), ["segment_column"],
+                            ["__neg", "segment_value"], k)
+        parts = t if parts is None else parts.unionByName(t)
+    top = parts.where(F.col("__rows") >= min_support).select("segment_column", "segment_value")
     # top holds at most sum(N) rows per segment column: bounded broadcast
     kept = long.join(F.broadcast(top), ["segment_column", "segment_value"])
     m = metric_bundle(kept, label, score, threshold, ["segment_column", "segment_value"])

@@ -273,3 +273,26 @@ def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
     return j.select(*[F.col(c) for c in collapsed.columns],
                     *[(F.coalesce(F.sum(c).over(w_in), F.lit(0)) + F.col(f"__o_{c}")).alias(f"{c}_before")
                       for c in sum_cols])
+
+
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
+                    limit: int = 50_000) -> DataFrame:
+    """Rows ranked 1..k per group by ``order_cols`` (ascending; rows must be
+    unique on group + order key, e.g. (-count, value)).
+
+    The rank-k key of every group is found by exact order statistics and the
+    rows are kept by a plain comparison, so no group is ever sorted or
+    gathered in one task, however many distinct rows it has.
+    """
+    group_cols = list(group_cols)
+    counts = group_counts(df, list(order_cols), group_cols)
+    ranks = {g: [min(k, n) - 1] for g, n in counts.items() if n > 0}
+    cut = order_statistics(df, list(order_cols), ranks, group_cols, limit=limit)
+    key = _as_value(list(order_cols))
+    ktype = df.select(key.alias("k")).schema["k"].dataType
+    cond = F.lit(False)
+    for (g, _), v in cut.items():
+        if v is None:
+            continue
+        cond = F.when(_group_condition(group_cols, g), key <= _lit_value(v, ktype)).otherwise(cond)
+    return df.where(cond)

@@ -9,6 +9,7 @@ from rebound.plans.catalog import REGISTRY
 MODULES = [
     "rebound.plans.q_labels",
     "rebound.plans.q_metrics",
+    "rebound.plans.q_drift",
 ]
 
 
