@@ -10,6 +10,7 @@ MODULES = [
     "rebound.plans.q_labels",
     "rebound.plans.q_metrics",
     "rebound.plans.q_drift",
+    "rebound.plans.q_features",
 ]
 
 
