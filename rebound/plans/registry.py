@@ -11,6 +11,7 @@ MODULES = [
     "rebound.plans.q_metrics",
     "rebound.plans.q_drift",
     "rebound.plans.q_features",
+    "rebound.plans.q_profile",
 ]
 
 
