@@ -12,6 +12,7 @@ MODULES = [
     "rebound.plans.q_drift",
     "rebound.plans.q_features",
     "rebound.plans.q_profile",
+    "rebound.plans.q_history",
 ]
 
 
