@@ -167,3 +167,241 @@ def policy_summary(scored: DataFrame, target_col: str = "target_recovered_by_ret
          - F.col("retry_count") * _lit(friction)).alias("realized_net_value_usd"),
         F.coalesce(F.col("__avg_p"), F.lit(0.0)).alias("average_retry_probability"),
     )
+
+
+# ---------------------------------------------------------------- D6 / D7
+def scope_reason(code="response_code", country="merchant_country", vertical="merchant_vertical",
+                 processor="processor_name", amount="amount_usd", amount_cap=C.AMOUNT_CAP_USD,
+                 supported_codes=None, hard_codes=None, countries=None, verticals=None,
+                 processors=None) -> Column:
+    """First failing guard, in order: unknown code, hard decline, country,
+    vertical, processor, amount above the cap; NULL when the row is in scope.
+
+    Vocabularies are literal lists (``isin``) or boolean columns already
+    computed by a join against a vocabulary table (see ``vocabulary_flags``).
+    Country is compared case-insensitively, vertical and processor exactly;
+    a missing / blank categorical passes (the model handles MISSING).
+    """
+    hard_codes = C.HARD_DECLINE_CODES if hard_codes is None else hard_codes
+    supported_codes = (C.HARD_DECLINE_CODES + C.SOFT_DECLINE_CODES) if supported_codes is None else supported_codes
+    cd = normalize_code(F.col(code) if isinstance(code, str) else code)
+
+    def off(col, vocab, upper: bool):
+        if vocab is None:
+            return F.lit(False)
+        v = strip_ws(F.col(col).cast("string"))
+        given = v.isNotNull() & (v != "")
+        if isinstance(vocab, Column):
+            return given & ~F.coalesce(vocab, F.lit(False))
+        vals = [x.upper() for x in vocab] if upper else list(vocab)
+        return given & ~(F.upper(v) if upper else v).isin(*vals)
+
+    amt = to_double(amount)
+    return (F.when(cd.isNull() | ~cd.isin(*supported_codes), F.lit("response_code"))
+            .when(cd.isin(*hard_codes), F.lit("hard_decline"))
+            .when(off(country, countries, True), F.lit("merchant_country"))
+            .when(off(vertical, verticals, False), F.lit("merchant_vertical"))
+            .when(off(processor, processors, False), F.lit("processor_name"))
+            .when(amt.isNotNull() & (amt > F.lit(amount_cap)), F.lit("amount")))
+
+
+def vocabulary_flags(df: DataFrame, vocab: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """J8 for table vocabularies: one ``__in_<col>`` flag per field from a
+    left join with the (feature, value) vocabulary table.  The join side is
+    left to AQE, which broadcasts it only below the measured size threshold."""
+    out = df
+    for col, feature in fields.items():
+        v = (vocab.where(F.col("feature") == feature).select(F.col("value").alias(f"__vv_{col}")).distinct()
+             .withColumn(f"__in_{col}", F.lit(True)))
+        key = strip_ws(F.col(col).cast("string"))
+        if feature == "merchant_country":
+            v = v.withColumn(f"__vv_{col}", F.upper(f"__vv_{col}")).distinct()
+            key = F.upper(key)
+        out = out.withColumn(f"__k_{col}", key).join(v, F.col(f"__k_{col}") == F.col(f"__vv_{col}"), "left") \
+            .drop(f"__k_{col}", f"__vv_{col}")
+    return out
+
+
+def hard_decline_reason(code="response_code") -> Column:
+    """Reason text of a hard-decline code."""
+    cd = normalize_code(F.col(code) if isinstance(code, str) else code)
+    m = F.create_map(*[x for k, v in C.HARD_DECLINE_REASONS.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(m, cd), F.lit(C.HARD_DECLINE_DEFAULT_REASON))
+
+
+# ---------------------------------------------------------------- D8 timing table
+def delay_bucket(hours, grid: Sequence[float] = tuple(C.DELAY_GRID_HOURS)) -> Column:
+    """A retry observed after ``hours`` counts for the largest grid delay <= hours
+    (the first grid point below it)."""
+    h = F.col(hours) if isinstance(hours, str) else hours
+    b = F.lit(float(grid[0]))
+    for d in grid[1:]:
+        b = F.when(h >= F.lit(float(d)), F.lit(float(d))).otherwise(b)
+    return b
+
+
+def fit_timing_table(retries: DataFrame, decline_codes: DataFrame, code_col: str = "response_code",
+                     link: str = "original_transaction_id", id_col: str = "transaction_id",
+                     attempt: str = "retry_attempt_num", hours: str = "hours_since_original",
+                     status: str = "auth_status", smoothing: float = C.TARGET_ENCODING_SMOOTHING,
+                     grid: Sequence[float] = tuple(C.DELAY_GRID_HOURS), weight: str | None = None) -> DataFrame:
+    """D8 (re-derived timing model): smoothed success rate of retries by
+    (decline code, attempt number, delay bucket), shrunk towards the code's
+    overall retry success rate.  One row per (code, attempt) holding the
+    10-point probability array, so scoring is a join plus array arithmetic.
+    ``weight`` names a row-count column when the retries are pre-aggregated.
+    """
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    r = (retries.join(decline_codes.select(F.col(id_col).alias("__id"), F.col(code_col).alias("__code")),
+                      F.col(link) == F.col("__id"))
+         .select("__code", F.col(attempt).alias("__att"), delay_bucket(hours, grid).alias("__d"),
+                 w.alias("__w"), (F.col(status) == "APPROVED").cast("bigint").alias("__ok")))
+    r = r.withColumn("__okw", F.col("__ok") * F.col("__w"))
+    prior = r.groupBy("__code").agg((F.sum("__okw") / F.sum("__w")).alias("__prior"))
+    cells = r.groupBy("__code", "__att", "__d").agg(F.sum("__w").alias("__n"),
+                                                    (F.sum("__okw") / F.sum("__w")).alias("__m"))
+    s = F.lit(float(smoothing))
+    cells = cells.join(prior, "__code").withColumn(
+        "__p", (F.col("__m") * F.col("__n") + F.col("__prior") * s) / (F.col("__n") + s))
+    per = cells.groupBy("__code", "__att", "__prior").agg(
+        F.map_from_entries(F.collect_list(F.struct("__d", "__p"))).alias("__m"))
+    grid_arr = F.array(*[F.lit(float(d)) for d in grid])
+    return per.select(F.col("__code").alias("timing_code"), F.col("__att").alias("timing_attempt"),
+                      F.col("__prior").alias("code_prior"),
+                      F.transform(grid_arr, lambda d: F.coalesce(F.element_at(F.col("__m"), d),
+                                                                 F.col("__prior"))).alias("delay_probs"))
+
+
+def delay_curve(df: DataFrame, timing: DataFrame, code: str = "response_code", attempt=1,
+                amount: str = "amount_usd", fallback=None,
+                grid: Sequence[float] = tuple(C.DELAY_GRID_HOURS)) -> DataFrame:
+    """Attach ``delay_curve`` = array<struct<delay_hours, success_probability,
+    expected_value>> (p rounded to 6, EV to 4) from the timing table; needs the
+    economics columns of :func:`resolve_economics`.  Codes/attempts without a
+    timing row use ``fallback`` (a probability column, default the row score)."""
+    att = F.col(attempt) if isinstance(attempt, str) else F.lit(attempt)
+    t = timing.withColumnRenamed("timing_code", "__tc").withColumnRenamed("timing_attempt", "__ta")
+    j = df.join(t, (F.col(code) == F.col("__tc")) & (att == F.col("__ta")), "left")
+    amt = F.coalesce(to_double(amount), F.lit(0.0))
+    fb = fallback if fallback is not None else F.lit(None).cast("double")
+    grid_arr = F.array(*[F.lit(float(d)) for d in grid])
+    pts = F.transform(grid_arr, lambda d, i: F.struct(
+        d.alias("delay_hours"),
+        F.coalesce(F.element_at(F.col("delay_probs"), i + 1), fb).alias("p")))
+    curve = F.transform(pts, lambda s: F.struct(
+        s["delay_hours"].alias("delay_hours"),
+        _fr(s["p"], 6).alias("success_probability"),
+        _fr(s["p"] * amt * F.col("margin_rate") - F.col("retry_cost_usd") - F.col("friction_cost_usd"), 4)
+        .alias("expected_value")))
+    return j.withColumn("delay_curve", curve).drop("__tc", "__ta", "code_prior", "delay_probs")
+
+
+def best_delay(curve_col: str = "delay_curve") -> Column:
+    """Point with the highest (rounded) EV; the shortest delay wins ties
+    (the grid is ascending and only a strictly larger EV replaces the best)."""
+    c = F.col(curve_col)
+    return F.aggregate(F.slice(c, 2, 100), F.element_at(c, 1),
+                       lambda best, x: F.when(x["expected_value"] > best["expected_value"], x).otherwise(best))
+
+
+def confidence(prob, threshold) -> Column:
+    """round(min(1, |p - t| / 0.5), 4)."""
+    p = F.col(prob) if isinstance(prob, str) else prob
+    t = F.col(threshold) if isinstance(threshold, str) else threshold
+    return _fr(F.least(F.lit(1.0), F.abs(p - t) / F.lit(C.CONFIDENCE_SCALE)), 4)
+
+
+def _fr(c: Column, digits: int) -> Column:
+    s = 10.0 ** digits
+    return F.floor(c * F.lit(s) + F.lit(0.5)) / F.lit(s)
+
+
+def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
+                   economics: C.Economics | None = None, amount_cap: float = C.AMOUNT_CAP_USD,
+                   vocab: dict | None = None, id_col: str = "transaction_id") -> DataFrame:
+    """The full decision per row (D6 -> D2 -> D3 -> D8 -> D9 -> D10 -> D11).
+
+    ``vocab`` maps field -> literal list or flag column name for the scope guard.
+    ``score_col`` is the recoverability score to use (raw or calibrated, T27).
+    Amounts are back-filled before deciding (T11 fix).
+    """
+    vocab = vocab or {}
+    e = resolve_economics(df, economics, vertical_col="merchant_vertical")
+    v = {k: (F.col(x) if isinstance(x, str) else x) for k, x in vocab.items()}
+    reason = scope_reason(amount_cap=amount_cap, countries=v.get("merchant_country"),
+                          verticals=v.get("merchant_vertical"), processors=v.get("processor_name"))
+    e = e.withColumn("scope_reason", reason)
+    p = F.col(score_col)
+    amt = F.coalesce(to_double("amount_usd"), F.lit(0.0))
+    ev = p * amt * F.col("margin_rate") - F.col("retry_cost_usd") - F.col("friction_cost_usd")
+    e = delay_curve(e.withColumn("__ev", ev), timing, attempt=attempt, fallback=p)
+    best = best_delay()
+    ran = F.col("scope_reason").isNull()
+    hard = F.col("scope_reason") == "hard_decline"
+    ev_ok = F.col("__best.expected_value") >= F.col("min_retry_ev_usd")
+    p_ok = F.col("__best.success_probability") >= F.col("decision_threshold")
+    action = (F.when(hard, F.lit(DO_NOT_RETRY)).when(~ran, F.lit(OUT_OF_SCOPE))
+              .when(ev_ok & p_ok, F.lit(RETRY)).otherwise(F.lit(DO_NOT_RETRY)))
+    att = F.col(attempt).cast("string") if isinstance(attempt, str) else F.lit(str(attempt))
+    parts = F.array_compact(F.array(
+        F.when(~p_ok, F.format_string("best-delay success probability %.3f is below decision_threshold %.2f",
+                                      _fr(F.col("__best.success_probability"), 3),
+                                      _fr(F.col("decision_threshold"), 2))),
+        F.when(~ev_ok, F.format_string("best-delay expected value $%.2f is below min_retry_ev_usd $%.2f",
+                                       _fr(F.col("__best.expected_value"), 2),
+                                       _fr(F.col("min_retry_ev_usd"), 2)))))
+    why = F.concat(F.lit("Attempt "), att, F.lit(": "), F.array_join(parts, "; "),
+                   F.lit(". Timing model conditions on attempt_num, so success probability decays as retries "
+                         "accumulate; once it crosses either the probability or EV floor the engine stops."))
+    e = e.withColumn("__best", best).withColumn("recommended_action", action)
+    is_retry = F.col("recommended_action") == RETRY
+    return e.select(
+        id_col, "recommended_action", "scope_reason",
+        F.when(hard, hard_decline_reason()).alias("hard_decline_reason"),
+        F.when(hard, F.lit(0.0)).when(ran, _fr(p, 6)).alias("recoverability_score"),
+        F.when(hard, F.lit(0.0)).when(is_retry, _fr(F.col("__ev"), 4)).alias("expected_value"),
+        F.when(ran, confidence(p, F.col("decision_threshold"))).alias("confidence"),
+        "margin_rate", "decision_threshold",
+        F.when(is_retry, F.col("__best.delay_hours")).alias("recommended_delay_hours"),
+        F.when(is_retry, F.col("__best.success_probability")).alias("recommended_delay_probability"),
+        F.when(is_retry, F.col("__best.expected_value")).alias("recommended_delay_expected_value"),
+        F.when(ran & ~is_retry, why).alias("attempt_decision_reason"),
+        F.when(ran, F.col("delay_curve")).otherwise(F.array().cast(
+            "array<struct<delay_hours:double,success_probability:double,expected_value:double>>"))
+        .alias("delay_curve"))
+
+
+# ---------------------------------------------------------------- D12
+def three_way_action(ev, retry_above: float = 0.50, abandon_below: float = -0.10) -> Column:
+    """Retry when EV > 0.50, abandon when EV < -0.10, else cascade."""
+    e = F.col(ev) if isinstance(ev, str) else ev
+    return (F.when(e > retry_above, F.lit("retry")).when(e < abandon_below, F.lit("abandon"))
+            .otherwise(F.lit("cascade")))
+
+
+# ---------------------------------------------------------------- D16
+def cohort_fallback(df: DataFrame, segment_col: str, model_auc: DataFrame, rules_auc: DataFrame,
+                    model_score: str, rules_score: str, out: str = "policy_score") -> DataFrame:
+    """Use the rules score in segments where the model's AUC is below the
+    rules' AUC (per-segment metric tables are one row per segment)."""
+    m = model_auc.select(F.col("segment_value").alias("__seg"), F.col("auc").alias("__m_auc"))
+    r = rules_auc.select(F.col("segment_value").alias("__seg2"), F.col("auc").alias("__r_auc"))
+    j = (df.join(m, F.col(segment_col) == F.col("__seg"), "left")
+         .join(r, F.col(segment_col) == F.col("__seg2"), "left"))
+    use_rules = F.coalesce(F.col("__m_auc") < F.col("__r_auc"), F.lit(False))
+    return j.withColumn(out, F.when(use_rules, F.col(rules_score)).otherwise(F.col(model_score))) \
+        .withColumn("used_rules", use_rules).drop("__seg", "__seg2", "__m_auc", "__r_auc")
+
+
+# ---------------------------------------------------------------- G12
+def batch_summary(scored: DataFrame, decision: str = "recommended_action", ev: str = "expected_value",
+                  target: str = "target_recovered_by_retry") -> DataFrame:
+    """Retry / skip counts, EV of recommended retries, hindsight recoveries."""
+    r = F.col(decision) == RETRY
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(r).alias("retry_count"),
+        F.count_if(F.col(decision) == DO_NOT_RETRY).alias("do_not_retry_count"),
+        F.count_if(F.col(decision) == OUT_OF_SCOPE).alias("out_of_scope_count"),
+        F.coalesce(F.sum(F.when(r, F.col(ev).cast("decimal(20,4)"))), F.lit(0)).cast("double")
+        .alias("retry_expected_value_usd"),
+        F.count_if(r & F.coalesce(F.col(target), F.lit(False))).alias("hindsight_recoveries"))

@@ -139,3 +139,20 @@ def retry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     return read_table(spark, sf_dir, "events", columns)
+
+
+def retry_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retries pre-aggregated per (order, ship date, attempt, status) with a
+    row-count ``weight``: enough for every per-(code, attempt, delay) rate and
+    immune to a hot order."""
+    li = read_table(spark, sf_dir, "lineitem",
+                    ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"])
+    cells = (li.groupBy(F.col("l_orderkey").alias("original_transaction_id"), F.col("l_shipdate").alias("ship"),
+                        F.col("l_linenumber").alias("retry_attempt_num"),
+                        _retry_status(F.col("l_returnflag"), F.col("l_linestatus")).alias("auth_status"))
+             .agg(F.count(F.lit(1)).alias("weight")))
+    od = _declined_order_dates(spark, sf_dir)
+    return (cells.join(od, cells.original_transaction_id == od.o_orderkey)
+            .where(F.col("ship") >= F.col("o_orderdate"))
+            .select("original_transaction_id", "retry_attempt_num", "auth_status", "weight",
+                    _hours_between(F.col("ship"), F.col("o_orderdate")).alias("hours_since_original")))

@@ -13,6 +13,7 @@ MODULES = [
     "rebound.plans.q_features",
     "rebound.plans.q_profile",
     "rebound.plans.q_history",
+    "rebound.plans.q_decide",
 ]
 
 
