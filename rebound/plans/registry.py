@@ -14,6 +14,7 @@ MODULES = [
     "rebound.plans.q_profile",
     "rebound.plans.q_history",
     "rebound.plans.q_decide",
+    "rebound.plans.q_explain",
 ]
 
 
