@@ -91,7 +91,7 @@ def q_best_net_value_threshold(spark, sf):
     return round_doubles(metrics.best_net_value_threshold(f, ["split"]))
 
 
-def _segment_sql() -> str:
+def segment_ctes() -> list[tuple[str, str]]:
     unions = " UNION ALL ".join(
         f"SELECT '{c}' AS segment_column, coalesce(NULLIF(CAST({c} AS VARCHAR), ''), 'MISSING') AS segment_value, "
         f"y, probability FROM scored WHERE split = 'test'" for c, _ in C.SEGMENT_SPECS)
@@ -106,6 +106,11 @@ SELECT segment_column, segment_value FROM (
 WHERE r <= CASE segment_column {limits} END AND n >= {C.SEGMENT_MIN_SUPPORT}"""),
         ("seg_rows", "SELECT l.* FROM seg_long l JOIN seg_top t USING (segment_column, segment_value)"),
     ]
+    return more
+
+
+def _segment_sql() -> str:
+    more = segment_ctes()
     body = f"""
 SELECT segment_column, segment_value, rows, positives / rows AS positive_rate, auc, precision, recall, f1
 FROM ({bundle_sql('seg_rows', 'segment_column, segment_value', dbl(THRESHOLD))}) AS m"""

@@ -15,6 +15,7 @@ MODULES = [
     "rebound.plans.q_history",
     "rebound.plans.q_decide",
     "rebound.plans.q_explain",
+    "rebound.plans.q_eval",
 ]
 
 
