@@ -9,14 +9,21 @@ from rebound import config as C
 from rebound.operators import chains, decide
 from rebound.plans import fixture as fx
 from rebound.plans.catalog import register, round_doubles, sql_round
+from rebound.plans.memo import memo
+from rebound.session import materialize
 from rebound.plans.sqlbase import ev_sql, rule_probability_sql, ts_text, with_ctes
 
 
-def modeling(spark: SparkSession, sf: str) -> DataFrame:
+def build_modeling(spark: SparkSession, sf: str) -> DataFrame:
     """A2 for the fixture: declines labelled from their retry chains."""
     return chains.label_declines(fx.declines(spark, sf), fx.retry_summary(spark, sf))
 
 
+def modeling(spark: SparkSession, sf: str) -> DataFrame:
+    """The modeling table, materialised once per session (reliable checkpoint)."""
+    return memo(spark, ("modeling", sf), lambda: materialize(build_modeling(spark, sf)))
+
+
 def with_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("rule_probability", decide.rule_probability())
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rebound import config as C
 from rebound.operators import decide, metrics
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
+from rebound.plans.memo import memo
 from rebound.plans.q_labels import modeling
 from rebound.plans.sqlbase import rule_probability_sql, with_ctes
 from rebound.plans.sqlmetrics import bundle_sql, first_best_sql, frontier_sql, sweep_sql
@@ -16,10 +17,13 @@ THRESHOLD = C.OFFLINE_POLICY_THRESHOLD
 
 
 def split_modeling(spark: SparkSession, sf: str) -> DataFrame:
-    """Modeling table + temporal split + rule probability (shared base)."""
-    m = metrics.temporal_split(modeling(spark, sf), "timestamp", "transaction_id")
-    return (m.withColumn("probability", decide.rule_probability())
-            .withColumn("y", F.col("target_recovered_by_retry").cast("int")))
+    """Modeling table + temporal split + rule probability (shared base; the
+    split boundaries are found once per session)."""
+    def build():
+        m = metrics.temporal_split(modeling(spark, sf), "timestamp", "transaction_id")
+        return (m.withColumn("probability", decide.rule_probability())
+                .withColumn("y", F.col("target_recovered_by_retry").cast("int")))
+    return memo(spark, ("split_modeling", sf), build)
 
 
 SPLIT_CTES = [
