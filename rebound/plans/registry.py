@@ -16,6 +16,7 @@ MODULES = [
     "rebound.plans.q_decide",
     "rebound.plans.q_explain",
     "rebound.plans.q_eval",
+    "rebound.plans.q_streams",
 ]
 
 
