@@ -17,6 +17,7 @@ MODULES = [
     "rebound.plans.q_explain",
     "rebound.plans.q_eval",
     "rebound.plans.q_streams",
+    "rebound.plans.q_models",
 ]
 
 
