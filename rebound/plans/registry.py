@@ -18,6 +18,7 @@ MODULES = [
     "rebound.plans.q_eval",
     "rebound.plans.q_streams",
     "rebound.plans.q_models",
+    "rebound.plans.q_misc",
 ]
 
 
