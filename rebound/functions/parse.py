@@ -64,7 +64,7 @@ def to_double(col) -> Column:
 
 def retry_number(col) -> Column:
     """Retry attempt number, unparsable/NULL -> 0, integer."""
-    return F.coalesce(_c(col).cast("string").try_cast("double").cast("int"), F.lit(0))
+    return F.coalesce(to_double(_c(col).cast("string")).try_cast("int"), F.lit(0))
 
 
 def time_features(ts) -> dict[str, Column]:

@@ -120,8 +120,8 @@ def ks(long: DataFrame) -> DataFrame:
     tot = collapsed.groupBy("feature").agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
     cdf = pre.join(F.broadcast(tot), "feature").select(
         "feature", "nb", "nc",
-        ((F.col("b_before") + F.col("b")) / F.col("nb")).alias("fb"),
-        ((F.col("c_before") + F.col("c")) / F.col("nc")).alias("fc"))
+        F.try_divide(F.col("b_before") + F.col("b"), F.col("nb")).alias("fb"),
+        F.try_divide(F.col("c_before") + F.col("c"), F.col("nc")).alias("fc"))
     stat = cdf.groupBy("feature", "nb", "nc").agg(F.max(F.abs(F.col("fb") - F.col("fc"))).alias("ks_stat"))
     ok = (F.col("nb") > 0) & (F.col("nc") > 0)
     return stat.select("feature", F.when(ok, F.col("ks_stat")).alias("ks_stat"),

@@ -157,10 +157,11 @@ def q_promotion_gate(spark, sf):
     e = M.expected_calibration_error(M.calibration_curve(t, "y", "challenger_probability")).withColumn(
         "__k", F.lit(1))
     j = a.join(b, "__k").join(e, "__k")
-    pp = (F.col("r1") + F.col("r2")) / (F.col("n1") + F.col("n2"))
-    z = ((F.col("r2") / F.col("n2") - F.col("r1") / F.col("n1"))
-         / F.sqrt(pp * (F.lit(1) - pp) * (F.lit(1.0) / F.col("n1") + F.lit(1.0) / F.col("n2"))))
-    lift = (F.col("ch_nv") - F.col("champ_nv")) / F.abs(F.col("champ_nv"))
+    pp = F.try_divide(F.col("r1") + F.col("r2"), F.col("n1") + F.col("n2"))
+    z = F.try_divide(F.try_divide(F.col("r2"), F.col("n2")) - F.try_divide(F.col("r1"), F.col("n1")),
+                     F.sqrt(pp * (F.lit(1) - pp) * (F.try_divide(F.lit(1.0), F.col("n1"))
+                                                    + F.try_divide(F.lit(1.0), F.col("n2")))))
+    lift = F.try_divide(F.col("ch_nv") - F.col("champ_nv"), F.abs(F.col("champ_nv")))
     return round_doubles(j.select(
         F.col("champ_nv").alias("champion_net_value_usd"), F.col("ch_nv").alias("challenger_net_value_usd"),
         lift.alias("net_value_lift"), F.col("ece").alias("ece_challenger"), z.alias("z_statistic"),
