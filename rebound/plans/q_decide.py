@@ -217,8 +217,9 @@ def q_recovery_worklist(spark, sf):
                                   F.col("recoverability_score").desc_nulls_last(), "transaction_id"))
 
 
-@register("three_way_actions", sql_round(["ev"], dsql(f"""
-SELECT transaction_id, ev, CASE WHEN ev > 0.5 THEN 'retry' WHEN ev < -0.1 THEN 'abandon' ELSE 'cascade' END AS action,
+@register("three_way_actions", sql_round(["ev", "nv_weighted"], dsql(f"""
+SELECT transaction_id, ev, nv_weighted,
+       CASE WHEN ev > 0.5 THEN 'retry' WHEN ev < -0.1 THEN 'abandon' ELSE 'cascade' END AS action,
        CASE WHEN ev > 0.5 OR ev < -0.1 THEN NULL ELSE (
          SELECT processor_name FROM (
            SELECT processor_name, count(*) FILTER (WHERE auth_status = 'APPROVED') / count(*) AS rate
@@ -226,10 +227,15 @@ SELECT transaction_id, ev, CASE WHEN ev > 0.5 THEN 'retry' WHEN ev < -0.1 THEN '
          ORDER BY rate DESC, processor_name LIMIT 1) END AS cascade_target
 FROM (SELECT transaction_id,
              probability * coalesce(amount_usd, {dbl(0.0)}) * {dbl(C.DEFAULT_MARGIN_RATE)}
-               - {dbl(C.DEFAULT_RETRY_COST_USD)} - {dbl(C.DEFAULT_FRICTION_COST_USD)} AS ev FROM scored) AS s""")),
-          ops=("D12", "D3"))
+               - {dbl(C.DEFAULT_RETRY_COST_USD)} - {dbl(C.DEFAULT_FRICTION_COST_USD)} AS ev,
+             probability * coalesce(amount_usd, {dbl(0.0)}) * {dbl(C.DEFAULT_MARGIN_RATE)}
+               - ({dbl(1.0)} - probability) * ({dbl(C.DEFAULT_RETRY_COST_USD)} + {dbl(C.DEFAULT_FRICTION_COST_USD)})
+               AS nv_weighted FROM scored) AS s""")),
+          ops=("D12", "D3", "D3b"))
 def q_three_way_actions(spark, sf):
-    s = split_modeling(spark, sf).withColumn("ev", D.expected_value("probability", "amount_usd"))
+    s = split_modeling(spark, sf).withColumns({
+        "ev": D.expected_value("probability", "amount_usd"),
+        "nv_weighted": D.net_value_failure_weighted("probability", "amount_usd")})
     o = fx.originals(spark, sf)
     best = (o.groupBy("processor_name").agg((F.count_if(F.col("auth_status") == "APPROVED") / F.count(F.lit(1)))
                                             .alias("rate"))
@@ -237,5 +243,5 @@ def q_three_way_actions(spark, sf):
     # one processor name (top-1 of a per-processor table) becomes a literal
     target = F.lit(best[0]["processor_name"] if best else None).cast("string")
     a = D.three_way_action("ev")
-    return round_doubles(s.select("transaction_id", "ev", a.alias("action"),
+    return round_doubles(s.select("transaction_id", "ev", "nv_weighted", a.alias("action"),
                                   F.when(a == "cascade", target).alias("cascade_target")))

@@ -131,3 +131,43 @@ MEASURES = ["rows", "retry_count", "retry_rate", "recovered_count", "recovered_r
 def q_policy_report(spark, sf):
     ps = D.policy_summary(replay(test_with_scores(spark, sf)))
     return round_doubles(CL.report_table(ps, "policy_replay", "policy", MEASURES))
+
+
+# Fixture binding for payload fields (events as scoring requests):
+# latency_ms = value; amount_usd given for error/purchase events, amount for
+# click events (so the backfill runs both ways); fx_rate = k / 50; fee = value / 100.
+@register("payload_enrichment", sql_round(["latency_ms", "amount_usd", "amount", "fx_rate", "fee_bps"], """
+SELECT event_id, latency_ms,
+       CASE WHEN latency_ms IS NULL THEN NULL WHEN latency_ms < 250 THEN 'fast'
+            WHEN latency_ms < 700 THEN 'medium' ELSE 'slow' END AS latency_bucket,
+       coalesce(amount_usd, amount) AS amount_usd, coalesce(amount, amount_usd) AS amount,
+       fx_rate, CASE WHEN fx_rate IS NOT NULL THEN abs(fx_rate - 1.0) > 1e-9 END AS fx_applied,
+       CASE WHEN amount_usd > 0 AND fee IS NOT NULL THEN fee / amount_usd * 10000.0 END AS fee_bps,
+       CASE WHEN lower(event_type) = 'true' THEN true WHEN lower(event_type) = 'false' THEN false
+            ELSE length(event_type) > 0 END AS event_flag_lenient,
+       CASE WHEN lower(trim(event_type)) IN ('true', '1', 'yes', 'y') THEN true
+            WHEN lower(trim(event_type)) IN ('false', '0', 'no', 'n') THEN false END AS event_flag_strict,
+       coalesce(TRY_CAST(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS INTEGER), 0) AS retry_attempt_num
+FROM (SELECT event_id, event_type, props, CAST(value AS DOUBLE) AS latency_ms,
+             CASE WHEN event_type IN ('error', 'purchase') THEN value END AS amount_usd,
+             CASE WHEN event_type = 'click' THEN value END AS amount,
+             TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50.0 AS fx_rate,
+             value / 100.0 AS fee
+      FROM events) AS e"""), ops=("P1", "P1b", "P4", "P6", "P7", "P8", "P9"))
+def q_payload_enrichment(spark, sf):
+    from rebound.functions import parse as P
+    ev = fx.events(spark, sf, ["event_id", "event_type", "value", "props"])
+    raw = ev.select("event_id", "event_type", "props", F.col("value").cast("double").alias("latency_ms"),
+                    F.when(F.col("event_type").isin("error", "purchase"), F.col("value")).alias("amount_usd"),
+                    F.when(F.col("event_type") == "click", F.col("value")).alias("amount"),
+                    (F.get_json_object("props", "$.k").try_cast("double") / F.lit(50.0)).alias("fx_rate"),
+                    (F.col("value") / F.lit(100.0)).alias("fee"))
+    a_usd, a = P.backfill_amounts("amount_usd", "amount")
+    out = raw.select("event_id", "latency_ms", P.latency_bucket("latency_ms").alias("latency_bucket"),
+                     a_usd.alias("amount_usd"), a.alias("amount"), "fx_rate",
+                     P.fx_applied(F.lit(None).cast("string"), "fx_rate").alias("fx_applied"),
+                     P.fee_bps("fee", "amount_usd").alias("fee_bps"),
+                     P.parse_bool_lenient("event_type").alias("event_flag_lenient"),
+                     P.parse_bool_strict("event_type").alias("event_flag_strict"),
+                     P.retry_number(F.get_json_object("props", "$.k")).alias("retry_attempt_num"))
+    return round_doubles(out)
