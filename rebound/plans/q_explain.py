@@ -102,7 +102,7 @@ def q_explained_top_rows(spark, sf):
     top = (s.orderBy(F.col("explained_score").desc(), "transaction_id").limit(20)
            # a window over the 20 rows kept by the top-k (bounded)
            .withColumn("row_rank", F.row_number().over(
-               Window.orderBy(F.col("explained_score").desc(), "transaction_id"))))
+               Window.orderBy(F.col("explained_score").desc(), "transaction_id")).cast("bigint")))
     e = X.explain(top, "contributions", 5)
     rows = e.select("row_rank", "transaction_id", "explained_score",
                     F.explode("top_explanation_features").alias("x")).select(
