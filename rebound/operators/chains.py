@@ -154,3 +154,28 @@ def semi_flags(declines: DataFrame, retries: DataFrame, id_col: str = "transacti
     """J3 variants: declines with (``left_semi``) or without (``left_anti``) a retry."""
     r = retries.where(_valid_link(retries, link)).select(F.col(link).alias("__link"))
     return declines.join(r, declines[id_col] == r["__link"], how)
+
+
+def lookup_keys(df: DataFrame, requests: DataFrame, key: str, request_key: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose key appears in a request table (a semi join;
+    for a handful of literal keys use ``df.where(F.col(key).isin(...))``)."""
+    rk = request_key or key
+    r = requests.select(F.col(rk).alias("__rk")).distinct()
+    return df.join(r, df[key] == r["__rk"], "left_semi")
+
+
+def code_dimension(spark) -> DataFrame:
+    """The response-code reference table built from the fixed code lists (a
+    table of fixed size, so broadcasting it is bounded)."""
+    from rebound import config as C
+    rows = [(c, "hard", C.HARD_DECLINE_REASONS.get(c)) for c in C.HARD_DECLINE_CODES]
+    rows += [(c, "soft", None) for c in C.SOFT_DECLINE_CODES]
+    return spark.createDataFrame(rows, "code string, code_category string, code_reason string")
+
+
+def enrich_codes(df: DataFrame, code_col: str = "response_code") -> DataFrame:
+    """Decline enrichment by the code reference table (broadcast left join);
+    codes outside the table are 'unknown'."""
+    dim = F.broadcast(code_dimension(df.sparkSession))
+    j = df.join(dim, strip_ws(F.col(code_col)) == F.col("code"), "left")
+    return j.withColumn("code_category", F.coalesce(F.col("code_category"), F.lit("unknown"))).drop("code")

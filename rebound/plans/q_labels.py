@@ -110,3 +110,18 @@ WHERE NOT EXISTS (SELECT 1 FROM retries r WHERE r.original_transaction_id = d.tr
 def q_declines_without_retry(spark, sf):
     return chains.semi_flags(fx.declines(spark, sf), fx.retries(spark, sf),
                              how="left_anti").select("transaction_id", "response_code")
+
+
+def _code_dim_sql() -> str:
+    rows = [f"('{c}', 'hard', '{C.HARD_DECLINE_REASONS[c]}')" for c in C.HARD_DECLINE_CODES]
+    rows += [f"('{c}', 'soft', NULL)" for c in C.SOFT_DECLINE_CODES]
+    return "(VALUES " + ", ".join(rows) + ") AS dim(code, code_category, code_reason)"
+
+
+@register("decline_enrichment", with_ctes(f"""
+SELECT d.transaction_id, d.response_code, coalesce(dim.code_category, 'unknown') AS code_category, dim.code_reason
+FROM declines d LEFT JOIN {_code_dim_sql()} ON trim(d.response_code) = dim.code""", upto="declines"),
+          ops=("J7",))
+def q_decline_enrichment(spark, sf):
+    e = chains.enrich_codes(fx.declines(spark, sf))
+    return e.select("transaction_id", "response_code", "code_category", "code_reason")

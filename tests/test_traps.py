@@ -332,3 +332,12 @@ def test_forbidden_columns_guard(spark):
     from rebound.operators.features import ForbiddenColumnError, guard_forbidden
     with pytest.raises(ForbiddenColumnError):
         guard_forbidden(spark.createDataFrame([(1,)], "PAN int"))
+
+
+def test_key_lookup_and_code_enrichment(spark):
+    df = spark.createDataFrame([(1, "54"), (2, " 51"), (3, "XX")], "transaction_id long, response_code string")
+    req = spark.createDataFrame([(2,), (3,), (3,), (9,)], "id long")
+    assert sorted(r["transaction_id"] for r in chains.lookup_keys(df, req, "transaction_id", "id").collect()) == [2, 3]
+    e = {r["transaction_id"]: r for r in chains.enrich_codes(df).collect()}
+    assert (e[1]["code_category"], e[1]["code_reason"]) == ("hard", C.HARD_DECLINE_REASONS["54"])
+    assert (e[2]["code_category"], e[3]["code_category"]) == ("soft", "unknown")
