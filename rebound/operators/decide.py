@@ -222,6 +222,24 @@ def vocabulary_flags(df: DataFrame, vocab: DataFrame, fields: dict[str, str]) ->
     return out
 
 
+def vocabulary_lists(vocab: DataFrame, fields: dict[str, str], max_size: int = 10_000) -> dict:
+    """J8 for small vocabularies: {field: [values]} when a field's vocabulary
+    has at most ``max_size`` entries (checked with one count per field), else
+    the field is omitted and the caller falls back to ``vocabulary_flags``.
+    Literal lists keep the scope guard a pure expression: no join, no shuffle
+    of the scored table."""
+    sizes = {r["feature"]: r["n"] for r in vocab.where(F.col("feature").isin(*fields.values()))
+             .groupBy("feature").agg(F.count_distinct("value").alias("n")).collect()}
+    out = {}
+    small = [f for f, feat in fields.items() if sizes.get(feat, 0) <= max_size]
+    if small:
+        rows = (vocab.where(F.col("feature").isin(*[fields[f] for f in small]))
+                .select("feature", "value").distinct().collect())
+        for f in small:
+            out[f] = sorted({r["value"] for r in rows if r["feature"] == fields[f] and r["value"] is not None})
+    return out
+
+
 def hard_decline_reason(code="response_code") -> Column:
     """Reason text of a hard-decline code."""
     cd = normalize_code(F.col(code) if isinstance(code, str) else code)
@@ -328,6 +346,7 @@ def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
     vocab = vocab or {}
     e = resolve_economics(df, economics, vertical_col="merchant_vertical")
     v = {k: (F.col(x) if isinstance(x, str) else x) for k, x in vocab.items()}
+    # a literal list arrives as a list; a flag column name as a str
     reason = scope_reason(amount_cap=amount_cap, countries=v.get("merchant_country"),
                           verticals=v.get("merchant_vertical"), processors=v.get("processor_name"))
     e = e.withColumn("scope_reason", reason)

@@ -129,10 +129,14 @@ def ks(long: DataFrame) -> DataFrame:
                                                     F.col("nc").cast("double"))).alias("p_value"))
 
 
-def top_shares(df: DataFrame, features: Sequence[str], sample: str, limit: int = 10) -> DataFrame:
-    """Share of the top-``limit`` categories over all rows (ties by value)."""
-    cat = df.select(*[missing_as(f"`{f}`").alias(f) for f in features])
-    long = unpivot(cat, features, "STRING", sample)
+def top_shares(samples: dict[str, DataFrame], features: Sequence[str], limit: int = 10) -> DataFrame:
+    """Share of the top-``limit`` categories over all rows (ties by value),
+    for every (sample, feature) in one pass."""
+    long = None
+    for name, df in samples.items():
+        cat = df.select(*[missing_as(f"`{f}`").alias(f) for f in features])
+        part = unpivot(cat, features, "STRING", name)
+        long = part if long is None else long.unionByName(part)
     counts = (long.groupBy("sample", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("neg_n", -F.col("n")))
     tot = long.groupBy("sample", "feature").agg(F.count(F.lit(1)).alias("total"))
@@ -145,8 +149,9 @@ def top_shares(df: DataFrame, features: Sequence[str], sample: str, limit: int =
 def jensen_shannon(base: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
     """F4 (+U1): JS divergence of the top-10 shares; a category missing on one
     side gets 1e-6, both sides renormalised, natural log."""
-    b = top_shares(base, features, "base").select("feature", "value", F.col("share").alias("p"))
-    c = top_shares(cur, features, "current").select("feature", "value", F.col("share").alias("q"))
+    sh = top_shares({"base": base, "current": cur}, features)
+    b = sh.where(F.col("sample") == "base").select("feature", "value", F.col("share").alias("p"))
+    c = sh.where(F.col("sample") == "current").select("feature", "value", F.col("share").alias("q"))
     eps = F.lit(C.JS_EPS)
     u = b.join(c, ["feature", "value"], "full_outer").select(
         "feature", F.coalesce("p", eps).alias("p"), F.coalesce("q", eps).alias("q"))

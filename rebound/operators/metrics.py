@@ -264,11 +264,8 @@ def segment_metrics(df: DataFrame, label: str, score: str, threshold=0.5,
         label, score, stack)
     counts = (long.groupBy("segment_column", "segment_value").agg(F.count(F.lit(1)).alias("__rows"))
               .withColumn("__neg", -F.col("__rows")))
-    parts = None
-    for c, k in specs:
-        t = top_k_per_group(counts.where(F.col("segment_column") == c), ["segment_column"],
-                            ["__neg", "segment_value"], k)
-        parts = t if parts is None else parts.unionByName(t)
+    limit = dict(specs)
+    parts = top_k_per_group(counts, ["segment_column"], ["__neg", "segment_value"], lambda g: limit.get(g[0], 0))
     top = parts.where(F.col("__rows") >= min_support).select("segment_column", "segment_value")
     # top holds at most sum(N) rows per segment column: bounded broadcast
     kept = long.join(F.broadcast(top), ["segment_column", "segment_value"])

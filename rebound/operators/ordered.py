@@ -70,12 +70,14 @@ def _group_condition(group_cols, key) -> Column:
 
 def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str] = (),
                      limit: int = 200_000, fanout: int = 64, seed: int = 17,
-                     max_passes: int = 40) -> dict:
+                     max_passes: int = 40, sizes: dict | None = None) -> dict:
     """Exact order statistics.
 
     ``value``: a column name, or a list of names compared lexicographically.
     ``ranks``: {group_key_tuple: [k, ...]} with 0-based ranks among non-NULL
-    values of that group.  Returns {(group_key, k): value}.
+    values of that group.  Returns {(group_key, k): value}.  ``sizes`` (the
+    non-NULL count per group, when the caller has it) saves the first pass's
+    counting job.
     """
     group_cols = list(group_cols)
     v = _as_value(value)
@@ -84,6 +86,7 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
     # open targets: (group, k) -> [lo, hi, below]; interval is (lo, hi], below = #rows <= lo
     state = {(g, k): [None, None, 0] for g, ks in ranks.items() for k in ks}
     out: dict = {}
+    known = dict(sizes) if sizes is not None else None
     for _ in range(max_passes):
         open_t = {t: s for t, s in state.items() if t not in out}
         if not open_t:
@@ -108,9 +111,21 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
         # Open intervals of one group are disjoint or identical (children of
         # disjoint pivot buckets), so each row belongs to at most one.
         cand = base.withColumn("__iv", iv).where(F.col("__iv").isNotNull())
-        sizes = {r["__iv"]: r["n"] for r in cand.groupBy("__iv").agg(F.count(F.lit(1)).alias("n")).collect()}
-        small = [t for t in tagged if sizes.get(t[0], 0) <= limit]
-        large = [t for t in tagged if sizes.get(t[0], 0) > limit]
+        if known is not None and all(lo is None and hi is None for _, _, lo, hi, _ in tagged):
+            n_iv = {idx: known.get(g, 0) for idx, g, _, _, _ in tagged}
+        else:
+            n_iv = {r["__iv"]: r["n"] for r in cand.groupBy("__iv").agg(F.count(F.lit(1)).alias("n")).collect()}
+        known = None
+        # intervals below ``limit`` are collected, but never more than
+        # ``limit`` values in one pass in total; the rest are narrowed further
+        small, large, budget = [], [], limit
+        for t in sorted(tagged, key=lambda t: n_iv.get(t[0], 0)):
+            n_t = n_iv.get(t[0], 0)
+            if n_t <= budget:
+                small.append(t)
+                budget -= n_t
+            else:
+                large.append(t)
         if small:
             ids = [t[0] for t in small]
             got: dict = {}
@@ -129,7 +144,7 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
         # sample pivots from each large interval (bounded: ~4*fanout per interval)
         frac = F.lit(0.0)
         for idx, *_ in large:
-            frac = F.when(F.col("__iv") == idx, F.lit(min(1.0, 4.0 * fanout / sizes[idx]))).otherwise(frac)
+            frac = F.when(F.col("__iv") == idx, F.lit(min(1.0, 4.0 * fanout / n_iv[idx]))).otherwise(frac)
         sample = (cand.where(F.col("__iv").isin([t[0] for t in large]))
                   .where(F.rand(seed) < frac).select("__iv", "__v").collect())
         piv: dict = {}
@@ -210,7 +225,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
             ks.add(int(math.floor(pos)))
             ks.add(int(math.ceil(pos)))
         ranks[g] = sorted(k for k in ks if 0 <= k < n)
-    stats = order_statistics(df, value, ranks, group_cols)
+    stats = order_statistics(df, value, ranks, group_cols, sizes=counts)
     res = {}
     for g, n in counts.items():
         if n == 0:
@@ -275,19 +290,22 @@ def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
                       for c in sum_cols])
 
 
-def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,
                     limit: int = 50_000) -> DataFrame:
     """Rows ranked 1..k per group by ``order_cols`` (ascending; rows must be
-    unique on group + order key, e.g. (-count, value)).
+    unique on group + order key, e.g. (-count, value)).  ``k`` is an int or a
+    function of the group key.
 
     The rank-k key of every group is found by exact order statistics and the
     rows are kept by a plain comparison, so no group is ever sorted or
     gathered in one task, however many distinct rows it has.
     """
     group_cols = list(group_cols)
+    k_of = k if callable(k) else (lambda g: k)
     counts = group_counts(df, list(order_cols), group_cols)
-    ranks = {g: [min(k, n) - 1] for g, n in counts.items() if n > 0}
-    cut = order_statistics(df, list(order_cols), ranks, group_cols, limit=limit)
+    ranks = {g: [min(k_of(g), n) - 1] for g, n in counts.items() if n > 0 and k_of(g) > 0}
+    cut = order_statistics(df, list(order_cols), ranks, group_cols, limit=limit,
+                           sizes={g: counts[g] for g in ranks})
     key = _as_value(list(order_cols))
     ktype = df.select(key.alias("k")).schema["k"].dataType
     cond = F.lit(False)

@@ -10,6 +10,7 @@ from rebound.operators import decide as D
 from rebound.operators import features as FE
 from rebound.plans import fixture as fx
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
+from rebound.plans.memo import memo
 from rebound.plans.q_metrics import split_modeling, split_sql
 
 # The fixture amounts run from 10 to 5,000 USD: a 4,000 cap exercises the guard.
@@ -19,20 +20,27 @@ VOCAB_FIELDS = {"merchant_country": "merchant_country", "merchant_vertical": "me
 FLAGS = {k: f"__in_{k}" for k in VOCAB_FIELDS}
 
 
-def scored_with_vocab(spark: SparkSession, sf: str) -> DataFrame:
+def scored_with_vocab(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Scored rows plus the scope vocabularies learnt from the train window:
+    literal lists when small (size-checked), join flags otherwise."""
     sm = split_modeling(spark, sf)
     vocab = FE.vocabulary(sm.where(F.col("split") == "train"), list(VOCAB_FIELDS))
-    return D.vocabulary_flags(sm, vocab, VOCAB_FIELDS)
+    lists = D.vocabulary_lists(vocab, VOCAB_FIELDS)
+    big = {f: feat for f, feat in VOCAB_FIELDS.items() if f not in lists}
+    if big:
+        sm = D.vocabulary_flags(sm, vocab, big)
+    return sm, {f: (lists[f] if f in lists else FLAGS[f]) for f in VOCAB_FIELDS}
 
 
 def timing(spark: SparkSession, sf: str) -> DataFrame:
-    return D.fit_timing_table(fx.retry_cells(spark, sf), fx.declines(spark, sf), weight="weight")
+    return memo(spark, ("timing", sf), lambda: D.fit_timing_table(
+        fx.retry_cells(spark, sf), fx.declines(spark, sf), weight="weight"))
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    s = scored_with_vocab(spark, sf)
+    s, vocab = scored_with_vocab(spark, sf)
     return D.decision_table(s, "probability", timing(spark, sf), attempt=1,
-                            amount_cap=FIXTURE_AMOUNT_CAP, vocab=FLAGS)
+                            amount_cap=FIXTURE_AMOUNT_CAP, vocab=vocab)
 
 
 # ---------------------------------------------------------------- SQL
