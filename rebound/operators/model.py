@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
@@ -155,20 +153,6 @@ def extract_trees(model: PipelineModel) -> tuple[list[list[dict]], list[float]]:
     return trees, [float(w) for w in gbt.treeWeights]
 
 
-def _path_contrib(nodes: list[dict], x: np.ndarray, out: np.ndarray, w: float) -> float:
-    i = 0
-    bias = nodes[0]["pred"] * w
-    while not nodes[i]["leaf"]:
-        n = nodes[i]
-        v = x[n["feat"]]
-        kind, arg = n["rule"]
-        go_left = (v <= arg) if kind == "le" else (v in arg)
-        j = n["l"] if go_left else n["r"]
-        out[n["feat"]] += (nodes[j]["pred"] - n["pred"]) * w
-        i = j
-    return bias
-
-
 def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
     """X1 for trees: per-row path contributions (the change of node value
     along the decision path, credited to the split feature, summed over trees
@@ -185,6 +169,23 @@ def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str]
     n_feat = len(names)
 
     def run(batches):
+        # self-contained (pickled by value): executors need numpy/pandas only
+        import numpy as np
+        import pandas as pd
+
+        def path_contrib(nodes, x, out, w):
+            i = 0
+            bias = nodes[0]["pred"] * w
+            while not nodes[i]["leaf"]:
+                n = nodes[i]
+                v = x[n["feat"]]
+                kind, arg = n["rule"]
+                go_left = (v <= arg) if kind == "le" else (v in arg)
+                j = n["l"] if go_left else n["r"]
+                out[n["feat"]] += (nodes[j]["pred"] - n["pred"]) * w
+                i = j
+            return bias
+
         tr, ws = b.value
         for pdf in batches:
             contribs, biases, margins = [], [], []
@@ -193,7 +194,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str]
                 c = np.zeros(n_feat)
                 bias = 0.0
                 for nodes, w in zip(tr, ws):
-                    bias += _path_contrib(nodes, xv, c, w)
+                    bias += path_contrib(nodes, xv, c, w)
                 contribs.append(c.tolist())
                 biases.append(bias)
                 margins.append(bias + float(c.sum()))
