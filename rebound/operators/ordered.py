@@ -68,6 +68,22 @@ def _group_condition(group_cols, key) -> Column:
     return cond
 
 
+def count_below(arr: Column, v: Column, n: int) -> Column:
+    """Number of elements of the sorted array ``arr`` (length ``n``) that are
+    strictly below ``v``: a binary search in ceil(log2(n + 1)) steps."""
+    steps = max(1, math.ceil(math.log2(n + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.element_at(arr, mid + 1) < v
+        moved = F.when(below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))) \
+            .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(acc["lo"] < acc["hi"], moved).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str] = (),
                      limit: int = 200_000, fanout: int = 64, seed: int = 17,
                      max_passes: int = 40, sizes: dict | None = None) -> dict:
@@ -261,7 +277,7 @@ def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
     """
     group_cols = list(group_cols)
     n_rows = collapsed.count()
-    p = max(1, min(4096, math.ceil(n_rows / rows_per_bucket)))
+    p = max(1, min(1024, math.ceil(n_rows / rows_per_bucket)))
     if p <= 1:
         bucketed = collapsed.withColumn("__b", F.lit(0))
     else:
@@ -269,13 +285,16 @@ def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
         cuts = (collapsed.groupBy(*group_cols)
                 .agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("cuts"))
                 .collect())
-        expr = F.lit(None).cast("array<double>")
+        b = F.lit(0)
         for r in cuts:
             key = _group_key(r, group_cols)
-            arr = F.array(*[F.lit(float(c)) for c in sorted(set(r["cuts"] or []))])
-            expr = F.when(_group_condition(group_cols, key), arr).otherwise(expr)
-        bucketed = collapsed.withColumn(
-            "__b", F.coalesce(F.size(F.filter(expr, lambda c: c < F.col(value).cast("double"))), F.lit(0)))
+            cs = sorted(set(r["cuts"] or []))
+            if not cs:
+                continue
+            arr = F.array(*[F.lit(float(c)) for c in cs])
+            b = F.when(_group_condition(group_cols, key),
+                       count_below(arr, F.col(value).cast("double"), len(cs))).otherwise(b)
+        bucketed = collapsed.withColumn("__b", b)
     totals = bucketed.groupBy(*group_cols, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "__b",

@@ -54,7 +54,7 @@ def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 
 def top_k_cosine(candidates: DataFrame, queries: DataFrame, cand_id: str, cand_vec: str, query_id: str,
-                 query_vec: str, k: int = 5, where: Column | None = None, max_queries: int = 100_000,
+                 query_vec: str, k: int = 5, where: Column | None = None, max_queries: int = 4096,
                  batch: int = 256) -> DataFrame:
     """Q5: exact top-K cosine neighbours per query, with an optional metadata
     filter applied to the candidates before scoring (pushed to the scan).
