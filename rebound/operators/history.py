@@ -4,13 +4,14 @@ A window partitioned by the entity key alone would put a hot merchant (a
 third of all rows) into one task.  Two layouts avoid that:
 
 * cumulative history (W5, W6, W7): rows are first aggregated per
-  (key, day); a window over *days* per key (bounded by the calendar) gives
-  everything before the current day, and a window partitioned by
-  (key, day) adds the earlier rows of the same day;
-* bounded look-back (W6b, W10, S2): each row is also copied into the next
+  (key, hour); a window over the key's *active hours* (bounded by the
+  calendar) gives everything before the current hour, and a window
+  partitioned by (key, hour) adds the earlier rows of the same hour;
+* bounded look-back counts (W10): each row is also copied into the next
   time bucket, so a window partitioned by (key, bucket) with a RANGE frame
   sees every row of the look-back interval.  Rows appear at most twice and no
-  pairs are formed.
+  pairs are formed;
+* dedup (S2 twin): the key's previous event time, by the two-level layout.
 """
 
 from __future__ import annotations
@@ -27,16 +28,23 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def _day(ts: str) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / F.lit(DAY_SECONDS))
+def _day(ts: str, seconds: int = DAY_SECONDS) -> Column:
+    """Time bucket index (``seconds`` wide, default one day)."""
+    return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
+
+
+HOUR_SECONDS = 3600
 
 
 # ---------------------------------------------------------------- W5
-def sequence_features(df: DataFrame, key: str, ts: str, id_col: str, code: str | None = None) -> DataFrame:
+def sequence_features(df: DataFrame, key: str, ts: str, id_col: str, code: str | None = None,
+                      bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
     """Attempt number, minutes since the previous attempt, hours since the
     first attempt and whether the decline code changed, per key ordered by
-    (ts, id).  Exact equivalent of a window over the whole key."""
-    d = df.withColumn("__day", _day(ts))
+    (ts, id).  Exact equivalent of a window over the whole key; a hot key is
+    split into ``bucket_seconds`` buckets (the per-key window runs over its
+    active buckets, the per-bucket window over one bucket's rows)."""
+    d = df.withColumn("__day", _day(ts, bucket_seconds))
     prev_cols = [F.col(ts).alias("t"), F.col(id_col).alias("i")]
     if code:
         prev_cols.append(F.col(code).alias("c"))
@@ -68,10 +76,12 @@ def sequence_features(df: DataFrame, key: str, ts: str, id_col: str, code: str |
 
 
 # ---------------------------------------------------------------- W6 / W7
-def history_before(events: DataFrame, key: str, ts: str, sums: dict[str, Column]) -> DataFrame:
+def history_before(events: DataFrame, key: str, ts: str, sums: dict[str, Column],
+                   bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
     """Per event: sums of ``sums`` over events of the same key with a strictly
-    earlier timestamp (columns ``<name>_before``)."""
-    d = events.withColumn("__day", _day(ts)).withColumn("__us", _micros(ts))
+    earlier timestamp (columns ``<name>_before``); two-level over
+    ``bucket_seconds`` buckets, exact."""
+    d = events.withColumn("__day", _day(ts, bucket_seconds)).withColumn("__us", _micros(ts))
     for n, e in sums.items():
         d = d.withColumn(f"__v_{n}", e)
     per_day = d.groupBy(key, "__day").agg(*[F.sum(f"__v_{n}").alias(f"__d_{n}") for n in sums])
@@ -140,25 +150,51 @@ def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: in
                               F.count_if(F.col("lookback_value") > limit).alias("breaches"))
 
 
+def previous_time(events: DataFrame, key: Sequence[str], ts: str,
+                  bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
+    """Per row: microseconds of the key's latest strictly earlier event
+    (``__prev_us``, NULL for the first), two-level over hour buckets."""
+    key = list(key)
+    d = events.withColumn("__b", _day(ts, bucket_seconds)).withColumn("__us", _micros(ts))
+    per_b = d.groupBy(*key, "__b").agg(F.max("__us").alias("__mx"))
+    wb = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    prev_b = per_b.select(*key, "__b", F.max("__mx").over(wb).alias("__pb"))
+    wi = Window.partitionBy(*key, "__b").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    j = d.join(prev_b, [*key, "__b"])
+    return j.withColumn("__prev_us", F.coalesce(F.max("__us").over(wi), F.col("__pb"))).drop("__b", "__pb")
+
+
 def dedup_within(events: DataFrame, key: Sequence[str], ts: str, horizon_s: int = DAY_SECONDS) -> DataFrame:
     """S2 batch twin: drop a row when the same key occurred in the preceding
-    horizon, [t - horizon, t).  Equal to the stream's first-wins dedup for
-    keys whose repeats lie inside the horizon (T26)."""
-    c = lookback_counts(events, key, ts, horizon_s * 1_000_000, include_current=False)
-    return c.where(F.coalesce(F.col("lookback_value"), F.lit(0)) == 0).drop("lookback_value")
+    horizon, [t - horizon, t) -- i.e. when the key's previous strictly earlier
+    event is at most ``horizon`` back.  Equal to the stream's first-wins
+    dedup for keys whose repeats lie inside the horizon (T26)."""
+    p = previous_time(events, key, ts)
+    keep = F.col("__prev_us").isNull() | (F.col("__prev_us") < F.col("__us") - F.lit(horizon_s * 1_000_000))
+    return p.where(keep).drop("__us", "__prev_us")
 
 
 def trailing_rate(attempts: DataFrame, key: str, ts: str, days: int, declined: Column) -> DataFrame:
     """Decline rate of the key over the ``days`` calendar days before the
-    row's day plus the earlier rows of the same day."""
-    d = attempts.withColumn("__day", _day(ts)).withColumn("__dec", declined.cast("bigint"))
-    per_day = d.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__n"), F.sum("__dec").alias("__k"))
+    row's day plus the earlier rows of the same day.
+
+    Three levels, so a hot key is split by hour: a window over the key's days
+    (RANGE of ``days``), a window over the earlier hours of the same day (at
+    most 24 rows) and a window over the earlier rows of the same hour.
+    """
+    d = (attempts.withColumn("__day", _day(ts)).withColumn("__hr", _day(ts, HOUR_SECONDS))
+         .withColumn("__us", _micros(ts)).withColumn("__dec", declined.cast("bigint")))
+    per_hour = d.groupBy(key, "__day", "__hr").agg(F.count(F.lit(1)).alias("__hn"), F.sum("__dec").alias("__hk"))
+    per_day = per_hour.groupBy(key, "__day").agg(F.sum("__hn").alias("__n"), F.sum("__hk").alias("__k"))
     wd = Window.partitionBy(key).orderBy("__day").rangeBetween(-days, -1)
     days_t = per_day.select(key, "__day", F.coalesce(F.sum("__n").over(wd), F.lit(0)).alias("__on"),
                             F.coalesce(F.sum("__k").over(wd), F.lit(0)).alias("__ok"))
-    wi = Window.partitionBy(key, "__day").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
-    j = d.withColumn("__us", _micros(ts)).join(days_t, [key, "__day"])
-    n = F.col("__on") + F.coalesce(F.count(F.lit(1)).over(wi), F.lit(0))
-    k = F.col("__ok") + F.coalesce(F.sum("__dec").over(wi), F.lit(0))
+    wh = Window.partitionBy(key, "__day").orderBy("__hr").rowsBetween(Window.unboundedPreceding, -1)
+    hours_t = per_hour.select(key, "__hr", F.coalesce(F.sum("__hn").over(wh), F.lit(0)).alias("__hn0"),
+                              F.coalesce(F.sum("__hk").over(wh), F.lit(0)).alias("__hk0"))
+    wi = Window.partitionBy(key, "__hr").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
+    j = d.join(days_t, [key, "__day"]).join(hours_t, [key, "__hr"])
+    n = F.col("__on") + F.col("__hn0") + F.coalesce(F.count(F.lit(1)).over(wi), F.lit(0))
+    k = F.col("__ok") + F.col("__hk0") + F.coalesce(F.sum("__dec").over(wi), F.lit(0))
     return j.select(*attempts.columns, n.alias(f"prior_{days}d_attempts"),
                     F.when(n > 0, k / n).alias(f"prior_{days}d_decline_rate"))

@@ -16,16 +16,27 @@ def _dir(name):
 
 
 def test_dedup_stream_equals_batch_twin(spark):
+    """Events arrive in event-time order (one file per trigger): the stream
+    keeps the first arrival per key, the twin the first by time."""
+    import time
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, "u1", t0), (2, "u1", t0 + dt.timedelta(hours=3)), (3, "u2", t0 + dt.timedelta(hours=1)),
-            (4, "u2", t0 + dt.timedelta(hours=20)), (5, "u3", t0 + dt.timedelta(hours=2))]
+    rows = [(1, "u1", t0), (3, "u2", t0 + dt.timedelta(hours=1)), (5, "u3", t0 + dt.timedelta(hours=2)),
+            (2, "u1", t0 + dt.timedelta(hours=3)), (4, "u2", t0 + dt.timedelta(hours=20))]
     src = _dir("dedup-src")
-    spark.createDataFrame(rows, "id long, k string, ts timestamp").write.mode("overwrite").parquet(src)
-    stream = S.read_stream(spark, src, spark.read.parquet(src).schema)
+    schema = "id long, k string, ts timestamp"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/f{i:02d}")
+        time.sleep(0.05)
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(src) for f in fs if f.endswith(".parquet"))
+    flat = _dir("dedup-flat")
+    for i, f in enumerate(files):
+        os.link(f, os.path.join(flat, f"part-{i:02d}.parquet"))
+        os.utime(os.path.join(flat, f"part-{i:02d}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = S.read_stream(spark, flat, spark.read.parquet(flat).schema, max_files_per_trigger=1)
     out, ck = _dir("dedup-out"), _dir("dedup-ck")
     S.write_stream(S.dedup_stream(stream, ["k"], "ts"), out, ck).awaitTermination()
     got = sorted(r["id"] for r in spark.read.parquet(out).collect())
-    twin = sorted(r["id"] for r in history.dedup_within(spark.read.parquet(src), ["k"], "ts").collect())
+    twin = sorted(r["id"] for r in history.dedup_within(spark.read.parquet(flat), ["k"], "ts").collect())
     assert got == twin == [1, 3, 5]
 
 

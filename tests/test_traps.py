@@ -341,3 +341,15 @@ def test_key_lookup_and_code_enrichment(spark):
     e = {r["transaction_id"]: r for r in chains.enrich_codes(df).collect()}
     assert (e[1]["code_category"], e[1]["code_reason"]) == ("hard", C.HARD_DECLINE_REASONS["54"])
     assert (e[2]["code_category"], e[3]["code_category"]) == ("soft", "unknown")
+
+
+def test_trailing_rate_days_and_same_day(spark):
+    t0 = dt.datetime(2024, 1, 10, 5)
+    rows = [(1, "k", t0, True), (2, "k", t0 + dt.timedelta(hours=3), False),
+            (3, "k", t0 + dt.timedelta(hours=3, minutes=5), True), (4, "k", t0 - dt.timedelta(days=2), True),
+            (5, "k", t0 - dt.timedelta(days=40), True), (6, "k", t0 + dt.timedelta(days=1), False)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, dec boolean")
+    r = {x["id"]: (x["prior_30d_attempts"], x["prior_30d_decline_rate"])
+         for x in history.trailing_rate(df, "key", "ts", 30, F.col("dec")).collect()}
+    assert r[1] == (1, 1.0) and r[2] == (2, 1.0) and r[3] == (3, pytest.approx(2 / 3))
+    assert r[6] == (4, 0.75) and r[5] == (0, None)
