@@ -7,10 +7,10 @@ third of all rows) into one task.  Two layouts avoid that:
   (key, hour); a window over the key's *active hours* (bounded by the
   calendar) gives everything before the current hour, and a window
   partitioned by (key, hour) adds the earlier rows of the same hour;
-* bounded look-back counts (W10): each row is also copied into the next
-  time bucket, so a window partitioned by (key, bucket) with a RANGE frame
-  sees every row of the look-back interval.  Rows appear at most twice and no
-  pairs are formed;
+* bounded look-back counts (W10): C(t) - C(t - lookback) from the two-level
+  cumulative count, with a probe row at t - lookback (``trailing_counts``);
+  ``lookback_counts`` (bucket copies + RANGE frame) is the simpler variant
+  for keys that are not hot within one look-back period;
 * dedup (S2 twin): the key's previous event time, by the two-level layout.
 """
 
@@ -142,9 +142,36 @@ def lookback_counts(events: DataFrame, key: Sequence[str], ts: str, lookback_us:
     return counted.where("__own").drop("__us", "__val", "__b", "__own", "__bucket")
 
 
-def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60) -> DataFrame:
+def trailing_counts(events: DataFrame, key: Sequence[str], ts: str, id_col: str, lookback_us: int,
+                    bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
+    """Per row: number of same-key rows with time in (t - lookback, t].
+
+    count = C(t) - C(t - lookback), with C(x) the key's cumulative count of
+    rows at or before x.  C is two-level (hour buckets, then rows of the
+    hour); C(t - lookback) is read off a probe row placed at t - lookback.
+    Exact, 2x rows, and a hot key is split by hour.
+    """
+    key = list(key)
+    us = _micros(ts)
+    real = events.select(*key, F.col(id_col).alias("__id"), us.alias("__us"), F.lit(1).alias("__real"))
+    probe = events.select(*key, F.col(id_col).alias("__id"), (us - F.lit(lookback_us)).alias("__us"),
+                          F.lit(0).alias("__real"))
+    u = real.unionByName(probe).withColumn("__b", F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)))
+    per_b = u.groupBy(*key, "__b").agg(F.sum("__real").alias("__n"))
+    wb = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.select(*key, "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
+    wi = Window.partitionBy(*key, "__b").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+    c = u.join(off, [*key, "__b"]).withColumn("__c", F.col("__off") + F.sum("__real").over(wi))
+    now = c.where(F.col("__real") == 1).select("__id", F.col("__c").alias("__now"))
+    before = c.where(F.col("__real") == 0).select("__id", F.col("__c").alias("__before"))
+    n = now.join(before, "__id").select("__id", (F.col("__now") - F.col("__before")).alias("lookback_value"))
+    return events.join(n, events[id_col] == n["__id"]).drop("__id")
+
+
+def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60,
+                  id_col: str = "event_id") -> DataFrame:
     """Requests per key in the trailing (t - 60 s, t]; breaches of the limit."""
-    c = lookback_counts(events, [key], ts, window_s * 1_000_000)
+    c = trailing_counts(events, [key], ts, id_col, window_s * 1_000_000)
     return c.groupBy(key).agg(F.count(F.lit(1)).alias("requests"),
                               F.max("lookback_value").cast("bigint").alias("max_in_window"),
                               F.count_if(F.col("lookback_value") > limit).alias("breaches"))

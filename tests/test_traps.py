@@ -353,3 +353,17 @@ def test_trailing_rate_days_and_same_day(spark):
          for x in history.trailing_rate(df, "key", "ts", 30, F.col("dec")).collect()}
     assert r[1] == (1, 1.0) and r[2] == (2, 1.0) and r[3] == (3, pytest.approx(2 / 3))
     assert r[6] == (4, 0.75) and r[5] == (0, None)
+
+
+def test_trailing_counts_match_lookback(spark):
+    import random
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice("ab"), t0 + dt.timedelta(seconds=rnd.choice([0, 30, 60, 61, 119, 120, 3599, 3600, 3650])
+                                                     + 120 * (i % 7))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    a = {r["id"]: r["lookback_value"] for r in history.trailing_counts(df, ["k"], "ts", "id", 60_000_000).collect()}
+    b = {r["id"]: r["lookback_value"] for r in history.lookback_counts(df, ["k"], "ts", 60_000_000).collect()}
+    brute = {i: sum(1 for j, k2, t2 in rows if k2 == k and t - dt.timedelta(seconds=60) < t2 <= t)
+             for i, k, t in rows}
+    assert a == b == brute
