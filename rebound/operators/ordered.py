@@ -27,9 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NULL_GROUP = "__all__"
-
-
 def _group_key(row, group_cols) -> tuple:
     return tuple(row[g] for g in group_cols)
 

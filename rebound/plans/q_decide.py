@@ -38,9 +38,11 @@ def timing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
-    s, vocab = scored_with_vocab(spark, sf)
-    return D.decision_table(s, "probability", timing(spark, sf), attempt=1,
-                            amount_cap=FIXTURE_AMOUNT_CAP, vocab=vocab)
+    def build():
+        s, vocab = scored_with_vocab(spark, sf)
+        return D.decision_table(s, "probability", timing(spark, sf), attempt=1,
+                                amount_cap=FIXTURE_AMOUNT_CAP, vocab=vocab)
+    return memo(spark, ("decisions", sf), build)
 
 
 # ---------------------------------------------------------------- SQL

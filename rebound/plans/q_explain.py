@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rebound.operators import explain as X
 from rebound.operators import features as FE
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
+from rebound.plans.memo import memo
 from rebound.plans.q_metrics import split_modeling, split_sql
 
 SC_FEATURES = ["merchant_vertical", "merchant_country", "processor_name", "response_code"]
@@ -20,6 +21,10 @@ TOP_N = 3
 
 
 def scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    return memo(spark, ("scorecard", sf), lambda: _scorecard(spark, sf))
+
+
+def _scorecard(spark: SparkSession, sf: str) -> DataFrame:
     sm = split_modeling(spark, sf)
     enc, g = FE.fit_target_encoding(sm.where(F.col("split") == "train"), SC_FEATURES, "y")
     test = FE.apply_target_encoding(sm.where(F.col("split") == "test"), enc, SC_FEATURES, g)

@@ -9,6 +9,7 @@ from rebound import config as C
 from rebound.functions.parse import time_features
 from rebound.operators import features as FE
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
+from rebound.plans.memo import memo
 from rebound.plans.q_metrics import split_modeling, split_sql
 
 TE_COLS = ["merchant_vertical", "merchant_country"]
@@ -43,7 +44,11 @@ SELECT *, champion_probability - challenger_probability AS probability_delta,
 
 def challenger(spark: SparkSession, sf: str) -> DataFrame:
     """Challenger: mean of smoothed target encodings of vertical and country,
-    fitted on the train window, scored on the test window."""
+    fitted on the train window, scored on the test window (once per session)."""
+    return memo(spark, ("challenger", sf), lambda: _challenger(spark, sf))
+
+
+def _challenger(spark: SparkSession, sf: str) -> DataFrame:
     sm = split_modeling(spark, sf)
     enc, g = FE.fit_target_encoding(sm.where(F.col("split") == "train"), TE_COLS, "y")
     test = FE.apply_target_encoding(sm.where(F.col("split") == "test"), enc, TE_COLS, g)
