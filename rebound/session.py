@@ -65,7 +65,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
     Used where a plan is read by several later jobs and recomputation after an
-    executor loss must give identical rows (never ``localCheckpoint``).
+    executor loss must give identical rows (never ``localCheckpoint``).  The
+    plan is persisted while the checkpoint is written, so the checkpoint job
+    reads the cached blocks instead of computing the plan a second time.
     """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist(blocking=False)
