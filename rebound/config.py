@@ -127,11 +127,11 @@ IDENTIFIER_COLUMNS = [
 
 
 def threshold_grid() -> list[float]:
-    """The 46 thresholds 0.05, 0.06, ... 0.50 (linspace semantics, stored once).
-
-    Rounded to 2 decimals so the same literals are shared with SQL oracles.
-    """
-    return [round(0.05 + i * 0.01, 2) for i in range(46)]
+    """The 46 thresholds of ``linspace(0.05, 0.50, 46)`` as exact doubles
+    (e.g. 0.060000000000000005), so comparisons at grid points behave like the
+    reference's; the same literals are shared with the SQL oracles (T7)."""
+    import numpy as np
+    return [float(x) for x in np.linspace(0.05, 0.50, 46)]
 
 
 @dataclass(frozen=True)

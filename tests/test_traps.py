@@ -367,3 +367,12 @@ def test_trailing_counts_match_lookback(spark):
     brute = {i: sum(1 for j, k2, t2 in rows if k2 == k and t - dt.timedelta(seconds=60) < t2 <= t)
              for i, k, t in rows}
     assert a == b == brute
+
+
+def test_grid_uses_linspace_doubles(spark):
+    from rebound import config as C
+    g = C.threshold_grid()
+    assert g[1] == 0.060000000000000005 and g[0] == 0.05 and g[-1] == 0.5
+    df = spark.createDataFrame([(1, 0.06)], "y int, p double")
+    sw = {r["threshold"]: r for r in metrics.threshold_sweep(df, "y", "p").collect()}
+    assert sw[g[1]]["tp"] == 0                                        # 0.06 < 0.060000000000000005 (T7)
