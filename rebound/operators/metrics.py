@@ -213,8 +213,12 @@ def calibration_curve(df: DataFrame, label: str, score: str, buckets: int = 10)
     """M7: equal-frequency buckets from exact quantile edges with duplicates
     dropped; right-closed, lowest edge included (T10).  Also the bucket's
     weight, so M8 (expected calibration error) is a sum over this table."""
-    probs = [i / buckets for i in range(buckets + 1)]
-    q = exact_quantiles(df, score, probs).get(())
+    from rebound.operators.ordered import group_counts
+    counts = group_counts(df, score)
+    n = counts.get((), 0)
+    q_n = max(1, min(buckets, n))                 # fewer rows than buckets: one per row
+    probs = [i / q_n for i in range(q_n + 1)]
+    q = exact_quantiles(df, score, probs, counts=counts).get(()) if n else None
     spark = df.sparkSession
     if not q:
         return spark.createDataFrame([], "bucket int, lower double, upper double, rows bigint, "

@@ -376,3 +376,11 @@ def test_grid_uses_linspace_doubles(spark):
     df = spark.createDataFrame([(1, 0.06)], "y int, p double")
     sw = {r["threshold"]: r for r in metrics.threshold_sweep(df, "y", "p").collect()}
     assert sw[g[1]]["tp"] == 0                                        # 0.06 < 0.060000000000000005 (T7)
+
+
+def test_calibration_fewer_rows_than_buckets(spark):
+    df = spark.createDataFrame([(0, 0.1), (1, 0.4), (1, 0.8)], "y int, p double")
+    cur = metrics.calibration_curve(df, "y", "p").orderBy("bucket").collect()
+    # q = min(10, 3) = 3 buckets: edges at the 0, 1/3, 2/3, 1 quantiles (interpolated)
+    assert [r["rows"] for r in cur] == [1, 1, 1]
+    assert [r["upper"] for r in cur] == pytest.approx([0.3, 0.4 + (0.8 - 0.4) / 3, 0.8])
