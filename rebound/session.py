@@ -76,3 +76,32 @@ def materialize(df: DataFrame) -> DataFrame:
         return held.checkpoint(eager=True)
     finally:
         held.unpersist(blocking=False)
+
+
+def scale_settings(input_bytes: float, executors: int = 1000, cores_per_executor: int = 8,
+                   shuffle_fraction: float = 0.3) -> dict:
+    """Session settings sized for the input volume (for spark-submit ``--conf``).
+
+    * scans: 512 MiB splits, so 100 TB is ~200k scan tasks (~25 waves over
+      8,000 cores) instead of ~800k at the 128 MiB default;
+    * shuffles: start from about 256 MiB per partition of the expected shuffle
+      volume (``shuffle_fraction`` of the input after pruning and partial
+      aggregation), never fewer than 2 x the cores, and let AQE coalesce;
+    * skew: AQE splits partitions over 5 x the median and 512 MiB;
+    * broadcasts stay bounded (64 MiB measured by AQE).
+    """
+    cores = executors * cores_per_executor
+    shuffle_parts = max(2 * cores, int(input_bytes * shuffle_fraction / (256 * 1024 ** 2)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 ** 2),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 ** 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 ** 2),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.session.timeZone": "UTC",
+    }
