@@ -25,14 +25,15 @@ def _y(label) -> Column:
 # ---------------------------------------------------------------- W1
 def temporal_split(df: DataFrame, ts_col: str = "timestamp", id_col: str = "transaction_id",
                    fractions: Sequence[float] = (0.70, 0.85),
-                   names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
+                   names: Sequence[str] = ("train", "validation", "test"),
+                   limit: int = 200_000) -> DataFrame:
     """70/15/15 split by position in (ts asc NULLS LAST, id) order.
 
     The two boundary rows are found by exact order statistics, then the split
     is a pure comparison per row: no shuffle, no single-task sort.
     """
     keyed = df.withColumn("__tnull", F.col(ts_col).isNull())
-    _, bounds = kth_boundaries(keyed, ["__tnull", ts_col, id_col], fractions)
+    _, bounds = kth_boundaries(keyed, ["__tnull", ts_col, id_col], fractions, limit=limit)
     key = F.struct(F.col("__tnull").alias("c0"), F.col(ts_col).alias("c1"), F.col(id_col).alias("c2"))
     ktype = keyed.select(key.alias("k")).schema["k"].dataType
     expr = None

@@ -224,7 +224,8 @@ def group_counts(df: DataFrame, value, group_cols: Sequence[str] = ()) -> dict:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), counts: dict | None = None) -> dict:
+                    group_cols: Sequence[str] = (), counts: dict | None = None,
+                    limit: int = 200_000, fanout: int = 64) -> dict:
     """Linear-interpolation quantiles (numpy / DuckDB ``quantile_cont``).
 
     Returns {group_key_tuple: [q-values]} for groups with at least one value.
@@ -238,7 +239,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
             ks.add(int(math.floor(pos)))
             ks.add(int(math.ceil(pos)))
         ranks[g] = sorted(k for k in ks if 0 <= k < n)
-    stats = order_statistics(df, value, ranks, group_cols, sizes=counts)
+    stats = order_statistics(df, value, ranks, group_cols, sizes=counts, limit=limit, fanout=fanout)
     res = {}
     for g, n in counts.items():
         if n == 0:
@@ -253,7 +254,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return res
 
 
-def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence[float]) -> tuple[int, list]:
+def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence[float],
+                   limit: int = 200_000, fanout: int = 64) -> tuple[int, list]:
     """Keys of the rows at ordinal floor(n * f) for each fraction.
 
     ``order_cols`` must identify a row uniquely (add the id).  Returns
@@ -262,7 +264,8 @@ def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence
     n = df.count()
     ks = [int(math.floor(n * f)) for f in fractions]
     want = sorted({k for k in ks if k < n})
-    stats = order_statistics(df, list(order_cols), {(): want}) if want else {}
+    stats = order_statistics(df, list(order_cols), {(): want}, limit=limit, fanout=fanout,
+                             sizes={(): n}) if want else {}
     return n, [stats.get(((), k)) if k < n else None for k in ks]
 
 
