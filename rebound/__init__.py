@@ -5,6 +5,7 @@ inside Spark: labels from retry chains, metrics, drift, retry decisions,
 explanations, and Structured Streaming twins of the batch operators.
 """
 
-from rebound.session import get_spark, checkpoint_dir
+from rebound.roles import Roles
+from rebound.session import checkpoint_dir, get_spark
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["Roles", "checkpoint_dir", "get_spark"]

@@ -384,3 +384,12 @@ def test_calibration_fewer_rows_than_buckets(spark):
     # q = min(10, 3) = 3 buckets: edges at the 0, 1/3, 2/3, 1 quantiles (interpolated)
     assert [r["rows"] for r in cur] == [1, 1, 1]
     assert [r["upper"] for r in cur] == pytest.approx([0.3, 0.4 + (0.8 - 0.4) / 3, 0.8])
+
+
+def test_roles_rename(spark):
+    from rebound.roles import Roles
+    df = spark.createDataFrame([("a", 10.0, "51")], "txn string, amt double, rc string")
+    r = Roles(transaction_id="txn", amount_usd="amt", response_code="rc")
+    c = r.to_canonical(df)
+    assert c.columns == ["transaction_id", "amount_usd", "response_code"]
+    assert r.from_canonical(c).columns == ["txn", "amt", "rc"]
