@@ -106,16 +106,41 @@ def signed_weights(model: PipelineModel, names: Sequence[str], k: int = 15) -> d
 
 
 # ---------------------------------------------------------------- L7
-def grid_search_net_value(train: DataFrame, validation: DataFrame, fit, grid: Sequence[dict], score_fn,
+def time_folds(df: DataFrame, ts: str, id_col: str, n_folds: int = 3) -> list[tuple[DataFrame, DataFrame]]:
+    """Expanding-window folds in (ts, id) order: fold i trains on the first
+    i / (n + 1) of the rows and validates on the next 1 / (n + 1).  The fold
+    boundaries are exact order statistics (no global sort)."""
+    from rebound.operators.ordered import kth_boundaries
+    fr = [i / (n_folds + 1) for i in range(1, n_folds + 1)]
+    keyed = df.withColumn("__tnull", F.col(ts).isNull())
+    _, bounds = kth_boundaries(keyed, ["__tnull", ts, id_col], fr)
+    key = F.struct(F.col("__tnull").alias("c0"), F.col(ts).alias("c1"), F.col(id_col).alias("c2"))
+    ktype = keyed.select(key.alias("k")).schema["k"].dataType
+
+    def before(b):
+        if b is None:
+            return F.lit(True)
+        return key < F.struct(*[F.lit(x).alias(f"c{i}") for i, x in enumerate(b)]).cast(ktype)
+
+    folds = []
+    for i in range(n_folds):
+        train = keyed.where(before(bounds[i])).drop("__tnull")
+        nxt = bounds[i + 1] if i + 1 < n_folds else None
+        val = keyed.where(~before(bounds[i]) & before(nxt)).drop("__tnull")
+        folds.append((train, val))
+    return folds
+
+
+def grid_search_net_value(folds: Sequence[tuple[DataFrame, DataFrame]], fit, grid: Sequence[dict], score_fn,
                           objective) -> tuple[dict, float, list]:
-    """Fit each parameter set on the train window, score the later
-    validation window, keep the best objective (first wins ties).  The grid is
-    small and every fit is distributed; only scalars come back."""
+    """For each parameter set, fit on every fold's earlier window and score
+    its later window; keep the best mean objective (first wins ties).  The
+    grid is small and every fit is distributed; only scalars come back."""
     results = []
     best, best_v = None, -float("inf")
     for params in grid:
-        m = fit(train, **params)
-        v = float(objective(score_fn(m, validation)))
+        vals = [float(objective(score_fn(fit(tr, **params), va))) for tr, va in folds]
+        v = sum(vals) / len(vals)
         results.append((params, v))
         if v > best_v:
             best, best_v = params, v

@@ -113,24 +113,30 @@ def q_tree_explanations(spark, sf):
                                             "transaction_id"))
 
 
-@register("threshold_search", None, ops=("L7", "D5"))
+@register("threshold_search", None, ops=("L7", "D5", "W1"))
 def q_threshold_search(spark, sf):
-    """Grid over GBT iterations, scored by the best validation net value."""
-    d = data(spark, sf)
-    train = d.where(F.col("split") == "train")
-    val = d.where(F.col("split") == "validation")
-
-    def fit(tr, max_iter):
-        return MD.fit_gbt(tr, NUM, CAT, LABEL, max_iter=max_iter)
+    """Regularisation grid for the logistic model, scored by the best
+    net value on time-ordered expanding folds of the train + validation rows."""
+    d = data(spark, sf).where(F.col("split").isin("train", "validation"))
+    folds = MD.time_folds(d, "timestamp", "transaction_id", n_folds=2)
+
+    def fit(tr, l2):
+        # encoders are refitted inside each fold's earlier window (no leakage)
+        stats = FE.fit_numeric_scaler(tr, NUM)
+        enc, g = FE.fit_target_encoding(tr, CAT, LABEL)
+        x = FE.apply_numeric_scaler(FE.apply_target_encoding(tr, enc, CAT, g), stats, NUM)
+        return stats, enc, g, MD.fit_logistic(x, LR_FEATURES, LABEL, l2=l2)
 
     def score(m, v):
-        return MD.apply_model(m, v, "p", NUM, CAT)
+        stats, enc, g, model = m
+        x = FE.apply_numeric_scaler(FE.apply_target_encoding(v, enc, CAT, g), stats, NUM)
+        return MD.apply_model(model, x, "p")
 
     def objective(scored):
         f = M.net_value_frontier(scored, LABEL, "p")
         return M.best_net_value_threshold(f).first()["best_net_value_usd"]
 
-    grid = [{"max_iter": 10}, {"max_iter": 30}]
-    best, best_v, results = MD.grid_search_net_value(train, val, fit, grid, score, objective)
-    return spark.createDataFrame([(int(p["max_iter"]), float(v), p == best) for p, v in results],
-                                 "max_iter int, validation_net_value_usd double, chosen boolean")
+    grid = [{"l2": 0.0}, {"l2": 0.002}, {"l2": 0.1}]
+    best, _, results = MD.grid_search_net_value(folds, fit, grid, score, objective)
+    return spark.createDataFrame([(float(p["l2"]), float(v), p == best) for p, v in results],
+                                 "l2 double, mean_validation_net_value_usd double, chosen boolean")

@@ -13,3 +13,20 @@ def test_models_beat_rules_on_planted_label(spark):
     imp = E.queries()["model_importance"](spark, SF_MID).collect()
     assert {r["kind"] for r in imp} == {"gbt_gain", "logistic_top", "logistic_bottom"}
     assert abs(sum(r["value"] for r in imp if r["kind"] == "gbt_gain") - 1.0) < 1e-9
+
+
+def test_time_folds_expanding(spark):
+    import datetime as dt
+    from rebound.operators import model as MD
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "transaction_id long, timestamp timestamp")
+    folds = MD.time_folds(df, "timestamp", "transaction_id", 2)
+    sizes = [(tr.count(), va.count()) for tr, va in folds]
+    assert sizes == [(30, 30), (60, 30)]
+    tr, va = folds[0]
+    assert tr.agg({"timestamp": "max"}).first()[0] < va.agg({"timestamp": "min"}).first()[0]
+
+
+def test_threshold_search_rows(spark):
+    rows = E.queries()["threshold_search"](spark, SF_MID).collect()
+    assert len(rows) == 3 and sum(r["chosen"] for r in rows) == 1
