@@ -67,7 +67,7 @@ SUMMARY = {'batch_score_summary': 'retry / skip / out-of-scope counts, EV of ret
     'temporal_split': '70/15/15 split by (timestamp NULLS LAST, id)',
     'text_schema_inference': 'boolean / numeric / string inference for all-text columns',
     'three_way_actions': 'retry / abandon / cascade by EV with failure-weighted value',
-    'threshold_search': 'grid search of tree iterations on validation net value',
+    'threshold_search': 'logistic regularisation grid scored by net value on expanding time folds',
     'threshold_sweep': 'confusion counts and F1 at each grid threshold per split',
     'timing_table': 'smoothed retry success by code, attempt and delay bucket',
     'top_category_buckets': 'top-12 country or OTHER per test decline',
