@@ -42,7 +42,14 @@ def numeric_long(base: DataFrame, cur: DataFrame, features: Sequence[str]) -> Da
         unpivot(prep(cur), features, "DOUBLE", "current"))
 
 
-def psi(long: DataFrame, bins: int = 10, open_ends: bool = False) -> DataFrame:
+def sample_sizes(long: DataFrame) -> dict:
+    """Non-NULL, non-NaN value count per (feature, sample): one job."""
+    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return {(r["feature"], r["sample"]): r["n"] for r in
+            vals.groupBy("feature", "sample").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def psi(long: DataFrame, bins: int = 10, open_ends: bool = False, sizes: dict | None = None) -> DataFrame:
     """PSI with baseline-quantile edges (duplicates dropped), eps-clipped
     shares.  Values outside the baseline range are dropped (T8) unless
     ``open_ends``; fewer than 3 edges -> 0; an empty sample -> NULL."""
@@ -50,10 +57,12 @@ def psi(long: DataFrame, bins: int = 10, open_ends: bool = False) -> DataFrame:
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     base = vals.where(F.col("sample") == "base")
     probs = [i / bins for i in range(bins + 1)]
-    q = exact_quantiles(base, "value", probs, ["feature"])
-    present = {r["feature"]: (r["nb"] > 0 and r["nc"] > 0) for r in
-               vals.groupBy("feature").agg(F.count_if(F.col("sample") == "base").alias("nb"),
-                                           F.count_if(F.col("sample") == "current").alias("nc")).collect()}
+    # per-feature sizes of both samples (quantile ranks + presence)
+    sizes = sizes if sizes is not None else sample_sizes(long)
+    feats_all = {f for f, _ in sizes}
+    present = {f: sizes.get((f, "base"), 0) > 0 and sizes.get((f, "current"), 0) > 0 for f in feats_all}
+    q = exact_quantiles(base, "value", probs, ["feature"],
+                        counts={(f,): n for (f, smp), n in sizes.items() if smp == "base"})
     edges = {g[0]: sorted(set(v)) for g, v in q.items()}
     rows = []
     bucket = F.lit(None).cast("int")
@@ -108,13 +117,14 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = KS_TERMS)
     return F.when(z < F.lit(0.05), F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks(long: DataFrame) -> DataFrame:
-    """two-sample KS statistic per feature (+ F3 p-value)."""
+def ks(long: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """two-sample KS statistic per feature (+ F3 p-value).  ``max_rows``
+    bounds the distinct (feature, value) rows when the caller knows it."""
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     collapsed = vals.groupBy("feature", "value").agg(
         F.count_if(F.col("sample") == "base").alias("b"),
         F.count_if(F.col("sample") == "current").alias("c"))
-    pre = prefix_sums(collapsed, "value", ["b", "c"], ["feature"])
+    pre = prefix_sums(collapsed, "value", ["b", "c"], ["feature"], max_rows=max_rows)
     # totals per feature: one row per feature, joined back (never a window
     # over all distinct values of a feature)
     tot = collapsed.groupBy("feature").agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
@@ -187,7 +197,9 @@ def drift_table(base: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     if num:
         long = numeric_long(base, cur, num).cache()
         names = spark.createDataFrame([(f,) for f in num], "feature string")
-        n = (names.join(psi(long), "feature", "left").join(ks(long), "feature", "left")
+        sizes = sample_sizes(long)
+        n = (names.join(psi(long, sizes=sizes), "feature", "left")
+             .join(ks(long, max_rows=sum(sizes.values())), "feature", "left")
              .select("feature", F.lit("numeric").alias("feature_type"), "psi", "ks_stat", "p_value",
                      F.lit(None).cast("double").alias("js_divergence")))
         parts.append(n)

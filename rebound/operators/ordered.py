@@ -271,12 +271,14 @@ def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence
 
 def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
                 group_cols: Sequence[str] = (), rows_per_bucket: int = 250_000,
-                accuracy: int = 10_000) -> DataFrame:
+                accuracy: int = 10_000, max_rows: int | None = None) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same group with a
     smaller ``value`` (strictly), for a table with one row per (group, value).
+    ``max_rows`` (an upper bound on the rows, e.g. the pre-collapse count)
+    skips the counting job when it already fits one bucket.
     """
     group_cols = list(group_cols)
-    n_rows = collapsed.count()
+    n_rows = max_rows if max_rows is not None and max_rows <= rows_per_bucket else collapsed.count()
     p = max(1, min(1024, math.ceil(n_rows / rows_per_bucket)))
     if p <= 1:
         bucketed = collapsed.withColumn("__b", F.lit(0))
