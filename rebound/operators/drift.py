@@ -235,3 +235,20 @@ def unseen_category_rate(base: DataFrame, cur: DataFrame, features: Sequence[str
             .withColumn("unseen_rate", F.col("unseen_rows") / F.col("rows"))
             .withColumn("alert", F.col("unseen_rate") > F.lit(alert_rate)))
 
+
+
+def psi_from_window_counts(counts: DataFrame, baseline_shares: dict[int, float], n_bins: int,
+                           window_col: str = "window_start") -> DataFrame:
+    """PSI per window from (window, bucket, n) counts, e.g. the output of
+    the sliding-window stream, against the baseline share of each bin (a
+    handful of numbers).  Missing bins count 0; shares are eps-clipped."""
+    tot = counts.groupBy(window_col).agg(F.sum("n").alias("__total"))
+    dense = (tot.select(window_col, "__total", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bucket"))
+             .join(counts.select(window_col, "bucket", "n"), [window_col, "bucket"], "left").na.fill(0, ["n"]))
+    ep = F.lit(None).cast("double")
+    for b in range(n_bins - 1, -1, -1):
+        ep = F.when(F.col("bucket") == b, F.lit(max(baseline_shares.get(b, 0.0), C.PSI_EPS))).otherwise(ep)
+    ap = F.greatest(F.col("n") / F.col("__total"), F.lit(C.PSI_EPS))
+    return (dense.withColumn("__ep", ep).groupBy(window_col, "__total")
+            .agg(F.sum((ap - F.col("__ep")) * F.log(ap / F.col("__ep"))).alias("psi"))
+            .withColumnRenamed("__total", "rows"))
