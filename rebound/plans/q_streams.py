@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rebound import config as C
+from rebound.operators import drift
 from rebound.operators.ordered import exact_quantiles
 from rebound.plans import fixture as fx
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
@@ -73,20 +74,13 @@ def q_sliding_value_psi(spark, sf):
     bcounts = {r["bucket"]: r["n"] for r in binned.where(F.col("ts") < F.lit(t0) + F.expr(
         f"INTERVAL {BASELINE_DAYS} DAYS")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     btot = sum(bcounts.values())
-    # baseline shares: one number per bin (at most 10), kept as literals
-    ep = F.lit(None).cast("double")
-    for b in range(len(edges) - 2, -1, -1):
-        ep = F.when(F.col("bucket") == b, F.lit(max(bcounts.get(b, 0) / btot, C.PSI_EPS))).otherwise(ep)
+    # baseline shares: one number per bin (at most 10)
+    shares = {b: bcounts.get(b, 0) / btot for b in range(len(edges) - 1)}
     counts = (binned.groupBy(F.window("ts", "1 day", "1 hour").alias("w"), "bucket")
-              .agg(F.count(F.lit(1)).alias("n")).withColumn("ws", F.col("w.start")).drop("w"))
-    tot = counts.groupBy("ws").agg(F.sum("n").alias("total"))
-    dense = (tot.select("ws", "total", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))).alias("bucket"))
-             .join(counts, ["ws", "bucket"], "left").na.fill(0, ["n"]))
-    ap = F.greatest(F.col("n") / F.col("total"), F.lit(C.PSI_EPS))
-    out = dense.withColumn("ep", ep).groupBy("ws", "total").agg(
-        F.sum((ap - F.col("ep")) * F.log(ap / F.col("ep"))).alias("psi"))
+              .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("ws"), "bucket", "n"))
+    out = drift.psi_from_window_counts(counts, shares, len(edges) - 1, "ws")
     return round_doubles(out.select(F.date_format("ws", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                                    F.col("total").cast("bigint").alias("rows"), "psi"))
+                                    F.col("rows").cast("bigint").alias("rows"), "psi"))
 
 
 @register("horizon_labels", with_ctes(f"""
