@@ -184,11 +184,12 @@ def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str]
     with their weights).  Additive: bias + sum(contributions) = margin.
 
     Runs as ``mapInPandas`` over the assembled feature vectors with the node
-    tables broadcast; returns (id, bias, margin, contributions array).
+    tables shipped in the task closure; returns (id, bias, margin, contributions array).
     """
     trees, weights = extract_trees(model)
-    spark = df.sparkSession
-    b = spark.sparkContext.broadcast((trees, weights))
+    # the node tables are bounded by iterations x 2^depth; they travel with the
+    # task closure (works on classic and Spark Connect sessions alike)
+    payload = (trees, weights)
     feats = model.transform(df).select(F.col(id_col).alias("__id"),
                                        vector_to_array("__features").alias("__x"))
     n_feat = len(names)
@@ -211,7 +212,7 @@ def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str]
                 i = j
             return bias
 
-        tr, ws = b.value
+        tr, ws = payload
         for pdf in batches:
             contribs, biases, margins = [], [], []
             for x in pdf["__x"]:

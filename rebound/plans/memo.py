@@ -15,8 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 _MEMO: dict = {}
 
 
+def _session_key(spark: SparkSession):
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        return "connect"
+
+
 def memo(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    k = (spark.sparkContext.applicationId, id(spark), key)
+    k = (_session_key(spark), id(spark), key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
