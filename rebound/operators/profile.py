@@ -31,20 +31,24 @@ def label_rates(modeling: DataFrame) -> DataFrame:
 
 
 def recovery_by_dimension(modeling: DataFrame, dims: Sequence[str], top: int = 10,
-                          label: str = "target_recovered_by_retry") -> DataFrame:
+                          label: str = "target_recovered_by_retry", retried: str = "has_any_retry") -> DataFrame:
     """Rows, recovered and rate per value of each dimension, top-``top``
     values per dimension by rows (ties by value).  One grouped pass for all
     dimensions (the grouping sets of the reference, as an unpivot)."""
     y = F.coalesce(F.col(label).cast("int"), F.lit(0))
-    src = modeling.select(y.alias("__y"), *[missing_as(F.col(d).cast("string")).alias(d) for d in dims])
-    long = src.selectExpr("__y", f"stack({len(dims)}, " + ", ".join(f"'{d}', {d}" for d in dims)
+    r = F.coalesce(F.col(retried).cast("int"), F.lit(0))
+    src = modeling.select(y.alias("__y"), r.alias("__r"),
+                          *[missing_as(F.col(d).cast("string")).alias(d) for d in dims])
+    long = src.selectExpr("__y", "__r", f"stack({len(dims)}, " + ", ".join(f"'{d}', {d}" for d in dims)
                           + ") AS (dimension, value)")
     g = (long.groupBy("dimension", "value")
-         .agg(F.count(F.lit(1)).alias("rows"), F.sum("__y").cast("bigint").alias("recovered"))
+         .agg(F.count(F.lit(1)).alias("rows"), F.sum("__y").cast("bigint").alias("recovered"),
+              F.sum("__r").cast("bigint").alias("retried"))
          .withColumn("__neg", -F.col("rows")))
     kept = top_k_per_group(g, ["dimension"], ["__neg", "value"], top)
     return kept.select("dimension", "value", "rows", "recovered",
-                       (F.col("recovered") / F.col("rows")).alias("recovery_rate"))
+                       (F.col("recovered") / F.col("rows")).alias("recovery_rate"), "retried",
+                       (F.col("retried") / F.col("rows")).alias("retried_rate"))
 
 
 # ---------------------------------------------------------------- G13

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebound.operators.chains import merge_retry_partials, retry_partials
-from rebound.sources.tables import read_table
+from rebound.sources.tables import ntz_to_timestamp, read_table, table_path
 
 # FIXED VALUES: order priority digit -> response code of the decline.
 PRIORITY_CODES = {"1": "51", "2": "91", "3": "05", "4": "54", "5": "61"}
@@ -52,13 +52,22 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("r_name").alias("processor_name")))
 
 
-def originals(spark: SparkSession, sf_dir: str, statuses=("F", "O", "P")) -> DataFrame:
-    """Original attempts (declined and approved) with all decline roles."""
-    orders = read_table(spark, sf_dir, "orders",
-                        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                         "o_orderdate", "o_orderpriority"])
+def originals(spark: SparkSession, sf_dir: str, statuses=("F", "O", "P"), date_range=None) -> DataFrame:
+    """Original attempts (declined and approved) with all decline roles.
+
+    Status and date filters are applied to the raw columns before the
+    timestamp adapter, so both reach the Parquet scan as pushed filters.
+    """
+    orders = spark.read.parquet(table_path(sf_dir, "orders")).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     if tuple(statuses) != ("F", "O", "P"):
         orders = orders.where(F.col("o_orderstatus").isin(*statuses))
+    if date_range is not None:
+        start, end = date_range
+        dtype = orders.schema["o_orderdate"].dataType.simpleString()
+        orders = orders.where((F.col("o_orderdate") >= F.lit(start).cast(dtype))
+                              & (F.col("o_orderdate") < F.lit(end).cast(dtype)))
+    orders = ntz_to_timestamp(orders)
     geo = _geo(spark, sf_dir)
     declined = F.col("o_orderstatus") == "F"
     code = priority_code(F.col("o_orderpriority"))
@@ -79,6 +88,13 @@ def declines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return originals(spark, sf_dir, statuses=("F",)).select(*DECLINE_COLUMNS)
 
 
+def declines_between(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
+    """Declines of a date range [start, end) for batch scoring.  The range
+    is applied to the raw order date, so it reaches the Parquet scan as a
+    pushed filter (and prunes partitions when the table is date-partitioned)."""
+    return originals(spark, sf_dir, statuses=("F",), date_range=(start, end)).select(*DECLINE_COLUMNS)
+
+
 def _declined_order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])
             .where(F.col("o_orderstatus") == "F")

@@ -34,13 +34,15 @@ def q_label_rates(spark, sf):
 def _dims_sql() -> str:
     long = " UNION ALL ".join(
         f"SELECT '{d}' AS dimension, {_cat('lower(CAST(' + d + ' AS VARCHAR))' if d == 'is_soft_decline' else d)}"
-        f" AS value, CAST(target_recovered_by_retry AS INTEGER) AS y FROM modeling" for d in DIMS)
+        f" AS value, CAST(target_recovered_by_retry AS INTEGER) AS y,"
+        f" CAST(has_any_retry AS INTEGER) AS rt FROM modeling" for d in DIMS)
     body = f"""
-SELECT dimension, value, rows, recovered, recovered / rows AS recovery_rate FROM (
-  SELECT dimension, value, count(*) AS rows, CAST(sum(y) AS BIGINT) AS recovered,
+SELECT dimension, value, rows, recovered, recovered / rows AS recovery_rate, retried, retried / rows AS retried_rate
+FROM (
+  SELECT dimension, value, count(*) AS rows, CAST(sum(y) AS BIGINT) AS recovered, CAST(sum(rt) AS BIGINT) AS retried,
          row_number() OVER (PARTITION BY dimension ORDER BY count(*) DESC, value) AS r
   FROM ({long}) AS l GROUP BY dimension, value) AS g WHERE r <= 10"""
-    return sql_round(["recovery_rate"], with_ctes(body))
+    return sql_round(["recovery_rate", "retried_rate"], with_ctes(body))
 
 
 @register("recovery_by_dimension", _dims_sql(), ops=("G4", "W9"))

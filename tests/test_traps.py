@@ -393,3 +393,14 @@ def test_roles_rename(spark):
     c = r.to_canonical(df)
     assert c.columns == ["transaction_id", "amount_usd", "response_code"]
     assert r.from_canonical(c).columns == ["txn", "amt", "rc"]
+
+
+def test_date_range_scoring_pushes_filter(spark):
+    from rebound.plans import fixture as fx
+    d = fx.declines_between(spark, "/root/testdata/sf0.01", "1996-01-01", "1997-01-01")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "o_orderdate" in plan.split("PushedFilters")[1].split("]")[0]
+    n = d.count()
+    allf = fx.declines(spark, "/root/testdata/sf0.01")
+    m = allf.where((F.col("timestamp") >= "1996-01-01") & (F.col("timestamp") < "1997-01-01")).count()
+    assert n == m and n > 0
