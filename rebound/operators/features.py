@@ -71,21 +71,6 @@ def coerce_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
     return df.select(*out)
 
 
-def infer_boolean_text(df: DataFrame) -> list[str]:
-    """String columns whose non-NULL lower-cased values are all true/false
-    (and that have at least one value): one aggregate job for all columns."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
-        return []
-    aggs = []
-    for c in strings:
-        low = F.lower(F.col(c))
-        aggs.append(F.count(F.col(c)).alias(f"n_{c}"))
-        aggs.append(F.count_if(F.col(c).isNotNull() & ~low.isin("true", "false")).alias(f"bad_{c}"))
-    r = df.agg(*aggs).first()
-    return [c for c in strings if r[f"n_{c}"] > 0 and r[f"bad_{c}"] == 0]
-
-
 # ---------------------------------------------------------------- G6 / J4
 def _long(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     exprs = ", ".join(f"'{c}', {c}" for c in cols)

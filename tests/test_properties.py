@@ -89,3 +89,33 @@ def test_isotonic_monotone_and_tree_additivity(spark):
     raw = m.transform(prep).select("id", vector_to_array("__raw")[1].alias("raw"))
     worst = c.join(raw, "id").agg(F.max(F.abs(F.col("margin") - F.col("raw")))).first()[0]
     assert worst < 1e-9
+
+
+def test_logistic_contributions_additive(spark):
+    from pyspark.ml.functions import vector_to_array
+    from rebound.operators import explain as X
+    rnd = random.Random(11)
+    rows = [(i, rnd.random(), rnd.random(), int(rnd.random() < 0.4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    m = MD.fit_logistic(df, ["a", "b"], "y", l2=0.01)
+    lr = m.stages[-1]
+    w = dict(zip(["a", "b"], lr.coefficients.toArray().tolist()))
+    means = {r[0]: r[1] for r in [("a", df.agg(F.avg("a")).first()[0]), ("b", df.agg(F.avg("b")).first()[0])]}
+    terms = X.linear_terms(w, means)
+    base = lr.intercept + sum(w[f] * means[f] for f in w)
+    out = m.transform(df).withColumn("c", X.contributions(terms)).select(
+        vector_to_array("__raw")[1].alias("margin"),
+        (F.lit(base) + F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["contribution"])).alias("sum"))
+    assert out.agg(F.max(F.abs(F.col("margin") - F.col("sum")))).first()[0] < 1e-9
+
+
+def test_one_hot_numeric_bool_and_scale_settings(spark):
+    from rebound.functions.parse import parse_bool_lenient_numeric
+    from rebound.operators.features import one_hot
+    from rebound.session import scale_settings
+    df = spark.createDataFrame([("US", 0), ("FR", 2), (None, None)], "c string, n int")
+    oh = df.select(*[v.alias(k) for k, v in one_hot("c", ["US"]).items()],
+                   parse_bool_lenient_numeric("n").alias("b")).collect()
+    assert [(r["c__US"], r["c__OTHER"], r["b"]) for r in oh] == [(1, 0, False), (0, 1, True), (0, 1, False)]
+    s = scale_settings(100e12)
+    assert int(s["spark.sql.shuffle.partitions"]) > 16000 and s["spark.sql.adaptive.enabled"] == "true"
