@@ -100,7 +100,7 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
     state = {(g, k): [None, None, 0] for g, ks in ranks.items() for k in ks}
     out: dict = {}
     known = dict(sizes) if sizes is not None else None
-    for _ in range(max_passes):
+    for pass_no in range(max_passes):
         open_t = {t: s for t, s in state.items() if t not in out}
         if not open_t:
             break
@@ -159,7 +159,7 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
         for idx, *_ in large:
             frac = F.when(F.col("__iv") == idx, F.lit(min(1.0, 4.0 * fanout / n_iv[idx]))).otherwise(frac)
         sample = (cand.where(F.col("__iv").isin([t[0] for t in large]))
-                  .where(F.rand(seed) < frac).select("__iv", "__v").collect())
+                  .where(F.rand(seed + pass_no) < frac).select("__iv", "__v").collect())
         piv: dict = {}
         for r in sample:
             piv.setdefault(r["__iv"], set()).add(_row_value(r["__v"]))
