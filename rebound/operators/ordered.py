@@ -58,6 +58,16 @@ def _sort_key(v):
     return (0, 0) if v is None else (1, v)
 
 
+def _valid(v: Column, dtype) -> Column:
+    """Rows that take part in an order: non-NULL, and not NaN for floats
+    (NaN is missing, as in the reference; Spark would sort it above all)."""
+    from pyspark.sql import types as T
+    cond = v.isNotNull()
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        cond = cond & ~F.isnan(v)
+    return cond
+
+
 def _group_condition(group_cols, key) -> Column:
     cond = F.lit(True)
     for g, v in zip(group_cols, key):
@@ -94,8 +104,9 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
     """
     group_cols = list(group_cols)
     v = _as_value(value)
-    base = df.select(*[F.col(g) for g in group_cols], v.alias("__v")).where(F.col("__v").isNotNull())
+    base = df.select(*[F.col(g) for g in group_cols], v.alias("__v"))
     vtype = base.schema["__v"].dataType
+    base = base.where(_valid(F.col("__v"), vtype))
     # open targets: (group, k) -> [lo, hi, below]; interval is (lo, hi], below = #rows <= lo
     state = {(g, k): [None, None, 0] for g, ks in ranks.items() for k in ks}
     out: dict = {}
@@ -218,7 +229,8 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
 def group_counts(df: DataFrame, value, group_cols: Sequence[str] = ()) -> dict:
     """Non-NULL value count per group: {group_key_tuple: n}."""
     v = _as_value(value)
-    rows = (df.where(v.isNotNull()).groupBy(*group_cols)
+    vtype = df.select(v.alias("__v")).schema["__v"].dataType
+    rows = (df.where(_valid(v, vtype)).groupBy(*group_cols)
             .agg(F.count(F.lit(1)).alias("n")).collect())
     return {_group_key(r, group_cols): r["n"] for r in rows}
 

@@ -404,3 +404,9 @@ def test_date_range_scoring_pushes_filter(spark):
     allf = fx.declines(spark, "/root/testdata/sf0.01")
     m = allf.where((F.col("timestamp") >= "1996-01-01") & (F.col("timestamp") < "1997-01-01")).count()
     assert n == m and n > 0
+
+
+def test_quantiles_ignore_nan_and_null(spark):
+    from rebound.operators import ordered
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (3.0,), (None,), (2.0,)], "x double")
+    assert ordered.exact_quantiles(df, "x", [0.0, 0.5, 1.0])[()] == [1.0, 2.0, 3.0]
