@@ -119,3 +119,18 @@ def test_one_hot_numeric_bool_and_scale_settings(spark):
     assert [(r["c__US"], r["c__OTHER"], r["b"]) for r in oh] == [(1, 0, False), (0, 1, True), (0, 1, False)]
     s = scale_settings(100e12)
     assert int(s["spark.sql.shuffle.partitions"]) > 16000 and s["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_decisions_invariant_to_partitions(spark):
+    from conftest import SF_SMALL
+    from rebound.operators import decide
+    from rebound.plans import fixture as fx
+    d = fx.declines(spark, SF_SMALL).withColumn("p", decide.rule_probability())
+    timing = decide.fit_timing_table(fx.retry_cells(spark, SF_SMALL), fx.declines(spark, SF_SMALL), weight="weight")
+    cols = ["transaction_id", "recommended_action", "scope_reason", "recoverability_score", "expected_value",
+            "confidence", "recommended_delay_hours", "attempt_decision_reason"]
+    res = []
+    for parts in (1, 4, 32):
+        t = decide.decision_table(d.repartition(parts), "p", timing.repartition(parts), amount_cap=4000.0)
+        res.append(sorted(tuple(r) for r in t.select(*cols).collect()))
+    assert res[0] == res[1] == res[2] and len(res[0]) > 0
