@@ -109,7 +109,13 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
     agg = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"),
         dc.alias("distinct_values"), F.min("num").alias("min_value"), F.max("num").alias("max_value"))
-    types = spark.createDataFrame([(c, fam[c]) for c in cols], "column_name string, type_family string")
+    # distribution: exact quartiles of the numeric columns (one grouped pass)
+    numeric = [c for c in cols if fam[c] == "numeric"]
+    quart = exact_quantiles(long.where(F.col("column_name").isin(*numeric)), "num", [0.25, 0.5, 0.75],
+                            ["column_name"]) if numeric else {}
+    rows = [(c, fam[c], *(quart.get((c,)) or [None, None, None])) for c in cols]
+    types = spark.createDataFrame(rows, "column_name string, type_family string, p25 double, p50 double, "
+                                        "p75 double")
     return types.join(agg, "column_name", "left")
 
 

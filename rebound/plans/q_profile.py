@@ -83,8 +83,11 @@ def _profile_sql() -> str:
         parts.append(f"SELECT '{c}' AS column_name, '{fam}' AS type_family, count(*) AS rows, "
                      f"count(*) FILTER (WHERE {src} IS NULL) AS nulls, "
                      f"count(DISTINCT CAST({src} AS VARCHAR)) AS distinct_values, "
-                     f"min({num}) AS min_value, max({num}) AS max_value FROM declines")
-    return sql_round(["min_value", "max_value"], with_ctes(" UNION ALL ".join(parts), upto="declines"))
+                     f"min({num}) AS min_value, max({num}) AS max_value, "
+                     f"quantile_cont({num}, 0.25) AS p25, quantile_cont({num}, 0.5) AS p50, "
+                     f"quantile_cont({num}, 0.75) AS p75 FROM declines")
+    return sql_round(["min_value", "max_value", "p25", "p50", "p75"],
+                     with_ctes(" UNION ALL ".join(parts), upto="declines"))
 
 
 @register("column_profile", _profile_sql(), ops=("G14",))

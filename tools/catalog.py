@@ -17,7 +17,7 @@ SUMMARY = {'batch_score_summary': 'retry / skip / out-of-scope counts, EV of ret
     'category_vocabulary': 'distinct categories (MISSING for NULL) with counts on the train window',
     'challenger_scores': 'champion and challenger scores aligned by id with deltas',
     'champion_challenger_summary': 'means, mean |delta| and share of |delta| > 0.20',
-    'cohort_fallback': "rules score where the model's segment AUC is below the rules'", 'column_profile': 'type family, rows, nulls, distinct, numeric min/max per decline column',
+    'cohort_fallback': "rules score where the model's segment AUC is below the rules'", 'column_profile': 'type family, rows, nulls, distinct, min/max and quartiles per decline column',
     'cosine_top_k': 'exact top-5 cosine neighbours of each label centroid',
     'decision_table': 'full retry decision per decline: scope, economics, EV, best delay, gate, confidence',
     'decline_enrichment': 'code category and reason from the code reference table',
