@@ -134,3 +134,25 @@ def test_decisions_invariant_to_partitions(spark):
         t = decide.decision_table(d.repartition(parts), "p", timing.repartition(parts), amount_cap=4000.0)
         res.append(sorted(tuple(r) for r in t.select(*cols).collect()))
     assert res[0] == res[1] == res[2] and len(res[0]) > 0
+
+
+def test_cosine_top_k_with_filter_matches_bruteforce(spark):
+    import numpy as np
+    from conftest import SF_SMALL
+    from rebound.operators import retrieval as R
+    from rebound.sources import read_table
+    emb = read_table(spark, SF_SMALL, "embeddings", ["vec_id", "embedding", "label"])
+    q = R.centroids(emb, "label", "embedding").where("label IN (1, 2)")
+    top = R.top_k_cosine(emb, q, "vec_id", "embedding", "label", "query_vector", 3,
+                         where=F.col("label") == 3)
+    got = {(r["query_id"], r["candidate_id"]) for r in top.collect()}
+    rows = emb.collect()
+    vecs = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in rows}
+    labels = {r["vec_id"]: r["label"] for r in rows}
+    exp = set()
+    for qr in q.collect():
+        qv = np.array(qr["query_vector"])
+        sc = sorted(((-(v @ qv) / (np.linalg.norm(v) * np.linalg.norm(qv)), i)
+                     for i, v in vecs.items() if labels[i] == 3))
+        exp |= {(qr["label"], i) for _, i in sc[:3]}
+    assert got == exp and len(got) == 6
