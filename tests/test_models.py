@@ -28,5 +28,6 @@ def test_time_folds_expanding(spark):
 
 
 def test_threshold_search_rows(spark):
-    rows = E.queries()["threshold_search"](spark, SF_MID).collect()
+    from conftest import SF_SMALL
+    rows = E.queries()["threshold_search"](spark, SF_SMALL).collect()
     assert len(rows) == 3 and sum(r["chosen"] for r in rows) == 1
