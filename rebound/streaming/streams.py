@@ -144,3 +144,67 @@ def close_retry_chains(declines: DataFrame, retries: DataFrame, horizon_hours: i
             & (F.col(f"r.{r_ts}") >= F.col(f"d.{d_ts}"))
             & (F.col(f"r.{r_ts}") <= F.col(f"d.{d_ts}") + F.expr(f"INTERVAL {horizon_hours} HOURS")))
     return d.join(r, cond, "leftOuter")
+
+
+# ---------------------------------------------------------------- S6 labels (stateful)
+LABEL_SCHEMA = "transaction_id long, retries_within_horizon long, recovered_within_horizon boolean"
+LABEL_STATE = "dts long, n long, ok boolean, pend_ts array<long>, pend_ok array<boolean>"
+
+
+def label_stream(declines: DataFrame, retries: DataFrame, horizon_hours: int = 720,
+                 id_col: str = "transaction_id", link: str = "original_transaction_id",
+                 d_ts: str = "timestamp", r_ts: str = "retry_ts", status: str = "auth_status",
+                 watermark: str = "1 day") -> DataFrame:
+    """One label row per decline once its horizon has passed.
+
+    Declines and retries are unioned on the decline key and folded by
+    ``applyInPandasWithState``: the state holds the decline time, the number
+    of retries inside [t, t + horizon] and whether one was approved.  An
+    event-time timeout at t + horizon emits the label and drops the state, so
+    state is bounded by the declines still open.  Retries that arrive before
+    their decline wait in the state until it arrives.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    horizon_ms = horizon_hours * 3_600_000
+    d = as_event_time(declines, d_ts).select(
+        F.col(id_col).cast("long").alias("key"), F.col(d_ts).alias("ts"), F.lit("d").alias("kind"),
+        F.lit(None).cast("boolean").alias("ok"))
+    r = as_event_time(retries, r_ts).select(
+        F.col(link).cast("long").alias("key"), F.col(r_ts).alias("ts"), F.lit("r").alias("kind"),
+        (F.col(status) == "APPROVED").alias("ok"))
+    events = d.unionByName(r).withWatermark("ts", watermark)
+
+    def fold(key, pdfs, state):
+        if state.hasTimedOut:
+            dts, n, ok, _, _ = state.get
+            state.remove()
+            if dts is not None:            # orphan retries (no decline) are dropped
+                yield pd.DataFrame({"transaction_id": [key[0]], "retries_within_horizon": [n],
+                                    "recovered_within_horizon": [bool(ok)]})
+            return
+        dts, n, ok, pend_ts, pend_ok = state.get if state.exists else (None, 0, False, [], [])
+        pend_ts, pend_ok = list(pend_ts or []), list(pend_ok or [])
+        for pdf in pdfs:
+            ms = (pdf["ts"].astype("int64") // 1_000_000).tolist()
+            for t, kind, good in zip(ms, pdf["kind"].tolist(), pdf["ok"].tolist()):
+                if kind == "d":
+                    dts = t if dts is None else min(dts, t)
+                else:
+                    pend_ts.append(t)
+                    pend_ok.append(bool(good))
+        if dts is not None:
+            # fold waiting retries into the counters; outside the horizon they do not count
+            for t, good in zip(pend_ts, pend_ok):
+                if dts <= t <= dts + horizon_ms:
+                    n += 1
+                    ok = ok or good
+            state.update((dts, n, ok, [], []))
+            state.setTimeoutTimestamp(dts + horizon_ms + 1)
+        else:
+            state.update((None, n, ok, pend_ts, pend_ok))
+            state.setTimeoutTimestamp(max(pend_ts) + horizon_ms + 1)
+
+    return events.groupBy("key").applyInPandasWithState(
+        fold, LABEL_SCHEMA, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)

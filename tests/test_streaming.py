@@ -126,3 +126,47 @@ def test_sliding_bucket_counts_stream(spark):
     a = {r["window_start"]: r["psi"] for r in D.psi_from_window_counts(spark.read.parquet(out), shares, 4).collect()}
     b = {r["window_start"]: r["psi"] for r in D.psi_from_window_counts(twin_df, shares, 4).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_label_stream_equals_twin_for_closed_horizons(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    dec = [(1, t0), (2, t0 + dt.timedelta(days=2)), (3, t0 + dt.timedelta(days=60))]
+    ret = [(1, t0 + dt.timedelta(hours=5), "DECLINED"), (1, t0 + dt.timedelta(hours=30), "APPROVED"),
+           (1, t0 + dt.timedelta(hours=800), "APPROVED"), (3, t0 + dt.timedelta(days=60, hours=1), "APPROVED")]
+    base = _dir("s6l")
+    ddf = spark.createDataFrame(dec, "transaction_id long, timestamp timestamp")
+    rdf = spark.createDataFrame(ret, "original_transaction_id long, retry_ts timestamp, auth_status string")
+    ddf.write.parquet(base + "/d")
+    rdf.write.parquet(base + "/r")
+    ds = S.read_stream(spark, base + "/d", ddf.schema)
+    rs = S.read_stream(spark, base + "/r", rdf.schema)
+    out, ck = _dir("s6l-o"), _dir("s6l-c")
+    S.write_stream(S.label_stream(ds, rs), out, ck).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(
+        "transaction_id", "retries_within_horizon", "recovered_within_horizon").collect())
+    # declines 1 and 2 have closed horizons (720 h) before the final watermark
+    # (day 60 + 1 h - 1 day); decline 3 is still open and stays in state
+    assert got == [(1, 2, True), (2, 0, False)]
+
+
+def test_label_stream_on_fixture_equals_horizon_labels(spark):
+    import __spark_entry__ as E
+    dec = fx.declines(spark, SF_SMALL).select("transaction_id", "timestamp")
+    ret = fx.retries(spark, SF_SMALL).select("original_transaction_id", F.col("timestamp").alias("retry_ts"),
+                                             "auth_status")
+    base = _dir("s6f")
+    dec.write.parquet(base + "/d")
+    ret.write.parquet(base + "/r")
+    ds = S.read_stream(spark, base + "/d", spark.read.parquet(base + "/d").schema)
+    rs = S.read_stream(spark, base + "/r", spark.read.parquet(base + "/r").schema)
+    out, ck = _dir("s6f-o"), _dir("s6f-c")
+    S.write_stream(S.label_stream(ds, rs), out, ck).awaitTermination()
+    got = spark.read.parquet(out)
+    # every horizon closes before the final watermark (retries ship years later)
+    wm = ret.agg(F.max("retry_ts")).first()[0] - dt.timedelta(days=1)
+    closed = dec.where(F.col("timestamp") + F.expr("INTERVAL 720 HOURS") < F.lit(wm)).count()
+    twin = E.queries()["horizon_labels"](spark, SF_SMALL)
+    a = sorted(tuple(r) for r in got.select("transaction_id", "retries_within_horizon",
+                                            "recovered_within_horizon").collect())
+    b = sorted(tuple(r) for r in twin.collect())
+    assert closed == len(b) and a == b

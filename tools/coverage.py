@@ -23,7 +23,7 @@ TESTS = {
     "S2": "test_streaming::test_dedup_stream_equals_batch_twin",
     "S3": "test_streaming::test_score_stream_and_validation_sink",
     "S4": "test_streaming::test_monitor_stream_closed_windows", "S5": "test_streaming::test_sliding_bucket_counts_stream",
-    "F7": "test_streaming::test_sliding_bucket_counts_stream", "S6": "test_streaming::test_chain_closing_join",
+    "F7": "test_streaming::test_sliding_bucket_counts_stream", "S6": "test_streaming::test_chain_closing_join, test_label_stream_on_fixture_equals_horizon_labels",
     "P10": "test_traps::test_transaction_mapping", "J5": "test_traps::test_key_lookup_and_code_enrichment",
     "J7": "test_traps::test_key_lookup_and_code_enrichment", "P14": "test_traps::test_forbidden_columns_guard",
     "L1": "test_models::test_models_beat_rules_on_planted_label",
