@@ -208,3 +208,45 @@ def label_stream(declines: DataFrame, retries: DataFrame, horizon_hours: int = 7
 
     return events.groupBy("key").applyInPandasWithState(
         fold, LABEL_SCHEMA, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def dedup_stream_sliding(events: DataFrame, key: Sequence[str], ts: str, horizon_hours: int = 24,
+                         watermark: str = "1 hour") -> DataFrame:
+    """S2, exact twin of ``history.dedup_within``: drop an event when the same
+    key occurred in the preceding horizon [t - h, t).  The state per key is
+    its latest event time (expired by an event-time timeout h after it), so
+    for streams that arrive in event-time order the output equals the batch
+    twin for any input, not only for repeats inside the horizon."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    h_ms = horizon_hours * 3_600_000
+    e = as_event_time(events, ts).withWatermark(ts, watermark)
+    cols = e.columns
+    out_schema = e.schema
+
+    def fold(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # state: latest event time and the latest time strictly before it, so
+        # a repeat of the latest time is judged against the one before (ties
+        # are not "earlier")
+        last, before = state.get if state.exists else (None, None)
+        batch = pd.concat(list(pdfs), ignore_index=True)
+        ms = batch[ts].astype("int64") // 1_000_000
+        keep = []
+        for t in sorted(set(ms.tolist())):
+            prev = before if (last is not None and t == last) else last
+            keep.append((t, prev is None or prev < t - h_ms))
+            if last is None or t > last:
+                before, last = last, t
+        ok_times = {t for t, good in keep if good}
+        state.update((last, before))
+        state.setTimeoutTimestamp(last + h_ms + 1)
+        kept = batch[ms.isin(ok_times)]
+        if len(kept):
+            yield kept[cols]
+
+    return e.groupBy(*key).applyInPandasWithState(fold, out_schema, "last long, before long", "append",
+                                                  GroupStateTimeout.EventTimeTimeout)

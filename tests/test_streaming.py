@@ -170,3 +170,27 @@ def test_label_stream_on_fixture_equals_horizon_labels(spark):
                                             "recovered_within_horizon").collect())
     b = sorted(tuple(r) for r in twin.collect())
     assert closed == len(b) and a == b
+
+
+def test_sliding_dedup_stream_equals_twin(spark):
+    """Chains longer than the horizon: the stateful stream keeps exactly the
+    twin's rows (events arrive in time order, one file per trigger)."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", t0), (2, "a", t0 + dt.timedelta(hours=20)), (3, "a", t0 + dt.timedelta(hours=40)),
+            (4, "a", t0 + dt.timedelta(hours=70)), (5, "b", t0 + dt.timedelta(hours=1)),
+            (6, "b", t0 + dt.timedelta(hours=1)), (7, "b", t0 + dt.timedelta(hours=30))]
+    rows.sort(key=lambda r: r[2])
+    flat = _dir("sdd")
+    schema = "id long, k string, ts timestamp"
+    for i, r in enumerate(rows):
+        p = _dir("sdd-one")
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("overwrite").parquet(p)
+        f = [x for x in os.listdir(p) if x.endswith(".parquet")][0]
+        os.link(os.path.join(p, f), os.path.join(flat, f"part-{i:02d}.parquet"))
+        os.utime(os.path.join(flat, f"part-{i:02d}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = S.read_stream(spark, flat, spark.read.parquet(flat).schema, max_files_per_trigger=1)
+    out, ck = _dir("sdd-o"), _dir("sdd-c")
+    S.write_stream(S.dedup_stream_sliding(stream, ["k"], "ts"), out, ck).awaitTermination()
+    got = sorted(r["id"] for r in spark.read.parquet(out).collect())
+    twin = sorted(r["id"] for r in history.dedup_within(spark.read.parquet(flat), ["k"], "ts").collect())
+    assert got == twin == [1, 4, 5, 6, 7]

@@ -20,7 +20,7 @@ TESTS = {
     "I3": "test_sources::test_read_config", "I4": "test_streaming (file source)",
     "I5": "test_streaming::test_score_stream_and_validation_sink",
     "S1": "test_streaming::test_score_stream_and_validation_sink",
-    "S2": "test_streaming::test_dedup_stream_equals_batch_twin",
+    "S2": "test_streaming::test_dedup_stream_equals_batch_twin, test_sliding_dedup_stream_equals_twin",
     "S3": "test_streaming::test_score_stream_and_validation_sink",
     "S4": "test_streaming::test_monitor_stream_closed_windows", "S5": "test_streaming::test_sliding_bucket_counts_stream",
     "F7": "test_streaming::test_sliding_bucket_counts_stream", "S6": "test_streaming::test_chain_closing_join, test_label_stream_on_fixture_equals_horizon_labels",
