@@ -110,7 +110,12 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
     # open targets: (group, k) -> [lo, hi, below]; interval is (lo, hi], below = #rows <= lo
     state = {(g, k): [None, None, 0] for g, ks in ranks.items() for k in ks}
     out: dict = {}
-    known = dict(sizes) if sizes is not None else None
+    # known interval sizes: the group sizes at the start, then the histogram
+    # counts of each narrowed interval (so later passes skip counting)
+    known_iv: dict = {}
+    if sizes is not None:
+        for g in ranks:
+            known_iv[(g, None, None, 0)] = sizes.get(g, 0)
     for pass_no in range(max_passes):
         open_t = {t: s for t, s in state.items() if t not in out}
         if not open_t:
@@ -135,11 +140,10 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
         # Open intervals of one group are disjoint or identical (children of
         # disjoint pivot buckets), so each row belongs to at most one.
         cand = base.withColumn("__iv", iv).where(F.col("__iv").isNotNull())
-        if known is not None and all(lo is None and hi is None for _, _, lo, hi, _ in tagged):
-            n_iv = {idx: known.get(g, 0) for idx, g, _, _, _ in tagged}
+        if all((g, lo, hi, below) in known_iv for _, g, lo, hi, below in tagged):
+            n_iv = {idx: known_iv[(g, lo, hi, below)] for idx, g, lo, hi, below in tagged}
         else:
             n_iv = {r["__iv"]: r["n"] for r in cand.groupBy("__iv").agg(F.count(F.lit(1)).alias("n")).collect()}
-        known = None
         # intervals below ``limit`` are collected, but never more than
         # ``limit`` values in one pass in total; the rest are narrowed further
         small, large, budget = [], [], limit
@@ -205,12 +209,14 @@ def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str
                     n_lt = h.get((b, False), 0)
                     new_lo = lo if b == 0 else ps[b - 1]
                     if k < run + n_lt:
-                        new_hi = ps[b] if b < len(ps) else hi
-                        # open interval (new_lo, new_hi): exclude the pivot itself
-                        state[(g, k)] = [new_lo, new_hi, run]
+                        # next interval (new_lo, p_b] (or (new_lo, hi] past the last
+                        # pivot); its size is known from this histogram
                         if b < len(ps):
-                            # pivot value rows are counted separately; shrink hi below it
                             state[(g, k)] = [new_lo, ps[b], run]
+                            known_iv[(g, new_lo, ps[b], run)] = n_lt + h.get((b, True), 0)
+                        else:
+                            state[(g, k)] = [new_lo, hi, run]
+                            known_iv[(g, new_lo, hi, run)] = n_lt
                         placed = True
                         break
                     run += n_lt
