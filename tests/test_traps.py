@@ -410,3 +410,35 @@ def test_quantiles_ignore_nan_and_null(spark):
     from rebound.operators import ordered
     df = spark.createDataFrame([(float("nan"),), (1.0,), (3.0,), (None,), (2.0,)], "x double")
     assert ordered.exact_quantiles(df, "x", [0.0, 0.5, 1.0])[()] == [1.0, 2.0, 3.0]
+
+
+def test_vocabulary_size_check_falls_back_to_join(spark):
+    from rebound.operators import features as FE
+    rows = [("t1", "51", "A", "v1", "p1", 10.0), ("t2", "51", "B", "v1", "p1", 10.0),
+            ("t3", "51", "Z", "v9", "p1", 10.0)]
+    df = spark.createDataFrame(rows, "transaction_id string, response_code string, merchant_country string, "
+                                     "merchant_vertical string, processor_name string, amount_usd double")
+    train = df.where("transaction_id != 't3'")
+    vocab = FE.vocabulary(train, ["merchant_country", "merchant_vertical", "processor_name"])
+    fields = {"merchant_country": "merchant_country", "merchant_vertical": "merchant_vertical",
+              "processor_name": "processor_name"}
+    lists = decide.vocabulary_lists(vocab, fields, max_size=10)
+    assert lists["merchant_country"] == ["A", "B"]
+    assert decide.vocabulary_lists(vocab, fields, max_size=1) == {"merchant_vertical": ["v1"],
+                                                                  "processor_name": ["p1"]}
+    flagged = decide.vocabulary_flags(df, vocab, fields)
+    by_join = decide.scope_reason(countries=F.col("__in_merchant_country"), verticals=F.col("__in_merchant_vertical"),
+                                  processors=F.col("__in_processor_name"))
+    by_list = decide.scope_reason(countries=lists["merchant_country"], verticals=lists["merchant_vertical"],
+                                  processors=lists["processor_name"])
+    a = sorted((r[0], r[1]) for r in flagged.select("transaction_id", by_join).collect())
+    b = sorted((r[0], r[1]) for r in df.select("transaction_id", by_list).collect())
+    assert a == b == [("t1", None), ("t2", None), ("t3", "merchant_country")]
+
+
+def test_retrieval_query_bound(spark):
+    from rebound.operators import retrieval as R
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "qid int, v array<double>")
+    c = spark.createDataFrame([(1, [1.0, 0.0])], "cid int, e array<double>")
+    with pytest.raises(ValueError):
+        R.top_k_cosine(c, q, "cid", "e", "qid", "v", 1, max_queries=2)
