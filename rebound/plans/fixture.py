@@ -2,7 +2,7 @@
 
 The operators are written against column roles (transaction_id, timestamp,
 amount_usd, response_code, ...).  These views supply the roles from the
-fixture tables; ``rebound.plans.oracle`` holds the same definitions in SQL.
+fixture tables; ``rebound.plans.sqlbase`` holds the same definitions in SQL.
 
 declines  orders with o_orderstatus = 'F', joined to customer/nation/region
 retries   lineitem rows of a declined order shipped on/after the order date
