@@ -156,3 +156,16 @@ def test_cosine_top_k_with_filter_matches_bruteforce(spark):
                      for i, v in vecs.items() if labels[i] == 3))
         exp |= {(qr["label"], i) for _, i in sc[:3]}
     assert got == exp and len(got) == 6
+
+
+def test_frontier_agrees_with_policy_summary(spark):
+    from conftest import SF_MID
+    from rebound.operators import decide
+    from rebound.plans.q_metrics import split_modeling
+    sm = split_modeling(spark, SF_MID)
+    fr = {r["threshold"]: r for r in metrics.net_value_frontier(sm, "y", "probability").collect()}
+    t = 0.05
+    ps = decide.policy_summary(decide.score_policy(sm, "probability", "rules", t)).first()
+    row = fr[t]
+    assert (row["retry_count"], row["recovered_count"]) == (ps["retry_count"], ps["recovered_count"])
+    assert row["realized_net_value_usd"] == pytest.approx(ps["realized_net_value_usd"], rel=1e-12)
