@@ -33,7 +33,7 @@ from rebound.llm.shard import md5_key
 from rebound.session import materialize
 
 #: A leaf's hash space is cut so that a cell holds about so many rows.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 UNKNOWN = "unknown"
 LEVELS = ("domain", "language", "source")
 
@@ -65,7 +65,7 @@ MIX = Mix(weights={("domain", "web"): 3, ("domain", "books"): 4, ("domain", "cod
 def source_domain(source: str = "source") -> Column:
     """Domain of a source: by its number, thirds of web, books and code; src0 is web."""
     number = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int")
-    return F.element_at(F.array(*map(F.lit, ("web", "books", "code"))), (number % 3 + 1))
+    return F.when(number % 3 == 0, "web").when(number % 3 == 1, "books").when(number % 3 == 2, "code")
 
 
 def _leaf_columns(docs: DataFrame, domain: Column | None) -> DataFrame:

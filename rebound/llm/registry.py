@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from rebound.llm import language, mixing, shard, topk
+import corpus_pipeline
+from rebound.llm import bpe, compact, fingerprint, language, mixing, overlap, secrets, shard, topk, warc
 
 QUERIES: dict = {}
-for _module in (mixing, shard, language, topk):
+for _module in (mixing, shard, language, compact, overlap, secrets, bpe, warc, fingerprint, topk):
     QUERIES |= _module.QUERIES
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
