@@ -26,16 +26,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Edges in a partition of a round's table, about: rounds over few edges write few files.
+PART_EDGES = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node on an edge; a component's name is its smallest node."""
-    now = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
+    now = materialize(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
     mark = None
     while True:
-        now = materialize(_star(materialize(_star(now, True)), False))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark, parts = seen, max(1, -(-seen[0] // PART_EDGES))
+        now = materialize(_star(now.coalesce(parts), True).coalesce(parts))
+        now = materialize(_star(now, False).coalesce(parts))
     # All edges are now (node, smallest node); the smallest nodes themselves are named by them.
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
