@@ -19,6 +19,7 @@ CHUNK_BYTES = 8 << 20
 #: A worker forgets its word hashes when it has seen so many different words.
 CACHE_WORDS = 1 << 20
 
+_BASE = np.uint64(0x9FB21C651E98DF25)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -85,15 +86,15 @@ def shingles(flat: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     out = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=out[1:])
     start = np.arange(out[-1], dtype=np.int64) - np.repeat(out[:-1] - offsets[:-1], n)
-    acc = np.zeros(len(start), np.uint64)
-    short = np.repeat(count < size, n)
-    whole = start[~short]
-    part = np.zeros(len(whole), np.uint64)
+    runs = np.zeros(max(0, len(flat) - size + 1), np.uint64)  # of every place, across documents too
     for j in range(size):
-        part += mix(flat, j + 1)[whole + j] if len(whole) else np.zeros(0, np.uint64)
-    acc[~short] = part
+        runs = runs * _BASE + flat[j:j + len(runs)]
+    acc = np.zeros(len(start), np.uint64)
+    full = np.repeat(count >= size, n)
+    acc[full] = runs[start[full]]
     for k in np.flatnonzero((count > 0) & (count < size)):
-        own = flat[offsets[k]:offsets[k + 1]]
-        v = sum(int(mix(own[j:j + 1], j + 1)[0]) for j in range(len(own)))
-        acc[out[k]] = np.uint64((v + (len(own) << 56) + 1) & (2**64 - 1))
+        v = 0
+        for h in flat[offsets[k]:offsets[k + 1]].tolist():
+            v = v * int(_BASE) + h
+        acc[out[k]] = np.uint64((v + (int(count[k]) << 56) + 1) & (2**64 - 1))
     return mix(acc, size), out
