@@ -15,9 +15,9 @@ import pyarrow as pa
 import xxhash
 
 #: Texts are handed on in chunks of about so many bytes, whatever the batch holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: A worker forgets its word hashes when it has seen so many different words.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 17
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
