@@ -1,10 +1,11 @@
 """WARC archives: write, normalise, index, read back (operator 8).
 
-Pages are written as WARC records into archives of one gzip stream each, the
-form that cannot be entered in the middle.  The normaliser inflates such a
-stream once, from front to back, and rewrites every record as a gzip member of
-its own, noting each member's offset and length in an index file beside the
-archive.  Reading then goes by the index: one member at a time.
+Pages are written where they are read, as WARC response records into archives
+of one gzip stream each, the form that cannot be entered in the middle.  The
+normaliser inflates such a stream once, from front to back, and rewrites every
+record as a gzip member of its own, noting each member's offset and length in
+an index file beside the archive.  Reading then goes by the index: one member
+at a time.
 
 Files lie in the shared folder.  A task writes under a name that no other
 attempt uses and reports it only when the file is closed; the report is
@@ -12,8 +13,9 @@ checkpointed before the next step reads it, so a lost executor or a repeated
 task leaves at most files that nobody reads.
 
 Equal payloads of at least ``least`` bytes are kept once: the record of the
-smallest page id is the response, the others are revisits that name it.  That
-is settled on (page id, digest) alone, before any payload moves.
+smallest page id stays the response, the normaliser turns the others into
+revisits that name it.  That is settled between the two steps on the digests
+that writing reported, so payloads are never shuffled.
 
 Edge cases: a null html is the empty payload; pages without id, and those that
 share the smallest id, stay responses; a null url is written as the id's own
@@ -46,20 +48,28 @@ _END = b"\r\n\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id, url, payload: bytes, refers_to=None) -> bytes:
-    """One WARC record; a revisit (``refers_to``) carries the response's headers without the payload."""
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def _name(page_id) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def response(page_id, url, payload: bytes, digest: str) -> bytes:
+    """One WARC response record."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     target = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{page_id}"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}",
-             f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {_REVISIT_PROFILE}"]
-    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    lines = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Target-URI: {target}",
+             f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _END + block + _END
 
 
+def as_revisit(data: bytes, refers_to) -> bytes:
+    """A response record without its payload, naming the record that has it."""
+    head, _, block = data.partition(_END)
+    http = block[:block.find(_END) + len(_END)]
+    lines = [x for x in head.decode().split("\r\n") if not x.startswith(("WARC-Type:", "Content-Length:"))]
+    lines += ["WARC-Type: revisit", f"WARC-Refers-To: {_name(refers_to)}", f"WARC-Profile: {_REVISIT_PROFILE}", f"Content-Length: {len(http)}"]
+    return "\r\n".join(lines).encode() + _END + http + _END
+
+
 def headers(head: bytes) -> dict[str, str]:
     """Fields of a header block (names in lower case), its first line under the empty name."""
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
@@ -117,50 +127,68 @@ def _new(base: str, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}.warc.gz"
 
 
+_WRITTEN = pa.schema([("archive", pa.string()), ("nth", pa.int32()), ("page_id", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string())])
+
+
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes (page_id, url, html, refers_to) as whole-file gzip archives; (archive, records) of each."""
+    """Writes (page_id, url, html) as whole-file gzip archives; (archive, nth, page_id, bytes, digest) of each record."""
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
-        done, out = [], None
+        out, rows = None, []
 
-        def close():
+        def closed():
+            nonlocal out
             out.write(z.flush())
             out.close()
-            done.append((path, n))
+            out = None
+            done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k.type) for i, k in enumerate(_WRITTEN)], schema=_WRITTEN)
+            rows.clear()
+            return done
 
         for batch in batches:
-            for page, url, html, refers in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), utf8(batch["html"]), batch["refers_to"].to_pylist()):
+            for page, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), utf8(batch["html"])):
                 if out is None:
-                    path, n, size, z = _new(base, "whole"), 0, 0, zlib.compressobj(6, zlib.DEFLATED, 31)
+                    path, size, z = _new(base, "whole"), 0, zlib.compressobj(6, zlib.DEFLATED, 31)
                     out = fs.open_output_stream(path, compression=None)
-                data = record(page, url, html or b"", refers)
+                payload = html or b""
+                digest = hashlib.sha256(payload).hexdigest()
+                data = response(page, url, payload, digest)
                 out.write(z.compress(data))
-                n, size = n + 1, size + len(data)
+                rows.append((path, len(rows), page, len(payload), digest))
+                size += len(data)
                 if size >= archive_bytes:
-                    close()
-                    out = None
+                    yield closed()
         if out is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["archive", "records"])
+            yield closed()
+
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return own.mapInArrow(write, "archive string, nth int, page_id long, bytes long, digest string")
+
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(write, "archive string, records long")
+def revisits(written: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(archive, nth, refers_to) of the records that revisit another, from the report of ``write_archives``."""
+    large = written.where(F.col("bytes") >= least)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
+    return large.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("archive", "nth", "refers_to")
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrites whole-file archives with a member per record and an index beside; (archive, idx, records)."""
+    """Rewrites whole-file archives (archive, revisits: array of (nth, refers_to)) with a member
+    per record and an index beside; (archive, idx, records)."""
 
     def rewrite(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             done = []
-            for source in batch["archive"].to_pylist():
+            for source, again in zip(batch["archive"].to_pylist(), batch["revisits"].to_pylist()):
                 path, at, lines = _new(base, "member"), 0, []
+                again = {r["nth"]: r["refers_to"] for r in again or ()}
                 with fs.open_input_stream(source, compression=None) as f, fs.open_output_stream(path, compression=None) as out:
-                    for h, data in split_records(inflate(_pieces(f))):
-                        member = _gzip(data)
+                    for nth, (h, data) in enumerate(split_records(inflate(_pieces(f)))):
+                        member = _gzip(as_revisit(data, again[nth]) if nth in again else data)
                         out.write(member)
-                        lines.append(f"{at} {len(member)} {h['warc-record-id']} {h['warc-type']}\n")
+                        lines.append(f"{at} {len(member)} {h['warc-record-id']} {'revisit' if nth in again else h['warc-type']}\n")
                         at += len(member)
                 with fs.open_output_stream(f"{path}.idx", compression=None) as out:
                     out.write("".join(lines).encode())
@@ -168,7 +196,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))],
                                              names=["archive", "idx", "records"])
 
-    return archives.select("archive").mapInArrow(rewrite, "archive string, idx string, records long")
+    return archives.select("archive", "revisits").mapInArrow(rewrite, "archive string, idx string, records long")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -216,24 +244,14 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive", "idx").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def first_of_equals(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that revisit another, settled without moving payloads."""
-    html = F.coalesce("html", F.lit(""))
-    slim = pages.select("page_id", F.octet_length(html).alias("bytes"), F.sha2(html.cast("binary"), 256).alias("digest")).where(F.col("bytes") >= least)
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    return slim.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
-
-
 def archive_pages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``pages`` (page_id, url, html), normalises and indexes the archives; the archives' table."""
-    spark = pages.sparkSession
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    first = first_of_equals(pages)
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", digest.alias("digest"))
-    whole = materialize(write_archives(keyed.join(first, ["page_id", "digest"], "left"), folder))
-    return materialize(normalise_archives(_one_each(spark, whole), folder))
+    written = materialize(write_archives(pages, folder))
+    again = revisits(written).groupBy("archive").agg(F.collect_list(F.struct("nth", "refers_to")).alias("revisits"))  # of one archive
+    todo = written.select("archive").distinct().join(again, "archive", "left")
+    return materialize(normalise_archives(_one_each(pages.sparkSession, materialize(todo)), folder))
 
 
 def _one_each(spark: SparkSession, archives: DataFrame) -> DataFrame:
