@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,13 +181,16 @@ def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, part: np.ndar
 
 def similar_components(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links at Jaccard >= num / den of ``size``-word shingles."""
-    sets = materialize(_sets(docs, size, num, den))
+    # The keys are read once, right after the sets: they stay in the executors' memory (or are computed anew), not in the shared folder.
+    keyed = _sets(docs, size, num, den).persist(StorageLevel.MEMORY_AND_DISK)
+    sets = materialize(keyed.select("doc_id", "n", "e1", "e2"))
     classes = materialize(sets.where("n > 0").groupBy("e1", "e2", "n").agg(F.min("doc_id").alias("rep")))
     # Sets that share a key: a star around the smallest address of each key, from one shuffle read twice.
-    keys = sets.select(F.explode("keys").alias("key"), "e1").repartition("key")
+    keys = keyed.select(F.explode("keys").alias("key"), "e1").repartition("key")
     least = keys.groupBy("key").agg(F.min("e1").alias("m"), F.max("e1").alias("x")).where("m < x").select("key", "m")
     meet = keys.join(least, "key").where("e1 <> m").select(F.col("m").alias("a"), F.col("e1").alias("b")).distinct()
     label = components(meet).select(F.col("node").alias("e1"), F.col("component").alias("label"))
+    keyed.unpersist()
     cand = materialize(classes.where("rep is not null").join(label, "e1").select("rep", "e1", "n", "label"))
     total = cand.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / block))
