@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from rebound import config as C
 from rebound.functions.parse import missing_as
-from rebound.operators.ordered import exact_quantiles, prefix_sums, top_k_per_group
+from rebound.operators.ordered import count_below, exact_quantiles, prefix_sums, top_k_per_group
+from rebound.session import materialize
 
 KS_TERMS = 100
 
@@ -64,26 +65,22 @@ def psi(long: DataFrame, bins: int = 10, open_ends: bool = False, sizes: dict |
     q = exact_quantiles(base, "value", probs, ["feature"],
                         counts={(f,): n for (f, smp), n in sizes.items() if smp == "base"})
     edges = {g[0]: sorted(set(v)) for g, v in q.items()}
-    rows = []
-    bucket = F.lit(None).cast("int")
-    for f, e in edges.items():
-        if len(e) < 3 or not present.get(f):
-            continue
-        arr = F.array(*[F.lit(float(x)) for x in e])
-        le = F.size(F.filter(arr, lambda x: x <= F.col("value")))
-        b = F.when(F.col("value") == F.lit(float(e[-1])), F.lit(len(e) - 2)).otherwise(le - 1)
-        if open_ends:
-            b = F.least(F.greatest(b, F.lit(0)), F.lit(len(e) - 2))
-        else:
-            b = F.when((F.col("value") < F.lit(float(e[0]))) | (F.col("value") > F.lit(float(e[-1]))),
-                       F.lit(None)).otherwise(b)
-        bucket = F.when(F.col("feature") == f, b).otherwise(bucket)
-        rows += [(f, i) for i in range(len(e) - 1)]
+    used = {f: [float(x) for x in e] for f, e in edges.items() if len(e) >= 3 and present.get(f)}
+    rows = [(f, i) for f, e in used.items() for i in range(len(e) - 1)]
     out_schema = "feature string, psi double"
     feats = sorted(present)
     if not rows:
         return spark.createDataFrame([(f, (0.0 if present[f] else None)) for f in feats], out_schema)
-    counts = (vals.withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
+    # bin edges as a table of one array per feature: the plan is the same for any number of features
+    table = F.broadcast(spark.createDataFrame(sorted(used.items()), "feature string, __e array<double>"))
+    v, e, last = F.col("value"), F.col("__e"), F.size("__e") - 2
+    below = count_below(e, v, bins + 1, F.size("__e"))
+    b = F.least(F.when(F.get(e, below) == v, below).otherwise(below - 1), last)  # the last edge belongs to the last bin
+    if open_ends:
+        b = F.greatest(b, F.lit(0))
+    else:
+        b = F.when((v >= F.get(e, F.lit(0))) & (v <= F.element_at(e, -1)), b)
+    counts = (vals.join(table, "feature").withColumn("bucket", b).where(F.col("bucket").isNotNull())
               .groupBy("feature", "bucket")
               .agg(F.count_if(F.col("sample") == "base").alias("e"),
                    F.count_if(F.col("sample") == "current").alias("a")))
@@ -117,14 +114,13 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = KS_TERMS)
     return F.when(z < F.lit(0.05), F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks(long: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """two-sample KS statistic per feature (+ F3 p-value).  ``max_rows``
-    bounds the distinct (feature, value) rows when the caller knows it."""
+def ks(long: DataFrame) -> DataFrame:
+    """two-sample KS statistic per feature (+ F3 p-value)."""
     vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     collapsed = vals.groupBy("feature", "value").agg(
         F.count_if(F.col("sample") == "base").alias("b"),
         F.count_if(F.col("sample") == "current").alias("c"))
-    pre = prefix_sums(collapsed, "value", ["b", "c"], ["feature"], max_rows=max_rows)
+    pre = prefix_sums(collapsed, "value", ["b", "c"], ["feature"])
     # totals per feature: one row per feature, joined back (never a window
     # over all distinct values of a feature)
     tot = collapsed.groupBy("feature").agg(F.sum("b").alias("nb"), F.sum("c").alias("nc"))
@@ -194,12 +190,13 @@ def drift_table(base: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     num = [f for f in numeric if f in have]
     cat = [f for f in categorical if f in have]
     parts = []
+    held = [df.select(*num).persist() for df in (base, cur)] if num else []  # rows, not rows x features
     if num:
-        long = numeric_long(base, cur, num).cache()
+        long = numeric_long(*held, num)
         names = spark.createDataFrame([(f,) for f in num], "feature string")
         sizes = sample_sizes(long)
         n = (names.join(psi(long, sizes=sizes), "feature", "left")
-             .join(ks(long, max_rows=sum(sizes.values())), "feature", "left")
+             .join(ks(long), "feature", "left")
              .select("feature", F.lit("numeric").alias("feature_type"), "psi", "ks_stat", "p_value",
                      F.lit(None).cast("double").alias("js_divergence")))
         parts.append(n)
@@ -217,6 +214,9 @@ def drift_table(base: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = materialize(out)  # one row per feature
+    for df in held:
+        df.unpersist()
     return out.withColumn("alert", F.when(F.col("feature_type") == "missing", F.lit(None))
                           .otherwise(drift_alert(F.col("psi"), F.col("js_divergence"), F.col("p_value"))))
 

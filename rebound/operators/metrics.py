@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebound import config as C
+from rebound.operators.joins import join_on
 from rebound.operators.ordered import exact_quantiles, kth_boundaries, prefix_sums, top_k_per_group
 
 
@@ -25,15 +26,14 @@ def _y(label) -> Column:
 # ---------------------------------------------------------------- W1
 def temporal_split(df: DataFrame, ts_col: str = "timestamp", id_col: str = "transaction_id",
                    fractions: Sequence[float] = (0.70, 0.85),
-                   names: Sequence[str] = ("train", "validation", "test"),
-                   limit: int = 200_000) -> DataFrame:
+                   names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
     """70/15/15 split by position in (ts asc NULLS LAST, id) order.
 
     The two boundary rows are found by exact order statistics, then the split
     is a pure comparison per row: no shuffle, no single-task sort.
     """
     keyed = df.withColumn("__tnull", F.col(ts_col).isNull())
-    _, bounds = kth_boundaries(keyed, ["__tnull", ts_col, id_col], fractions, limit=limit)
+    _, bounds = kth_boundaries(keyed, ["__tnull", ts_col, id_col], fractions)
     key = F.struct(F.col("__tnull").alias("c0"), F.col(ts_col).alias("c1"), F.col(id_col).alias("c2"))
     ktype = keyed.select(key.alias("k")).schema["k"].dataType
     expr = None
@@ -91,7 +91,7 @@ def metric_bundle(df: DataFrame, label: str, score: str, threshold=0.5,
     out = agg.select(*group_cols, "rows", "positives", "log_loss", "brier", "tp", "fp", "fn",
                      *prf1(F.col("tp"), F.col("fp"), F.col("fn")), "predicted_positive_rate")
     if with_auc:
-        out = out.join(auc(df, label, score, group_cols), group_cols, "left")
+        out = join_on(out, auc(df, label, score, group_cols), group_cols, "left")
     return out.drop(*drop)
 
 
@@ -128,8 +128,11 @@ def _grid_table(df: DataFrame, group_cols, sums: dict, score: str, grid) -> Data
     dense = (per_bucket.select(*group_cols).distinct()
              .select(*group_cols, F.explode(grid_arr).alias("__t"))
              .select(*group_cols, "__t.bucket", "__t.threshold"))
-    full = (dense.join(per_bucket, [*group_cols, "bucket"], "full_outer")
-            .na.fill(0, subset=list(sums)))
+    zero = [F.lit(0).cast(per_bucket.schema[n].dataType).alias(n) for n in sums]
+    full = (per_bucket.select(*group_cols, "bucket", F.lit(None).cast("double").alias("threshold"), *sums)
+            .unionByName(dense.select(*group_cols, "bucket", "threshold", *zero))
+            .groupBy(*group_cols, "bucket")
+            .agg(F.max("threshold").alias("threshold"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums]))
     w = (Window.partitionBy(*group_cols).orderBy(F.col("bucket").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     suffix = full.select(*group_cols, "bucket", "threshold",
@@ -154,7 +157,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str, group_cols: Sequence[
     df, group_cols, drop = _with_group(df, group_cols)
     t = _grid_table(df, group_cols, {"tp": y, "fp": F.lit(1) - y}, score, grid)
     tot = df.groupBy(*group_cols).agg(F.sum(y).alias("__pos"))
-    t = t.join(tot, group_cols)
+    t = join_on(t, tot, group_cols)
     t = t.withColumn("fn", F.col("__pos") - F.col("tp"))
     return t.select(*group_cols, "threshold", "tp", "fp", "fn",
                     *prf1(F.col("tp"), F.col("fp"), F.col("fn"))).drop(*drop)
@@ -278,3 +281,21 @@ def segment_metrics(df: DataFrame, label: str, score: str, threshold=0.5,
     return m.select("segment_column", "segment_value", "rows",
                     (F.col("positives") / F.col("rows")).alias("positive_rate"),
                     "auc", "precision", "recall", "f1")
+
+
+# ---------------------------------------------------------------- M9 deltas
+DELTA_METRICS = ("auc", "log_loss", "brier", "precision", "recall", "f1")
+
+
+def metric_deltas(df: DataFrame, label: str, before: str, after: str, threshold=0.5) -> DataFrame:
+    """M9: (metric, before, after, delta) of two score columns over the same
+    rows, e.g. raw and calibrated, or champion and challenger."""
+    scores = F.explode(F.array(F.struct(F.lit("before").alias("which"), F.col(before).alias("p")),
+                               F.struct(F.lit("after").alias("which"), F.col(after).alias("p"))))
+    both = df.select(F.col(label), scores.alias("s")).select(label, "s.which", "s.p")
+    m = metric_bundle(both, label, "p", threshold, ["which"])
+    long = m.select("which", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v"))
+                                                 for n in DELTA_METRICS])).alias("x")).select("which", "x.metric", "x.v")
+    out = long.groupBy("metric").agg(F.max(F.when(F.col("which") == "before", F.col("v"))).alias("before"),
+                                     F.max(F.when(F.col("which") == "after", F.col("v"))).alias("after"))
+    return out.withColumn("delta", F.col("after") - F.col("before"))

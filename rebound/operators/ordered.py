@@ -6,17 +6,18 @@ Two tools replace it:
 ``order_statistics``  exact k-th smallest values (any orderable type, ties
     allowed) by iterative narrowing: per pass, sample a bounded set of pivots
     from the still-open interval, count rows per pivot bucket in one grouped
-    aggregate, keep the bucket holding rank k.  Only when an interval holds
-    fewer than ``limit`` rows are its values brought to the driver.  A hot
-    value (a third of all rows equal) is resolved by its equality count and
-    never collected.  Drives the temporal split (W1) and exact quantiles
-    (F1 PSI edges, M7 calibration buckets, G7 medians).
+    aggregate, keep the bucket holding rank k, until k falls on a pivot's
+    equality count.  Intervals and pivots are a small broadcast table, so a
+    plan has the same size for any number of groups.  A hot value (a third of
+    all rows equal) is resolved by its equality count.  Drives the temporal
+    split (W1) and exact quantiles (F1 PSI edges, M7 calibration buckets, G7
+    medians).
 
 ``prefix_sums``  cumulative sums over a collapsed (group, value) table:
-    rows are bucketed by cut points (a pure expression of driver literals,
-    so recomputation after a lost executor cannot move a boundary), bucket
-    totals become offsets, and a window partitioned by (group, bucket) adds
-    the in-bucket running sum.  Drives midrank AUC (M1) and KS (F2).
+    rows are bucketed by cut points (computed once and broadcast, so
+    recomputation after a lost executor cannot move a boundary), bucket totals
+    become offsets, and a window partitioned by (group, bucket) adds the
+    in-bucket running sum.  Drives midrank AUC (M1) and KS (F2).
 """
 
 from __future__ import annotations
@@ -75,11 +76,12 @@ def _group_condition(group_cols, key) -> Column:
     return cond
 
 
-def count_below(arr: Column, v: Column, n: int) -> Column:
-    """Number of elements of the sorted array ``arr`` (length ``n``) that are
-    strictly below ``v``: a binary search in ceil(log2(n + 1)) steps."""
+def count_below(arr: Column, v: Column, n: int, length: Column | None = None) -> Column:
+    """Number of elements of the sorted array ``arr`` that are strictly below
+    ``v``: a binary search in ceil(log2(n + 1)) steps.  The array has ``n``
+    elements, or ``length`` of them and at most ``n``."""
     steps = max(1, math.ceil(math.log2(n + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    init = F.struct(F.lit(0).alias("lo"), (F.lit(n) if length is None else length).alias("hi"))
 
     def step(acc, _):
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
@@ -91,144 +93,109 @@ def count_below(arr: Column, v: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+def _row_literal(v):
+    """A pivot as createDataFrame takes it: tuples for structs."""
+    return tuple(v) if isinstance(v, tuple) else v
+
+
+def _interval_table(spark, base: DataFrame, group_cols, vtype, entries: list) -> DataFrame:
+    """(group columns, __ivs): the open intervals of each group, each with its pivots.
+
+    One row per group of the request, at most ``fanout`` pivots per requested
+    rank, so its size is fixed by the request and not by the data.
+    """
+    from pyspark.sql import types as T
+    iv = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("lo", vtype), T.StructField("hi", vtype),
+                       T.StructField("has_lo", T.BooleanType()), T.StructField("has_hi", T.BooleanType()),
+                       T.StructField("pivots", T.ArrayType(vtype))])
+    schema = T.StructType([T.StructField(f"__g{i}", base.schema[g].dataType) for i, g in enumerate(group_cols)]
+                          + [T.StructField("__ivs", T.ArrayType(iv))])
+    by_group: dict = {}
+    for idx, g, lo, hi, pivots in entries:
+        by_group.setdefault(g, []).append((idx, _row_literal(lo), _row_literal(hi), lo is not None, hi is not None,
+                                           [_row_literal(x) for x in pivots]))
+    return spark.createDataFrame([(*g, ivs) for g, ivs in by_group.items()], schema)
+
+
+def _in_intervals(base: DataFrame, table: DataFrame, group_cols) -> DataFrame:
+    """Rows of ``base`` that lie in an open interval, with that interval as ``__iv``.
+
+    Open intervals of one group are disjoint or identical (children of disjoint
+    pivot buckets), so each row belongs to at most one.
+    """
+    v = F.col("__v")
+    inside = F.filter("__ivs", lambda x: (~x["has_lo"] | (v > x["lo"])) & (~x["has_hi"] | (v <= x["hi"])))
+    cond = F.lit(True)
+    for i, g in enumerate(group_cols):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return base.join(F.broadcast(table), cond).withColumn("__iv", F.get(inside, F.lit(0))).where(F.col("__iv").isNotNull())
+
+
 def order_statistics(df: DataFrame, value, ranks: dict, group_cols: Sequence[str] = (),
-                     limit: int = 200_000, fanout: int = 64, seed: int = 17,
-                     max_passes: int = 40, sizes: dict | None = None) -> dict:
+                     fanout: int = 512, seed: int = 17, sizes: dict | None = None) -> dict:
     """Exact order statistics.
 
     ``value``: a column name, or a list of names compared lexicographically.
     ``ranks``: {group_key_tuple: [k, ...]} with 0-based ranks among non-NULL
-    values of that group.  Returns {(group_key, k): value}.  ``sizes`` (the
-    non-NULL count per group, when the caller has it) saves the first pass's
-    counting job.
+    values of that group.  Returns {(group_key, k): value} (None for a rank past
+    the end).  ``sizes`` (the non-NULL count per group, when the caller has it)
+    saves the counting job.
+
+    One path at every size: each pass samples about 4 x ``fanout`` pivots from
+    each open interval, counts the rows between and equal to them in one
+    grouped aggregate, and keeps the gap that holds the rank.  An interval of
+    fewer rows is sampled whole, so its values all become pivots sooner or
+    later and the rank ends on an equality count; passes go on until then.
     """
     group_cols = list(group_cols)
     v = _as_value(value)
     base = df.select(*[F.col(g) for g in group_cols], v.alias("__v"))
     vtype = base.schema["__v"].dataType
     base = base.where(_valid(F.col("__v"), vtype))
-    # open targets: (group, k) -> [lo, hi, below]; interval is (lo, hi], below = #rows <= lo
-    state = {(g, k): [None, None, 0] for g, ks in ranks.items() for k in ks}
-    out: dict = {}
-    # known interval sizes: the group sizes at the start, then the histogram
-    # counts of each narrowed interval (so later passes skip counting)
-    known_iv: dict = {}
-    if sizes is not None:
-        for g in ranks:
-            known_iv[(g, None, None, 0)] = sizes.get(g, 0)
-    for pass_no in range(max_passes):
-        open_t = {t: s for t, s in state.items() if t not in out}
-        if not open_t:
-            break
-        # distinct intervals (targets of one group often share them)
-        intervals: dict = {}
-        for (g, k), (lo, hi, below) in open_t.items():
-            intervals.setdefault((g, lo, hi, below), []).append(k)
-        conds = []
-        tagged = []
-        for idx, (g, lo, hi, below) in enumerate(intervals):
-            c = _group_condition(group_cols, g)
-            if lo is not None:
-                c = c & (F.col("__v") > _lit_value(lo, vtype))
-            if hi is not None:
-                c = c & (F.col("__v") <= _lit_value(hi, vtype))
-            conds.append(c)
-            tagged.append((idx, g, lo, hi, below))
-        iv = F.lit(None).cast("int")
-        for idx, c in reversed(list(enumerate(conds))):
-            iv = F.when(c, F.lit(idx)).otherwise(iv)
-        # Open intervals of one group are disjoint or identical (children of
-        # disjoint pivot buckets), so each row belongs to at most one.
-        cand = base.withColumn("__iv", iv).where(F.col("__iv").isNotNull())
-        if all((g, lo, hi, below) in known_iv for _, g, lo, hi, below in tagged):
-            n_iv = {idx: known_iv[(g, lo, hi, below)] for idx, g, lo, hi, below in tagged}
-        else:
-            n_iv = {r["__iv"]: r["n"] for r in cand.groupBy("__iv").agg(F.count(F.lit(1)).alias("n")).collect()}
-        # intervals below ``limit`` are collected, but never more than
-        # ``limit`` values in one pass in total; the rest are narrowed further
-        small, large, budget = [], [], limit
-        for t in sorted(tagged, key=lambda t: n_iv.get(t[0], 0)):
-            n_t = n_iv.get(t[0], 0)
-            if n_t <= budget:
-                small.append(t)
-                budget -= n_t
-            else:
-                large.append(t)
-        if small:
-            ids = [t[0] for t in small]
-            got: dict = {}
-            for r in cand.where(F.col("__iv").isin(ids)).select("__iv", "__v").collect():
-                got.setdefault(r["__iv"], []).append(_row_value(r["__v"]))
-            for idx, g, lo, hi, below in small:
-                vals = sorted(got.get(idx, []), key=_sort_key)
-                for k in intervals[(g, lo, hi, below)]:
-                    pos = k - below
-                    if 0 <= pos < len(vals):
-                        out[(g, k)] = vals[pos]
-                    else:
-                        out[(g, k)] = None
-        if not large:
-            continue
-        # sample pivots from each large interval (bounded: ~4*fanout per interval)
-        frac = F.lit(0.0)
-        for idx, *_ in large:
-            frac = F.when(F.col("__iv") == idx, F.lit(min(1.0, 4.0 * fanout / n_iv[idx]))).otherwise(frac)
-        sample = (cand.where(F.col("__iv").isin([t[0] for t in large]))
-                  .where(F.rand(seed + pass_no) < frac).select("__iv", "__v").collect())
-        piv: dict = {}
-        for r in sample:
-            piv.setdefault(r["__iv"], set()).add(_row_value(r["__v"]))
+    spark = df.sparkSession
+    if sizes is None:
+        sizes = {_group_key(r, group_cols): r["n"] for r in base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out: dict = {(g, k): None for g, ks in ranks.items() for k in ks}
+    # open ranks by interval: (group, lo, hi) -> [rows below it, rows in it, ranks]; the interval is (lo, hi]
+    intervals = {(g, None, None): [0, sizes.get(g, 0), [k for k in ks if 0 <= k < sizes.get(g, 0)]] for g, ks in ranks.items()}
+    pass_no = 0
+    while intervals := {i: x for i, x in intervals.items() if x[2]}:
+        tagged = list(intervals)
+        table = _interval_table(spark, base, group_cols, vtype, [(n, *t, []) for n, t in enumerate(tagged)])
+        share = F.element_at(F.array(*[F.lit(min(1.0, 4.0 * fanout / intervals[t][1])) for t in tagged]), F.col("__iv.idx") + 1)
+        drawn: dict = {}
+        for r in _in_intervals(base, table, group_cols).where(F.rand(seed + pass_no) < share).select("__iv.idx", "__v").collect():
+            drawn.setdefault(r["idx"], set()).add(_row_value(r["__v"]))
         pivots = {}
-        for idx, *_ in large:
-            vals = sorted(piv.get(idx, set()), key=_sort_key)
-            step = max(1, len(vals) // fanout)
-            pivots[idx] = vals[step - 1::step] or vals
+        for n in range(len(tagged)):
+            vals = sorted(drawn.get(n, set()), key=_sort_key)
+            pivots[n] = vals[::max(1, math.ceil(len(vals) / fanout))]
         # one grouped pass: per interval, count rows equal to / below each pivot
-        bucket = F.lit(None).cast("int")
-        equal = F.lit(False)
-        for idx, *_ in large:
-            arr = F.array(*[_lit_value(p, vtype) for p in pivots[idx]])
-            b = F.size(F.filter(arr, lambda x: x < F.col("__v")))
-            e = F.exists(arr, lambda x: x == F.col("__v"))
-            bucket = F.when(F.col("__iv") == idx, b).otherwise(bucket)
-            equal = F.when(F.col("__iv") == idx, e).otherwise(equal)
-        counts = (cand.where(F.col("__iv").isin([t[0] for t in large]))
-                  .groupBy("__iv", bucket.alias("b"), equal.alias("eq"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect())
-        hist: dict = {}
-        for r in counts:
-            hist.setdefault(r["__iv"], {})[(r["b"], r["eq"])] = r["n"]
-        for idx, g, lo, hi, below in large:
-            h = hist.get(idx, {})
-            ps = pivots[idx]
-            for k in intervals[(g, lo, hi, below)]:
-                run = below
-                placed = False
-                for b in range(len(ps) + 1):
-                    # rows strictly between pivot b-1 and pivot b
-                    n_lt = h.get((b, False), 0)
-                    new_lo = lo if b == 0 else ps[b - 1]
-                    if k < run + n_lt:
-                        # next interval (new_lo, p_b] (or (new_lo, hi] past the last
-                        # pivot); its size is known from this histogram
-                        if b < len(ps):
-                            state[(g, k)] = [new_lo, ps[b], run]
-                            known_iv[(g, new_lo, ps[b], run)] = n_lt + h.get((b, True), 0)
-                        else:
-                            state[(g, k)] = [new_lo, hi, run]
-                            known_iv[(g, new_lo, hi, run)] = n_lt
-                        placed = True
-                        break
-                    run += n_lt
-                    if b < len(ps):
-                        n_eq = h.get((b, True), 0)
-                        if k < run + n_eq:
-                            out[(g, k)] = ps[b]
-                            placed = True
-                            break
-                        run += n_eq
-                if not placed:
-                    out[(g, k)] = None
+        table = _interval_table(spark, base, group_cols, vtype, [(n, *t, pivots[n]) for n, t in enumerate(tagged)])
+        most = max(len(x) for x in pivots.values())
+        placed = _in_intervals(base, table, group_cols).select(
+            F.col("__iv.idx").alias("idx"), F.col("__v"), F.col("__iv.pivots").alias("__p"))
+        placed = placed.withColumn("b", count_below(F.col("__p"), F.col("__v"), most, F.size("__p")))
+        counts = placed.groupBy("idx", "b", (F.coalesce(F.get("__p", F.col("b")) == F.col("__v"), F.lit(False))).alias("eq")) \
+            .agg(F.count(F.lit(1)).alias("n")).collect()
+        hist = {(r["idx"], r["b"], r["eq"]): r["n"] for r in counts}
+        narrowed: dict = {}
+        for n, (g, lo, hi) in enumerate(tagged):
+            run, _, ks = intervals[g, lo, hi]
+            ks, ps = sorted(ks), pivots[n]
+            for b in range(len(ps) + 1):
+                gap, eq = hist.get((n, b, False), 0), hist.get((n, b, True), 0)
+                inside = [k for k in ks if run <= k < run + gap]
+                if inside:  # strictly between two pivots; the upper one bounds the interval but is not in it
+                    top = ps[b] if b < len(ps) else hi
+                    held = gap + (eq if b < len(ps) else 0)
+                    narrowed[g, lo if b == 0 else ps[b - 1], top] = [run, held, inside]
+                for k in ks:
+                    if run + gap <= k < run + gap + eq:
+                        out[g, k] = ps[b]
+                run += gap + eq
+        intervals = narrowed
+        pass_no += 1
     return out
 
 
@@ -243,7 +210,7 @@ def group_counts(df: DataFrame, value, group_cols: Sequence[str] = ()) -> dict:
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), counts: dict | None = None,
-                    limit: int = 200_000, fanout: int = 64) -> dict:
+                    fanout: int = 512) -> dict:
     """Linear-interpolation quantiles (numpy / DuckDB ``quantile_cont``).
 
     Returns {group_key_tuple: [q-values]} for groups with at least one value.
@@ -257,7 +224,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
             ks.add(int(math.floor(pos)))
             ks.add(int(math.ceil(pos)))
         ranks[g] = sorted(k for k in ks if 0 <= k < n)
-    stats = order_statistics(df, value, ranks, group_cols, sizes=counts, limit=limit, fanout=fanout)
+    stats = order_statistics(df, value, ranks, group_cols, sizes=counts, fanout=fanout)
     res = {}
     for g, n in counts.items():
         if n == 0:
@@ -273,7 +240,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence[float],
-                   limit: int = 200_000, fanout: int = 64) -> tuple[int, list]:
+                   fanout: int = 512) -> tuple[int, list]:
     """Keys of the rows at ordinal floor(n * f) for each fraction.
 
     ``order_cols`` must identify a row uniquely (add the id).  Returns
@@ -282,46 +249,40 @@ def kth_boundaries(df: DataFrame, order_cols: Sequence[str], fractions: Sequence
     n = df.count()
     ks = [int(math.floor(n * f)) for f in fractions]
     want = sorted({k for k in ks if k < n})
-    stats = order_statistics(df, list(order_cols), {(): want}, limit=limit, fanout=fanout,
-                             sizes={(): n}) if want else {}
-    return n, [stats.get(((), k)) if k < n else None for k in ks]
+    stats = order_statistics(df, list(order_cols), {(): want}, fanout=fanout, sizes={(): n}) if want else {}
+    return n, [stats[(), k] if k < n else None for k in ks]
 
 
 def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
-                group_cols: Sequence[str] = (), rows_per_bucket: int = 250_000,
-                accuracy: int = 10_000, max_rows: int | None = None) -> DataFrame:
+                group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before`` = sum of ``c`` over rows of the same group with a
     smaller ``value`` (strictly), for a table with one row per (group, value).
-    ``max_rows`` (an upper bound on the rows, e.g. the pre-collapse count)
-    skips the counting job when it already fits one bucket.
+
+    About sqrt(rows) / 8 buckets per group (or ``buckets``), so that the cut
+    points and a bucket's rows both grow with the square root of the table.
     """
     group_cols = list(group_cols)
-    n_rows = max_rows if max_rows is not None and max_rows <= rows_per_bucket else collapsed.count()
-    p = max(1, min(1024, math.ceil(n_rows / rows_per_bucket)))
-    if p <= 1:
-        bucketed = collapsed.withColumn("__b", F.lit(0))
-    else:
-        probs = [i / p for i in range(1, p)]
-        cuts = (collapsed.groupBy(*group_cols)
-                .agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("cuts"))
-                .collect())
-        b = F.lit(0)
-        for r in cuts:
-            key = _group_key(r, group_cols)
-            cs = sorted(set(r["cuts"] or []))
-            if not cs:
-                continue
-            arr = F.array(*[F.lit(float(c)) for c in cs])
-            b = F.when(_group_condition(group_cols, key),
-                       count_below(arr, F.col(value).cast("double"), len(cs))).otherwise(b)
-        bucketed = collapsed.withColumn("__b", b)
+    p = buckets or max(2, math.ceil(math.sqrt(collapsed.count()) / 8))
+    probs = [i / p for i in range(1, p)] or [0.5]
+    spark = collapsed.sparkSession
+    cut_rows = (collapsed.groupBy(*group_cols)
+                .agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 10 * p))).alias("__cuts")))
+    cuts = spark.createDataFrame(cut_rows.collect(), cut_rows.schema)  # cut points: p per group
+    for i, g in enumerate(group_cols):
+        cuts = cuts.withColumnRenamed(g, f"__g{i}")
+    same = F.lit(True)
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    bucketed = collapsed.join(F.broadcast(cuts), same).withColumn(
+        "__b", count_below(F.col("__cuts"), F.col(value).cast("double"), p, F.coalesce(F.size("__cuts"), F.lit(0)))) \
+        .select(*collapsed.columns, "__b")
     totals = bucketed.groupBy(*group_cols, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     w_off = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group_cols, "__b",
+    offsets = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], F.col("__b").alias("__ob"),
                             *[F.coalesce(F.sum(f"__t_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}")
                               for c in sum_cols])
-    # offsets hold one row per (group, bucket): bounded by groups x buckets
-    j = bucketed.join(F.broadcast(offsets), [*group_cols, "__b"])
+    # offsets hold one row per (group, bucket): bounded by the cut points
+    j = bucketed.join(F.broadcast(offsets), same & (F.col("__b") == F.col("__ob")))
     w_in = (Window.partitionBy(*group_cols, "__b").orderBy(value)
             .rowsBetween(Window.unboundedPreceding, -1))
     return j.select(*[F.col(c) for c in collapsed.columns],
@@ -329,27 +290,23 @@ def prefix_sums(collapsed: DataFrame, value: str, sum_cols: Sequence[str],
                       for c in sum_cols])
 
 
-def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k,
-                    limit: int = 50_000) -> DataFrame:
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k) -> DataFrame:
     """Rows ranked 1..k per group by ``order_cols`` (ascending; rows must be
     unique on group + order key, e.g. (-count, value)).  ``k`` is an int or a
-    function of the group key.
+    function of the group key; k is small.
 
-    The rank-k key of every group is found by exact order statistics and the
-    rows are kept by a plain comparison, so no group is ever sorted or
-    gathered in one task, however many distinct rows it has.
+    ``row_number`` with a rank bound: Spark keeps the best k of each group in
+    every task before the shuffle, so a group sends k rows per task, however
+    many it has.
     """
-    group_cols = list(group_cols)
-    k_of = k if callable(k) else (lambda g: k)
-    counts = group_counts(df, list(order_cols), group_cols)
-    ranks = {g: [min(k_of(g), n) - 1] for g, n in counts.items() if n > 0 and k_of(g) > 0}
-    cut = order_statistics(df, list(order_cols), ranks, group_cols, limit=limit,
-                           sizes={g: counts[g] for g in ranks})
-    key = _as_value(list(order_cols))
-    ktype = df.select(key.alias("k")).schema["k"].dataType
-    cond = F.lit(False)
-    for (g, _), v in cut.items():
-        if v is None:
-            continue
-        cond = F.when(_group_condition(group_cols, g), key <= _lit_value(v, ktype)).otherwise(cond)
-    return df.where(cond)
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    ranked = df.where(_valid(_as_value(list(order_cols)), None)).withColumn("__rank", F.row_number().over(w))
+    if not callable(k):
+        return ranked.where(F.col("__rank") <= k).drop("__rank")
+    groups = [r for r in df.select(*group_cols).distinct().collect()]
+    most = max([k(_group_key(r, group_cols)) for r in groups], default=0)
+    bound = F.lit(0)
+    for r in groups:
+        key = _group_key(r, group_cols)
+        bound = F.when(_group_condition(group_cols, key), F.lit(k(key))).otherwise(bound)
+    return ranked.where((F.col("__rank") <= most) & (F.col("__rank") <= bound)).drop("__rank")

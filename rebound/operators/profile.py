@@ -153,11 +153,20 @@ def feature_statistics(df: DataFrame, numeric: Sequence[str], label: str) -> Dat
 # ---------------------------------------------------------------- Q1 / Q2
 def table_tests(tests: Sequence[tuple[str, DataFrame, Column]]) -> DataFrame:
     """Q1/Q2: each test is (name, table, failing-row condition); returns
-    (test, rows, failures) with one aggregate per table."""
-    out = None
+    (test, rows, failures).  Tests of one table share one scan and one
+    aggregate, whose counts are then laid out as rows."""
+    tables: list = []
     for name, df, bad in tests:
-        r = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("failures")).select(
-            F.lit(name).alias("test"), "rows", "failures")
+        own = next((t for t in tables if t[0] is df), None)
+        if own is None:
+            tables.append(own := (df, []))
+        own[1].append((name, bad))
+    out = None
+    for df, own in tables:
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(bad).alias(f"__f{i}") for i, (_, bad) in enumerate(own)])
+        r = counted.select("rows", F.explode(F.array(*[F.struct(F.lit(n).alias("test"), F.col(f"__f{i}").alias("failures"))
+                                                       for i, (n, _) in enumerate(own)])).alias("t")) \
+            .select("t.test", "rows", "t.failures")
         out = r if out is None else out.unionByName(r)
     return out
 

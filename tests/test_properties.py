@@ -36,7 +36,7 @@ def test_auc_invariant_to_partitions_and_buckets(spark, scores):
     # force many prefix buckets
     collapsed = scores.groupBy(F.col("p").alias("__s")).agg(F.sum("y").alias("pos"),
                                                            F.sum(F.lit(1) - F.col("y")).alias("neg"))
-    pre = ordered.prefix_sums(collapsed, "__s", ["neg"], rows_per_bucket=7)
+    pre = ordered.prefix_sums(collapsed, "__s", ["neg"], buckets=90)
     one = ordered.prefix_sums(collapsed, "__s", ["neg"])
     a = sorted((r["__s"], r["neg_before"]) for r in pre.collect())
     b = sorted((r["__s"], r["neg_before"]) for r in one.collect())
@@ -49,7 +49,7 @@ def test_exact_quantiles_match_numpy(spark, scores):
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = ordered.exact_quantiles(scores, "p", qs)[()]
     assert got == pytest.approx(list(np.quantile(vals, qs)), abs=1e-12)
-    narrow = ordered.order_statistics(scores, "p", {(): [0, 999, 1999]}, limit=50, fanout=4)
+    narrow = ordered.order_statistics(scores, "p", {(): [0, 999, 1999]}, fanout=4)
     s = sorted(vals)
     assert [narrow[((), k)] for k in (0, 999, 1999)] == [s[0], s[999], s[1999]]
 
