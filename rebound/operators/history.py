@@ -7,11 +7,15 @@ third of all rows) into one task.  Two layouts avoid that:
   (key, hour); a window over the key's *active hours* (bounded by the
   calendar) gives everything before the current hour, and a window
   partitioned by (key, hour) adds the earlier rows of the same hour;
-* bounded look-back counts (W10): C(t) - C(t - lookback) from the two-level
-  cumulative count, with a probe row at t - lookback (``trailing_counts``);
-  ``lookback_counts`` (bucket copies + RANGE frame) is the simpler variant
-  for keys that are not hot within one look-back period;
-* dedup (S2 twin): the key's previous event time, by the two-level layout.
+* short look-backs (W10): rows copied into their own and the next bucket of
+  the look-back's length, so a hot key is split by it (``lookback_counts``);
+* long look-backs (W6b): C(t) - C(t - lookback) from the two-level cumulative
+  sums, with a probe at t - lookback (``trailing_sums``);
+* first-kept dedup (S2 twin): each time's successor at least a horizon later,
+  then pointer doubling from the key's first time (``dedup_within``).
+
+NULL keys are a key like others (joins are null-safe).  Rows without a time
+have no history, are nobody's history, and are kept.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rebound.operators.joins import join_on
+from rebound.session import materialize
+
 DAY_SECONDS = 86400
 
 
@@ -58,7 +65,7 @@ def sequence_features(df: DataFrame, key: str, ts: str, id_col: str, code: str |
         F.coalesce(F.sum("__n").over(wd.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.lag("__last").over(wd).alias("__prev_day_last"),
         F.first("__first").over(wd.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__key_first"))
-    j = d.join(days, [key, "__day"])
+    j = join_on(d, days, [key, "__day"])
     wi = Window.partitionBy(key, "__day").orderBy(F.col(ts), F.col(id_col))
     prev_ts = F.coalesce(F.lag(ts).over(wi), F.col("__prev_day_last.t"))
     out = j.withColumns({
@@ -83,15 +90,16 @@ def history_before(events: DataFrame, key: str, ts: str, sums: dict[str, Column]
     ``bucket_seconds`` buckets, exact."""
     d = events.withColumn("__day", _day(ts, bucket_seconds)).withColumn("__us", _micros(ts))
     for n, e in sums.items():
-        d = d.withColumn(f"__v_{n}", e)
+        d = d.withColumn(f"__v_{n}", F.when(F.col("__us").isNotNull(), e))
     per_day = d.groupBy(key, "__day").agg(*[F.sum(f"__v_{n}").alias(f"__d_{n}") for n in sums])
     wd = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = per_day.select(key, "__day", *[F.coalesce(F.sum(f"__d_{n}").over(wd), F.lit(0)).alias(f"__o_{n}")
                                           for n in sums])
     wi = Window.partitionBy(key, "__day").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
-    j = d.join(days, [key, "__day"])
-    return j.select(*events.columns, *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wi), F.lit(0)))
-                                       .alias(f"{n}_before") for n in sums])
+    j = join_on(d, days, [key, "__day"])
+    known = F.col("__us").isNotNull()
+    return j.select(*events.columns, *[F.when(known, F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wi), F.lit(0)))
+                                       .otherwise(F.lit(0)).alias(f"{n}_before") for n in sums])
 
 
 def historical_rates(attempts: DataFrame, key: str, ts: str = "timestamp",
@@ -138,90 +146,163 @@ def lookback_counts(events: DataFrame, key: Sequence[str], ts: str, lookback_us:
     else:
         frame = (-lookback_us, -1)
     w = Window.partitionBy(*key, "__bucket").orderBy("__us").rangeBetween(*frame)
-    counted = copies.withColumn("lookback_value", F.sum("__val").over(w))
+    counted = copies.withColumn("lookback_value", F.when(F.col("__us").isNotNull(), F.sum("__val").over(w)))
     return counted.where("__own").drop("__us", "__val", "__b", "__own", "__bucket")
 
 
-def trailing_counts(events: DataFrame, key: Sequence[str], ts: str, id_col: str, lookback_us: int,
-                    bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
-    """Per row: number of same-key rows with time in (t - lookback, t].
+def trailing_sums(events: DataFrame, key: str, ts: str, lookbacks_us: Sequence[int], sums: dict[str, Column],
+                  bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
+    """Per row and look-back L: sums over same-key rows with time in [t - L, t)
+    (columns ``<name>_<nth look-back>``; 0 for rows without a time).
 
-    count = C(t) - C(t - lookback), with C(x) the key's cumulative count of
-    rows at or before x.  C is two-level (hour buckets, then rows of the
-    hour); C(t - lookback) is read off a probe row placed at t - lookback.
-    Exact, 2x rows, and a hot key is split by hour.
+    The sums depend on (key, t) alone, so rows are first aggregated per key and
+    instant.  S(x) = sum strictly before x is two-level (buckets, then instants
+    of the bucket), read at t and at a probe placed at t - L; S(t) - S(t - L)
+    is exact to the microsecond, and repeated ids or times cannot multiply rows.
     """
-    key = list(key)
     us = _micros(ts)
-    real = events.select(*key, F.col(id_col).alias("__id"), us.alias("__us"), F.lit(1).alias("__real"))
-    probe = events.select(*key, F.col(id_col).alias("__id"), (us - F.lit(lookback_us)).alias("__us"),
-                          F.lit(0).alias("__real"))
-    u = real.unionByName(probe).withColumn("__b", F.floor(F.col("__us") / F.lit(bucket_seconds * 1_000_000)))
-    per_b = u.groupBy(*key, "__b").agg(F.sum("__real").alias("__n"))
-    wb = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = per_b.select(*key, "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
-    wi = Window.partitionBy(*key, "__b").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
-    c = u.join(off, [*key, "__b"]).withColumn("__c", F.col("__off") + F.sum("__real").over(wi))
-    now = c.where(F.col("__real") == 1).select("__id", F.col("__c").alias("__now"))
-    before = c.where(F.col("__real") == 0).select("__id", F.col("__c").alias("__before"))
-    n = now.join(before, "__id").select("__id", (F.col("__now") - F.col("__before")).alias("lookback_value"))
-    return events.join(n, events[id_col] == n["__id"]).drop("__id")
-
-
-def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60,
-                  id_col: str = "event_id") -> DataFrame:
-    """Requests per key in the trailing (t - 60 s, t]; breaches of the limit."""
-    c = trailing_counts(events, [key], ts, id_col, window_s * 1_000_000)
+    at = (events.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("__k"), us.alias("__us"))
+          .agg(*[F.sum(e).alias(f"__s_{n}") for n, e in sums.items()]))
+    probes = F.array(F.struct(F.lit(-1).alias("nth"), F.lit(0).cast("long").alias("back")),
+                     *[F.struct(F.lit(i).alias("nth"), F.lit(x).cast("long").alias("back")) for i, x in enumerate(lookbacks_us)])
+    u = at.withColumn("__p", F.explode(probes)).select(
+        "__k", F.col("__us").alias("__t"), "__p.nth", (F.col("__us") - F.col("__p.back")).alias("__x"),
+        *[F.when(F.col("__p.nth") < 0, F.col(f"__s_{n}")).alias(f"__v_{n}") for n in sums])
+    u = u.withColumn("__b", F.floor(F.col("__x") / F.lit(bucket_seconds * 1_000_000)))
+    per_b = u.groupBy("__k", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__d_{n}") for n in sums])
+    wb = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = per_b.select("__k", "__b", *[F.coalesce(F.sum(f"__d_{n}").over(wb), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    wi = Window.partitionBy("__k", "__b").orderBy("__x").rangeBetween(Window.unboundedPreceding, -1)
+    c = join_on(u, off, ["__k", "__b"])
+    before = c.select("__k", "__t", "nth", *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wi), F.lit(0))).alias(f"__c_{n}") for n in sums])
+    pick = lambda n, i: F.sum(F.when(F.col("nth") == i, F.col(f"__c_{n}")))
+    out = before.groupBy("__k", "__t").agg(*[(pick(n, -1) - pick(n, i)).alias(f"{n}_{i}") for n in sums for i in range(len(lookbacks_us))])
+    names = [f"{n}_{i}" for n in sums for i in range(len(lookbacks_us))]
+    d = events.withColumn("__k", F.col(key)).withColumn("__t", us)
+    return join_on(d, out, ["__k", "__t"], "left").select(*events.columns, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+
+
+def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60) -> DataFrame:
+    """Requests per key in the trailing (t - 60 s, t]; breaches of the limit.
+    A request without a time is counted and breaches nothing."""
+    c = lookback_counts(events.select(key, ts), [key], ts, window_s * 1_000_000)
     return c.groupBy(key).agg(F.count(F.lit(1)).alias("requests"),
                               F.max("lookback_value").cast("bigint").alias("max_in_window"),
                               F.count_if(F.col("lookback_value") > limit).alias("breaches"))
 
 
-def previous_time(events: DataFrame, key: Sequence[str], ts: str,
-                  bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
-    """Per row: microseconds of the key's latest strictly earlier event
-    (``__prev_us``, NULL for the first), two-level over hour buckets."""
+def next_time(events: DataFrame, key: Sequence[str], ts: str, horizon_us: int,
+              bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
+    """(key, __us, __next): every distinct time of a key with the key's first
+    time at least ``horizon_us`` later (NULL if none), two-level like the rest."""
+    key = list(key)
+    at = events.where(F.col(ts).isNotNull()).select(*key, _micros(ts).alias("__us")).distinct()
+    both = F.explode(F.array(F.struct(F.col("__us").alias("x"), F.lit(True).alias("real")),
+                             F.struct((F.col("__us") + F.lit(horizon_us)).alias("x"), F.lit(False).alias("real"))))
+    u = (at.withColumn("__e", both).withColumn("__x", F.col("__e.x"))
+         .withColumn("__t", F.when(F.col("__e.real"), F.col("__x")))
+         .withColumn("__b", F.floor(F.col("__x") / F.lit(bucket_seconds * 1_000_000))))
+    per_b = u.groupBy(*key, "__b").agg(F.min("__t").alias("__m"))
+    wb = Window.partitionBy(*key).orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    later = per_b.select(*key, "__b", F.min("__m").over(wb).alias("__later"))
+    wi = Window.partitionBy(*key, "__b").orderBy("__x").rangeBetween(0, Window.unboundedFollowing)
+    j = join_on(u, later, [*key, "__b"])
+    j = j.withColumn("__next", F.coalesce(F.min("__t").over(wi), F.col("__later")))
+    return j.where(~F.col("__e.real")).select(*key, "__us", "__next")
+
+
+def dedup_within(events: DataFrame, key: Sequence[str], ts: str, id_col: str | None = None,
+                 horizon_s: int = DAY_SECONDS) -> DataFrame:
+    """S2 batch twin: a key's first event is kept and silences the key for the
+    horizon; the first event at or after its end is kept again, and so on.
+
+    Which time follows a kept one depends on that time alone (``next_time``),
+    so the kept times are the orbit of the key's first time.  Pointer doubling
+    finds them in log2(kept per key) rounds of joins; no key is folded in one
+    task.  Of events at a kept time the one of smallest ``id_col`` stays.
+    """
     key = list(key)
-    d = events.withColumn("__b", _day(ts, bucket_seconds)).withColumn("__us", _micros(ts))
-    per_b = d.groupBy(*key, "__b").agg(F.max("__us").alias("__mx"))
-    wb = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    prev_b = per_b.select(*key, "__b", F.max("__mx").over(wb).alias("__pb"))
-    wi = Window.partitionBy(*key, "__b").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
-    j = d.join(prev_b, [*key, "__b"])
-    return j.withColumn("__prev_us", F.coalesce(F.max("__us").over(wi), F.col("__pb"))).drop("__b", "__pb")
-
-
-def dedup_within(events: DataFrame, key: Sequence[str], ts: str, horizon_s: int = DAY_SECONDS) -> DataFrame:
-    """S2 batch twin: drop a row when the same key occurred in the preceding
-    horizon, [t - horizon, t) -- i.e. when the key's previous strictly earlier
-    event is at most ``horizon`` back.  Equal to the stream's first-wins
-    dedup for keys whose repeats lie inside the horizon (T26)."""
-    p = previous_time(events, key, ts)
-    keep = F.col("__prev_us").isNull() | (F.col("__prev_us") < F.col("__us") - F.lit(horizon_s * 1_000_000))
-    return p.where(keep).drop("__us", "__prev_us")
-
-
-def trailing_rate(attempts: DataFrame, key: str, ts: str, days: int, declined: Column) -> DataFrame:
-    """Decline rate of the key over the ``days`` calendar days before the
-    row's day plus the earlier rows of the same day.
-
-    Three levels, so a hot key is split by hour: a window over the key's days
-    (RANGE of ``days``), a window over the earlier hours of the same day (at
-    most 24 rows) and a window over the earlier rows of the same hour.
+    jump = materialize(next_time(events, key, ts, horizon_s * 1_000_000))
+    kept = jump.groupBy(*key).agg(F.min("__us").alias("__us"))
+    while True:
+        ahead = join_on(kept, jump, [*key, "__us"]).where(F.col("__next").isNotNull())
+        kept = materialize(kept.unionByName(ahead.select(*key, F.col("__next").alias("__us"))).distinct())
+        if ahead.isEmpty():
+            break
+        far = jump.select(*key, F.col("__us").alias("__via"), F.col("__next").alias("__far"))
+        jump = materialize(join_on(jump.withColumnRenamed("__next", "__via"), far, [*key, "__via"], "left")
+                           .select(*key, "__us", F.col("__far").alias("__next")))
+    one = Window.partitionBy(*key, ts).orderBy(F.col(id_col) if id_col else F.lit(0))
+    timed = events.where(F.col(ts).isNotNull()).withColumn("__us", _micros(ts))
+    first = (join_on(timed, kept, [*key, "__us"]).withColumn("__n", F.row_number().over(one))
+             .where("__n = 1").select(*events.columns))
+    return first.unionByName(events.where(F.col(ts).isNull()))
+
+
+def trailing_rate(attempts: DataFrame, key: str, ts: str, days: Sequence[int], declined: Column) -> DataFrame:
+    """Decline rate of the key's attempts in [t - N days, t), to the
+    microsecond, for each N in ``days`` (one pass for all)."""
+    t = trailing_sums(attempts, key, ts, [n * DAY_SECONDS * 1_000_000 for n in days],
+                      {"__n": F.lit(1).cast("bigint"), "__k": F.coalesce(declined.cast("bigint"), F.lit(0).cast("bigint"))})
+    out = []
+    for i, n in enumerate(days):
+        count, k = F.col(f"__n_{i}"), F.col(f"__k_{i}")
+        out += [count.alias(f"prior_{n}d_attempts"), F.when(count > 0, k / count).alias(f"prior_{n}d_decline_rate")]
+    return t.select(*attempts.columns, *out)
+
+
+# ---------------------------------------------------------------- P18
+FEATURE_KEYS = {"provider": "processor_name", "country": "merchant_country", "code": "response_code",
+                "code_country": "__code_country", "merchant": "merchant_id"}
+
+
+def amount_bucket(amount: Column) -> Column:
+    """Small, medium, large, very large; NULL without an amount."""
+    return (F.when(amount < 50, "small").when(amount < 200, "medium").when(amount < 1000, "large")
+            .when(amount.isNotNull(), "very_large"))
+
+
+def feature_set(attempts: DataFrame, retries: DataFrame, ts: str = "timestamp", id_col: str = "transaction_id",
+                link: str = "original_transaction_id", status: str = "auth_status") -> DataFrame:
+    """The standard features of every declined original, each as known
+    just before its time: provider, geography, amount, decline, time of day,
+    merchant and sequence groups.
+
+    A retry counts for the keys of its original from its own time on.  Attempts
+    and retries form one event table; for each key its sums before every event
+    come from ``history_before``, so a hot key is split by hour.
     """
-    d = (attempts.withColumn("__day", _day(ts)).withColumn("__hr", _day(ts, HOUR_SECONDS))
-         .withColumn("__us", _micros(ts)).withColumn("__dec", declined.cast("bigint")))
-    per_hour = d.groupBy(key, "__day", "__hr").agg(F.count(F.lit(1)).alias("__hn"), F.sum("__dec").alias("__hk"))
-    per_day = per_hour.groupBy(key, "__day").agg(F.sum("__hn").alias("__n"), F.sum("__hk").alias("__k"))
-    wd = Window.partitionBy(key).orderBy("__day").rangeBetween(-days, -1)
-    days_t = per_day.select(key, "__day", F.coalesce(F.sum("__n").over(wd), F.lit(0)).alias("__on"),
-                            F.coalesce(F.sum("__k").over(wd), F.lit(0)).alias("__ok"))
-    wh = Window.partitionBy(key, "__day").orderBy("__hr").rowsBetween(Window.unboundedPreceding, -1)
-    hours_t = per_hour.select(key, "__hr", F.coalesce(F.sum("__hn").over(wh), F.lit(0)).alias("__hn0"),
-                              F.coalesce(F.sum("__hk").over(wh), F.lit(0)).alias("__hk0"))
-    wi = Window.partitionBy(key, "__hr").orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
-    j = d.join(days_t, [key, "__day"]).join(hours_t, [key, "__hr"])
-    n = F.col("__on") + F.col("__hn0") + F.coalesce(F.count(F.lit(1)).over(wi), F.lit(0))
-    k = F.col("__ok") + F.col("__hk0") + F.coalesce(F.sum("__dec").over(wi), F.lit(0))
-    return j.select(*attempts.columns, n.alias(f"prior_{days}d_attempts"),
-                    F.when(n > 0, k / n).alias(f"prior_{days}d_decline_rate"))
+    declined = F.col(status) == "DECLINED"
+    seq = sequence_features(attempts.where(declined), "merchant_id", ts, id_col, "response_code")
+    roles = ["merchant_id", "merchant_country", "processor_name", "response_code"]
+    linked = retries.select(F.col(link).alias("__link"), F.col(ts), F.col(status)).join(
+        attempts.where(declined).select(F.col(id_col).alias("__link"), *roles), "__link").drop("__link")
+    events = (seq.withColumn("__kind", F.lit("decline"))
+              .unionByName(attempts.where(~F.coalesce(declined, F.lit(False))).withColumn("__kind", F.lit("other")), allowMissingColumns=True)
+              .unionByName(linked.withColumn("__kind", F.lit("retry")), allowMissingColumns=True)
+              .withColumn("__code_country", F.concat_ws("|", F.coalesce("response_code", F.lit("")), F.coalesce("merchant_country", F.lit("")))))
+    retry, ok = F.col("__kind") == "retry", F.col(status) == "APPROVED"
+    one = lambda c: c.cast("bigint")
+    for name, key in FEATURE_KEYS.items():
+        sums = {f"__{name}_n": one(~retry), f"__{name}_ok": one(~retry & ok), f"__{name}_r": one(retry), f"__{name}_rok": one(retry & ok)}
+        if name == "merchant":
+            sums |= {"__sum": F.when(~retry, F.col("amount_usd").cast("decimal(18,4)")), "__cnt": one(~retry & F.col("amount_usd").isNotNull())}
+        events = history_before(events, key, ts, sums)
+    d = events.where(F.col("__kind") == "decline")
+    before = lambda n: F.col(f"__{n}_before")
+    rate = lambda a, b: F.when(before(b) > 0, before(a) / before(b))
+    mean = F.when(F.col("__cnt_before") > 0, F.col("__sum_before").cast("double") / F.col("__cnt_before"))
+    hour, weekday = F.hour(ts), F.weekday(F.col(ts))
+    soft = F.coalesce(F.col("is_soft_decline"), F.lit(False))
+    return d.select(
+        id_col, "processor_name", rate("provider_ok", "provider_n").alias("provider_approval_rate"),
+        (F.lit(1.0) - rate("provider_ok", "provider_n")).alias("provider_decline_rate"), rate("provider_rok", "provider_r").alias("provider_retry_success_rate"),
+        "merchant_country", rate("country_ok", "country_n").alias("country_approval_rate"), rate("country_rok", "country_r").alias("country_retry_success_rate"),
+        "amount_usd", amount_bucket(F.col("amount_usd")).alias("amount_bucket"), (F.col("amount_usd") - mean).alias("amount_deviation"),
+        "response_code", F.when(soft, "soft").otherwise("hard").alias("decline_category"), soft.alias("is_soft_decline"),
+        rate("code_rok", "code_r").alias("code_retry_rate"), rate("code_country_rok", "code_country_r").alias("code_country_retry_rate"),
+        hour.alias("event_hour"), weekday.alias("event_dayofweek"),
+        (hour.between(9, 16) & (weekday < 5)).alias("is_business_hours"), "minutes_since_last",
+        "merchant_vertical", rate("merchant_ok", "merchant_n").alias("merchant_approval_rate"),
+        rate("merchant_rok", "merchant_r").alias("merchant_retry_success_rate"), mean.alias("merchant_mean_amount"),
+        "attempt_number", "hours_since_first", "decline_code_changed")

@@ -90,14 +90,19 @@ def validate_stream(events: DataFrame, broken_rules: Column, accepted_path: str,
     """S3: rows with broken rules are written aside; the stream goes on.
 
     ``broken_rules`` is an ``array<string>`` column (empty when valid); each
-    micro-batch is split into two appends by ``foreachBatch``.
+    micro-batch is computed once and split by ``foreachBatch`` into one folder
+    per epoch (``epoch=<id>``), which a retried batch replaces.
     """
     flagged = events.withColumn("broken_rules", broken_rules)
 
     def split(batch: DataFrame, epoch_id: int) -> None:
         ok = F.size("broken_rules") == 0
-        batch.where(ok).drop("broken_rules").write.mode("append").parquet(accepted_path)
-        batch.where(~ok).write.mode("append").parquet(rejected_path)
+        held = batch.persist()
+        try:
+            held.where(ok).drop("broken_rules").write.mode("overwrite").parquet(f"{accepted_path}/epoch={epoch_id}")
+            held.where(~ok).write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch_id}")
+        finally:
+            held.unpersist()
 
     w = flagged.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -147,7 +152,6 @@ def close_retry_chains(declines: DataFrame, retries: DataFrame, horizon_hours: i
 
 
 # ---------------------------------------------------------------- S6 labels (stateful)
-LABEL_SCHEMA = "transaction_id long, retries_within_horizon long, recovered_within_horizon boolean"
 LABEL_STATE = "dts long, n long, ok boolean, pend_ts array<long>, pend_ok array<boolean>"
 
 
@@ -168,11 +172,17 @@ def label_stream(declines: DataFrame, retries: DataFrame, horizon_hours: int = 7
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     horizon_ms = horizon_hours * 3_600_000
-    d = as_event_time(declines, d_ts).select(
-        F.col(id_col).cast("long").alias("key"), F.col(d_ts).alias("ts"), F.lit("d").alias("kind"),
+    id_type = declines.schema[id_col].dataType
+    label_schema = T.StructType([T.StructField("transaction_id", id_type),
+                                 T.StructField("retries_within_horizon", T.LongType()),
+                                 T.StructField("recovered_within_horizon", T.BooleanType())])
+    named = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    d = as_event_time(declines, d_ts).where(named(id_col)).select(
+        F.col(id_col).alias("key"), F.col(d_ts).alias("ts"), F.lit("d").alias("kind"),
         F.lit(None).cast("boolean").alias("ok"))
-    r = as_event_time(retries, r_ts).select(
-        F.col(link).cast("long").alias("key"), F.col(r_ts).alias("ts"), F.lit("r").alias("kind"),
+    # retries without a link belong to no decline: they must not gather in one state
+    r = as_event_time(retries, r_ts).where(named(link)).select(
+        F.col(link).cast(id_type).alias("key"), F.col(r_ts).alias("ts"), F.lit("r").alias("kind"),
         (F.col(status) == "APPROVED").alias("ok"))
     events = d.unionByName(r).withWatermark("ts", watermark)
 
@@ -207,20 +217,20 @@ def label_stream(declines: DataFrame, retries: DataFrame, horizon_hours: int = 7
             state.setTimeoutTimestamp(max(pend_ts) + horizon_ms + 1)
 
     return events.groupBy("key").applyInPandasWithState(
-        fold, LABEL_SCHEMA, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        fold, label_schema, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_stream_sliding(events: DataFrame, key: Sequence[str], ts: str, horizon_hours: int = 24,
-                         watermark: str = "1 hour") -> DataFrame:
-    """S2, exact twin of ``history.dedup_within``: drop an event when the same
-    key occurred in the preceding horizon [t - h, t).  The state per key is
-    its latest event time (expired by an event-time timeout h after it), so
-    for streams that arrive in event-time order the output equals the batch
-    twin for any input, not only for repeats inside the horizon."""
+                         watermark: str = "1 hour", id_col: str | None = None) -> DataFrame:
+    """S2, exact twin of ``history.dedup_within`` for streams in event-time
+    order: a kept event silences its key for the horizon, [t, t + h), and the
+    first event at or after its end is kept again.  The state per key is the
+    time of the last kept event, expired when its horizon has passed.  Of
+    events at one time in a batch the one of smallest ``id_col`` is kept."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    h_ms = horizon_hours * 3_600_000
+    h_us = horizon_hours * 3_600_000_000
     e = as_event_time(events, ts).withWatermark(ts, watermark)
     cols = e.columns
     out_schema = e.schema
@@ -229,24 +239,21 @@ def dedup_stream_sliding(events: DataFrame, key: Sequence[str], ts: str, horizon
         if state.hasTimedOut:
             state.remove()
             return
-        # state: latest event time and the latest time strictly before it, so
-        # a repeat of the latest time is judged against the one before (ties
-        # are not "earlier")
-        last, before = state.get if state.exists else (None, None)
+        (last,) = state.get if state.exists else (None,)
         batch = pd.concat(list(pdfs), ignore_index=True)
-        ms = batch[ts].astype("int64") // 1_000_000
-        keep = []
-        for t in sorted(set(ms.tolist())):
-            prev = before if (last is not None and t == last) else last
-            keep.append((t, prev is None or prev < t - h_ms))
-            if last is None or t > last:
-                before, last = last, t
-        ok_times = {t for t, good in keep if good}
-        state.update((last, before))
-        state.setTimeoutTimestamp(last + h_ms + 1)
-        kept = batch[ms.isin(ok_times)]
-        if len(kept):
-            yield kept[cols]
-
-    return e.groupBy(*key).applyInPandasWithState(fold, out_schema, "last long, before long", "append",
+        batch = batch.sort_values([ts, id_col] if id_col else [ts], kind="stable", ignore_index=True)
+        us = batch[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        keep, i = [], 0
+        while i < len(us):  # from one kept event straight to the next
+            if last is not None and us[i] < last + h_us:
+                i = int(us.searchsorted(last + h_us))
+                continue
+            keep.append(i)
+            last = int(us[i])
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + h_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if keep:
+            yield batch.iloc[keep][cols]
+
+    return e.groupBy(*key).applyInPandasWithState(fold, out_schema, "last long", "append",
                                                   GroupStateTimeout.EventTimeTimeout)
