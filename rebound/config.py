@@ -49,6 +49,19 @@ HARD_DECLINE_REASONS = {
 }
 HARD_DECLINE_DEFAULT_REASON = "Hard decline — no delay recovers this code"
 
+# ---- FIXED VALUES: texts of refused and stopped decisions ------------------
+OUT_OF_SCOPE_CODE = ("Response code `%s` is not in the model's trained vocabulary. "
+                     "Use a manual review path rather than automated retry.")
+OUT_OF_SCOPE_CATEGORY = "%s `%s` not in trained allowlist"
+OUT_OF_SCOPE_AMOUNT = ("Amount $%,.2f exceeds the model's training envelope ($%,.2f). Use a manual review "
+                       "or merchant's high-ticket workflow rather than automated retry.")
+ATTEMPT_STOP = (". Timing model conditions on attempt_num, so success probability decays as retries "
+                "accumulate; once it crosses either the probability or EV floor the engine stops.")
+
+# ---- FIXED VALUES: versions reported when the caller names none ------------
+MODEL_VERSION = "v1"
+POLICY_VERSION = "v1"
+
 # ---- FIXED VALUES: scope vocabularies of the served model ------------------
 SUPPORTED_MERCHANT_COUNTRIES = [
     "AE", "AR", "AU", "BR", "CA", "CL", "CN", "CO", "DE", "EG", "ES", "FR",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebound import config as C
@@ -27,6 +27,15 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+#: A side table is broadcast up to so many rows (counted, not estimated).
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 # ---------------------------------------------------------------- D1
 def rule_probability(is_soft="is_soft_decline", amount="amount_usd", code="response_code") -> Column:
     """Rule-baseline recovery probability.
@@ -207,37 +216,36 @@ def scope_reason(code="response_code", country="merchant_country", vertical="mer
 
 def vocabulary_flags(df: DataFrame, vocab: DataFrame, fields: dict[str, str]) -> DataFrame:
     """J8 for table vocabularies: one ``__in_<col>`` flag per field from a
-    left join with the (feature, value) vocabulary table.  The join side is
-    left to AQE, which broadcasts it only below the measured size threshold."""
+    left join with the (feature, value) vocabulary table, broadcast when its
+    counted size allows, so that the scored rows stay where they are."""
     out = df
+    hinted = vocab.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for col, feature in fields.items():
         v = (vocab.where(F.col("feature") == feature).select(F.col("value").alias(f"__vv_{col}")).distinct()
              .withColumn(f"__in_{col}", F.lit(True)))
+        v = F.broadcast(v) if hinted else v
         key = strip_ws(F.col(col).cast("string"))
         if feature == "merchant_country":
             v = v.withColumn(f"__vv_{col}", F.upper(f"__vv_{col}")).distinct()
+            v = F.broadcast(v) if hinted else v
             key = F.upper(key)
         out = out.withColumn(f"__k_{col}", key).join(v, F.col(f"__k_{col}") == F.col(f"__vv_{col}"), "left") \
             .drop(f"__k_{col}", f"__vv_{col}")
     return out
 
 
-def vocabulary_lists(vocab: DataFrame, fields: dict[str, str], max_size: int = 10_000) -> dict:
-    """J8 for small vocabularies: {field: [values]} when a field's vocabulary
-    has at most ``max_size`` entries (checked with one count per field), else
-    the field is omitted and the caller falls back to ``vocabulary_flags``.
-    Literal lists keep the scope guard a pure expression: no join, no shuffle
-    of the scored table."""
-    sizes = {r["feature"]: r["n"] for r in vocab.where(F.col("feature").isin(*fields.values()))
-             .groupBy("feature").agg(F.count_distinct("value").alias("n")).collect()}
-    out = {}
-    small = [f for f, feat in fields.items() if sizes.get(feat, 0) <= max_size]
-    if small:
-        rows = (vocab.where(F.col("feature").isin(*[fields[f] for f in small]))
-                .select("feature", "value").distinct().collect())
-        for f in small:
-            out[f] = sorted({r["value"] for r in rows if r["feature"] == fields[f] and r["value"] is not None})
-    return out
+def out_of_scope_text(reason: Column, vocab: dict, code="response_code", amount="amount_usd",
+                      amount_cap=C.AMOUNT_CAP_USD) -> Column:
+    """Why a row is out of scope, in words; NULL for rows in scope and hard declines.
+    A literal vocabulary is listed, a learned one (a flag column) is only named."""
+    shown = F.coalesce(normalize_code(F.col(code)), F.lit("<empty>"))
+    out = F.when(reason == "response_code", F.format_string(C.OUT_OF_SCOPE_CODE, shown))
+    for field, known in vocab.items():
+        text = F.format_string(C.OUT_OF_SCOPE_CATEGORY, F.lit(field), strip_ws(F.col(field).cast("string")))
+        if isinstance(known, (list, tuple)):
+            text = F.concat(text, F.lit(f" {sorted(known)}"))
+        out = out.when(reason == field, text)
+    return out.when(reason == "amount", F.format_string(C.OUT_OF_SCOPE_AMOUNT, to_double(amount), F.lit(float(amount_cap))))
 
 
 def hard_decline_reason(code="response_code") -> Column:
@@ -275,11 +283,13 @@ def fit_timing_table(retries: DataFrame, decline_codes: DataFrame, code_col: str
          .select("__code", F.col(attempt).alias("__att"), delay_bucket(hours, grid).alias("__d"),
                  w.alias("__w"), (F.col(status) == "APPROVED").cast("bigint").alias("__ok")))
     r = r.withColumn("__okw", F.col("__ok") * F.col("__w"))
-    prior = r.groupBy("__code").agg((F.sum("__okw") / F.sum("__w")).alias("__prior"))
-    cells = r.groupBy("__code", "__att", "__d").agg(F.sum("__w").alias("__n"),
-                                                    (F.sum("__okw") / F.sum("__w")).alias("__m"))
+    # codes x attempts x 10 rows; the code's own rate is a window over them
+    cells = r.groupBy("__code", "__att", "__d").agg(F.sum("__w").alias("__n"), F.sum("__okw").alias("__k"))
+    code = Window.partitionBy("__code")
+    cells = cells.withColumns({"__m": F.col("__k") / F.col("__n"),
+                               "__prior": F.sum("__k").over(code) / F.sum("__n").over(code)})
     s = F.lit(float(smoothing))
-    cells = cells.join(prior, "__code").withColumn(
+    cells = cells.withColumn(
         "__p", (F.col("__m") * F.col("__n") + F.col("__prior") * s) / (F.col("__n") + s))
     per = cells.groupBy("__code", "__att", "__prior").agg(
         F.map_from_entries(F.collect_list(F.struct("__d", "__p"))).alias("__m"))
@@ -298,8 +308,8 @@ def delay_curve(df: DataFrame, timing: DataFrame, code: str = "response_code", a
     economics columns of :func:`resolve_economics`.  Codes/attempts without a
     timing row use ``fallback`` (a probability column, default the row score)."""
     att = F.col(attempt) if isinstance(attempt, str) else F.lit(attempt)
-    t = timing.withColumnRenamed("timing_code", "__tc").withColumnRenamed("timing_attempt", "__ta")
-    j = df.join(t, (F.col(code) == F.col("__tc")) & (att == F.col("__ta")), "left")
+    t = timing.withColumn("__tc", normalize_code(F.col("timing_code"))).withColumnRenamed("timing_attempt", "__ta").drop("timing_code")
+    j = df.join(small(t), (normalize_code(F.col(code)) == F.col("__tc")) & (att == F.col("__ta")), "left")
     amt = F.coalesce(to_double(amount), F.lit(0.0))
     fb = fallback if fallback is not None else F.lit(None).cast("double")
     grid_arr = F.array(*[F.lit(float(d)) for d in grid])
@@ -318,7 +328,7 @@ def best_delay(curve_col: str = "delay_curve") -> Column:
     """Point with the highest (rounded) EV; the shortest delay wins ties
     (the grid is ascending and only a strictly larger EV replaces the best)."""
     c = F.col(curve_col)
-    return F.aggregate(F.slice(c, 2, 100), F.element_at(c, 1),
+    return F.aggregate(F.slice(c, 2, F.size(c)), F.element_at(c, 1),
                        lambda best, x: F.when(x["expected_value"] > best["expected_value"], x).otherwise(best))
 
 
@@ -334,16 +344,22 @@ def _fr(c: Column, digits: int) -> Column:
     return F.floor(c * F.lit(s) + F.lit(0.5)) / F.lit(s)
 
 
+SERVED_VOCABULARY = {"merchant_country": C.SUPPORTED_MERCHANT_COUNTRIES,
+                     "merchant_vertical": C.SUPPORTED_MERCHANT_VERTICALS, "processor_name": C.SUPPORTED_PROCESSORS}
+
+
 def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
                    economics: C.Economics | None = None, amount_cap: float = C.AMOUNT_CAP_USD,
-                   vocab: dict | None = None, id_col: str = "transaction_id") -> DataFrame:
+                   vocab: dict | None = None, id_col: str = "transaction_id",
+                   model_version: str = C.MODEL_VERSION, policy_version: str = C.POLICY_VERSION) -> DataFrame:
     """The full decision per row (D6 -> D2 -> D3 -> D8 -> D9 -> D10 -> D11).
 
-    ``vocab`` maps field -> literal list or flag column name for the scope guard.
+    ``vocab`` maps field -> literal list or flag column name for the scope guard;
+    without it the served model's fixed lists apply.
     ``score_col`` is the recoverability score to use (raw or calibrated, T27).
     Amounts are back-filled before deciding (T11 fix).
     """
-    vocab = vocab or {}
+    vocab = SERVED_VOCABULARY if vocab is None else vocab
     e = resolve_economics(df, economics, vertical_col="merchant_vertical")
     v = {k: (F.col(x) if isinstance(x, str) else x) for k, x in vocab.items()}
     # a literal list arrives as a list; a flag column name as a str
@@ -369,13 +385,14 @@ def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
         F.when(~ev_ok, F.format_string("best-delay expected value $%.2f is below min_retry_ev_usd $%.2f",
                                        _fr(F.col("__best.expected_value"), 2),
                                        _fr(F.col("min_retry_ev_usd"), 2)))))
-    why = F.concat(F.lit("Attempt "), att, F.lit(": "), F.array_join(parts, "; "),
-                   F.lit(". Timing model conditions on attempt_num, so success probability decays as retries "
-                         "accumulate; once it crosses either the probability or EV floor the engine stops."))
+    why = F.concat(F.lit("Attempt "), att, F.lit(": "), F.array_join(parts, "; "), F.lit(C.ATTEMPT_STOP))
     e = e.withColumn("__best", best).withColumn("recommended_action", action)
     is_retry = F.col("recommended_action") == RETRY
     return e.select(
         id_col, "recommended_action", "scope_reason",
+        out_of_scope_text(F.col("scope_reason"), vocab, amount_cap=amount_cap).alias("out_of_scope_reason"),
+        F.lit(model_version).alias("model_version"), F.lit(policy_version).alias("policy_version"),
+        F.col("decision_threshold").alias("decision_threshold_used"),
         F.when(hard, hard_decline_reason()).alias("hard_decline_reason"),
         F.when(hard, F.lit(0.0)).when(ran, _fr(p, 6)).alias("recoverability_score"),
         F.when(hard, F.lit(0.0)).when(is_retry, _fr(F.col("__ev"), 4)).alias("expected_value"),

@@ -15,23 +15,21 @@ from pyspark.sql import functions as F
 
 from rebound.functions.parse import strip_ws
 
-_REC = "the predicted retry recoverability."
-
 # FIXED VALUES: phrase templates per feature ({v} value, {d} direction word).
 TEMPLATES = {
-    "response_code": "Response code `{v}` {d} " + _REC,
-    "is_soft_decline": "`is_soft_decline={v}` {d} " + _REC,
-    "risk_skip_flag": "`risk_skip_flag={v}` {d} " + _REC,
-    "processor_name": "Processor `{v}` {d} " + _REC,
-    "merchant_country": "Merchant country `{v}` {d} " + _REC,
-    "merchant_vertical": "Merchant vertical `{v}` {d} " + _REC,
-    "latency_ms": "Authorization latency of `{v}` ms {d} " + _REC,
-    "event_hour": "Event hour `{v}` {d} " + _REC,
+    "response_code": "Response code `{v}` {d} the predicted retry recoverability.",
+    "is_soft_decline": "`is_soft_decline={v}` {d} the predicted retry recoverability.",
+    "risk_skip_flag": "`risk_skip_flag={v}` {d} the predicted retry recoverability.",
+    "processor_name": "Processor `{v}` {d} the predicted retry recoverability.",
+    "merchant_country": "Merchant country `{v}` {d} the predicted retry recoverability.",
+    "merchant_vertical": "Merchant vertical `{v}` {d} the predicted retry recoverability.",
+    "latency_ms": "Authorization latency of `{v}` ms {d} the predicted retry recoverability.",
+    "event_hour": "Event hour `{v}` {d} the predicted retry recoverability.",
 }
-DEFAULT_TEMPLATE = "Feature `{f}` with value `{v}` {d} " + _REC
-AMOUNT_TEMPLATE = "Transaction amount `${a}` {d} " + _REC
+DEFAULT_TEMPLATE = "Feature `{f}` with value `{v}` {d} the predicted retry recoverability."
+AMOUNT_TEMPLATE = "Transaction amount `${a}` {d} the predicted retry recoverability."
 MISSING_TEMPLATE = "Feature `{f}` was not provided in the request; its contribution is treated as neutral."
-ZERO_TEMPLATE = "Feature `{f}` had no measurable contribution to " + _REC
+ZERO_TEMPLATE = "Feature `{f}` had no measurable contribution to the predicted retry recoverability."
 
 
 def contributions(terms: Sequence[tuple[str, Column, Column]], raw: dict[str, Column] | None = None) -> Column:

@@ -45,8 +45,8 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     return (customer
-            .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
-            .join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+            .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey, "left")
+            .join(F.broadcast(region), nation.n_regionkey == region.r_regionkey, "left")
             .select("c_custkey", F.col("c_mktsegment").alias("merchant_vertical"),
                     F.col("n_name").alias("merchant_country"),
                     F.col("r_name").alias("processor_name")))
@@ -71,7 +71,7 @@ def originals(spark: SparkSession, sf_dir: str, statuses=("F", "O", "P"), date_r
     geo = _geo(spark, sf_dir)
     declined = F.col("o_orderstatus") == "F"
     code = priority_code(F.col("o_orderpriority"))
-    return (orders.join(geo, orders.o_custkey == geo.c_custkey)
+    return (orders.join(geo, orders.o_custkey == geo.c_custkey, "left")
             .select(F.col("o_orderkey").alias("transaction_id"),
                     F.col("o_orderdate").alias("timestamp"),
                     F.col("o_custkey").alias("merchant_id"),
@@ -88,6 +88,13 @@ def declines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return originals(spark, sf_dir, statuses=("F",)).select(*DECLINE_COLUMNS)
 
 
+def decline_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(transaction_id, response_code) of the declines, from the orders alone."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return orders.where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("transaction_id"), priority_code(F.col("o_orderpriority")).alias("response_code"))
+
+
 def declines_between(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
     """Declines of a date range [start, end) for batch scoring.  The range
     is applied to the raw order date, so it reaches the Parquet scan as a

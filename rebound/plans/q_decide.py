@@ -21,20 +21,15 @@ FLAGS = {k: f"__in_{k}" for k in VOCAB_FIELDS}
 
 
 def scored_with_vocab(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
-    """Scored rows plus the scope vocabularies learnt from the train window:
-    literal lists when small (size-checked), join flags otherwise."""
+    """Scored rows with a flag per scope vocabulary learnt from the train window."""
     sm = split_modeling(spark, sf)
     vocab = FE.vocabulary(sm.where(F.col("split") == "train"), list(VOCAB_FIELDS))
-    lists = D.vocabulary_lists(vocab, VOCAB_FIELDS)
-    big = {f: feat for f, feat in VOCAB_FIELDS.items() if f not in lists}
-    if big:
-        sm = D.vocabulary_flags(sm, vocab, big)
-    return sm, {f: (lists[f] if f in lists else FLAGS[f]) for f in VOCAB_FIELDS}
+    return D.vocabulary_flags(sm, vocab, VOCAB_FIELDS), dict(FLAGS)
 
 
 def timing(spark: SparkSession, sf: str) -> DataFrame:
     return memo(spark, ("timing", sf), lambda: D.fit_timing_table(
-        fx.retry_cells(spark, sf), fx.declines(spark, sf), weight="weight"))
+        fx.retry_cells(spark, sf), fx.decline_codes(spark, sf), weight="weight"))
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,6 +65,15 @@ def _fr(x: str, d: int) -> str:
     return f"(floor(({x}) * {s} + 0.5) / {s})"
 
 
+def _money(x: str) -> str:
+    """Two decimals, half up, with thousands separated (amounts below a billion)."""
+    cents = f"CAST(round(({x}) * 100) AS BIGINT)"
+    whole = f"({cents} // 100)"
+    return (f"(CASE WHEN {whole} >= 1000000 THEN printf('%d,%03d,%03d', {whole} // 1000000, {whole} // 1000 % 1000, {whole} % 1000) "
+            f"WHEN {whole} >= 1000 THEN printf('%d,%03d', {whole} // 1000, {whole} % 1000) ELSE printf('%d', {whole}) END "
+            f"|| printf('.%02d', {cents} % 100))")
+
+
 def _off(col: str, vocab_cte: str, upper: bool) -> str:
     v = _strip(col)
     key = f"upper({v})" if upper else v
@@ -130,6 +134,14 @@ SELECT transaction_id,
        CASE WHEN scope_reason = 'hard_decline' THEN 'do_not_retry' WHEN scope_reason IS NOT NULL THEN 'out_of_scope'
             WHEN ev_ok AND p_ok THEN 'retry' ELSE 'do_not_retry' END AS recommended_action,
        scope_reason,
+       CASE WHEN scope_reason = 'response_code' THEN printf('{C.OUT_OF_SCOPE_CODE.replace("'", "''")}', coalesce({_norm('response_code')}, '<empty>'))
+            WHEN scope_reason IN ('merchant_country', 'merchant_vertical', 'processor_name')
+            THEN printf('{C.OUT_OF_SCOPE_CATEGORY}', scope_reason, CASE scope_reason WHEN 'merchant_country' THEN {_strip('merchant_country')}
+                        WHEN 'merchant_vertical' THEN {_strip('merchant_vertical')} ELSE {_strip('processor_name')} END)
+            WHEN scope_reason = 'amount' THEN 'Amount $' || {_money('amount_usd')} || ' exceeds the model''s training envelope ($'
+              || {_money(dbl(FIXTURE_AMOUNT_CAP))} || '). Use a manual review or merchant''s high-ticket workflow rather than automated retry.' END
+         AS out_of_scope_reason,
+       '{C.MODEL_VERSION}' AS model_version, '{C.POLICY_VERSION}' AS policy_version, decision_threshold AS decision_threshold_used,
        CASE WHEN scope_reason = 'hard_decline'
             THEN coalesce(CASE {_norm('response_code')} {_REASONS} END, '{C.HARD_DECLINE_DEFAULT_REASON}') END
          AS hard_decline_reason,
@@ -158,8 +170,9 @@ FROM dec"""),
 
 DT_COLS = ["transaction_id", "recommended_action", "scope_reason", "hard_decline_reason", "recoverability_score",
            "expected_value", "confidence", "margin_rate", "decision_threshold", "recommended_delay_hours",
-           "recommended_delay_probability", "recommended_delay_expected_value", "attempt_decision_reason"]
-DT_DOUBLES = ["recoverability_score", "expected_value", "confidence", "margin_rate", "decision_threshold",
+           "recommended_delay_probability", "recommended_delay_expected_value", "attempt_decision_reason",
+           "out_of_scope_reason", "model_version", "policy_version", "decision_threshold_used"]
+DT_DOUBLES = ["decision_threshold_used", "recoverability_score", "expected_value", "confidence", "margin_rate", "decision_threshold",
               "recommended_delay_hours", "recommended_delay_probability", "recommended_delay_expected_value"]
 
 

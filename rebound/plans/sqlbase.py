@@ -19,8 +19,8 @@ CTE = {
     "geo": """
 SELECT c.c_custkey, c.c_mktsegment AS merchant_vertical, n.n_name AS merchant_country,
        r.r_name AS processor_name
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey""",
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "originals": f"""
 SELECT o.o_orderkey AS transaction_id, o.o_orderdate AS ts, o.o_custkey AS merchant_id,
        g.merchant_vertical, g.merchant_country, g.processor_name,
@@ -28,7 +28,7 @@ SELECT o.o_orderkey AS transaction_id, o.o_orderdate AS ts, o.o_custkey AS merch
        CASE WHEN o.o_orderstatus = 'F' THEN {_CODE_CASE} ELSE '00' END AS response_code,
        (o.o_orderstatus = 'F' AND {_CODE_CASE} <> '54') AS is_soft_decline,
        CASE WHEN o.o_orderstatus = 'F' THEN 'DECLINED' ELSE 'APPROVED' END AS auth_status
-FROM orders o JOIN geo g ON o.o_custkey = g.c_custkey""",
+FROM orders o LEFT JOIN geo g ON o.o_custkey = g.c_custkey""",
     "declines": """
 SELECT transaction_id, ts, merchant_id, merchant_vertical, merchant_country, processor_name,
        amount_usd, response_code, is_soft_decline
