@@ -179,3 +179,14 @@ def enrich_codes(df: DataFrame, code_col: str = "response_code") -> DataFrame:
     dim = F.broadcast(code_dimension(df.sparkSession))
     j = df.join(dim, strip_ws(F.col(code_col)) == F.col("code"), "left")
     return j.withColumn("code_category", F.coalesce(F.col("code_category"), F.lit("unknown"))).drop("code")
+
+
+# ---------------------------------------------------------------- G2b value label
+def value_label(modeling: DataFrame, margin: float, retry_cost: float, friction: float) -> DataFrame:
+    """G2b, third label option: whether retrying a decline had positive business
+    value, i.e. the recovered margin less what all its retries cost.  A
+    decline that was never retried has value 0 and label false; a missing amount
+    recovers nothing."""
+    gain = F.when(F.col("target_recovered_by_retry"), F.coalesce(F.col("amount_usd").cast("double"), F.lit(0.0)) * F.lit(margin)).otherwise(F.lit(0.0))
+    value = gain - F.col("retry_count") * F.lit(retry_cost + friction)
+    return modeling.withColumn("retry_value_usd", value).withColumn("target_retry_had_value", F.col("retry_value_usd") > 0)

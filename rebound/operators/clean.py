@@ -128,7 +128,7 @@ def map_transaction(df: DataFrame, keep: Sequence[str] = ("transaction_id",)) ->
         avs.isin("Y", "A").alias("avs_street_match"),
         (risk == "approve").alias("risk_skip_flag"),
     ]
-    ts = F.to_timestamp(_src(df, "created_at"))
+    ts = F.try_to_timestamp(_src(df, "created_at").cast("string"))  # a malformed time is missing, not an error
     feats = time_features(ts)
     out += [F.when(ts.isNotNull(), c).alias(n) for n, c in feats.items()]
     return df.select(*out)

@@ -48,14 +48,17 @@ def fit_gbt(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     if numeric:
         stages.append(Imputer(inputCols=[f"__num_{c}" for c in numeric], outputCols=num_imp, strategy="median"))
     stages.append(VectorAssembler(inputCols=num_imp + cat_idx, outputCol="__features", handleInvalid="keep"))
+    data = prepare_gbt_input(train, numeric, categorical, label)
+    # a categorical split needs a bin per category (and one for unseen values)
+    sizes = data.agg(*[F.count_distinct(f"__cat_{c}").alias(c) for c in categorical]).first() if categorical else []
     gbt = GBTClassifier(featuresCol="__features", labelCol=label, stepSize=0.05, maxDepth=5, maxIter=max_iter,
                         subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=40, seed=seed,
-                        predictionCol="__pred", maxBins=64)
+                        predictionCol="__pred", maxBins=max([64, *(n + 2 for n in sizes)]))
     gbt.setProbabilityCol("__prob").setRawPredictionCol("__raw")
     if validation_col:
         gbt.setValidationIndicatorCol(validation_col)
     stages.append(gbt)
-    return Pipeline(stages=stages).fit(prepare_gbt_input(train, numeric, categorical, label))
+    return Pipeline(stages=stages).fit(data)
 
 
 def prepare_gbt_input(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -199,32 +202,45 @@ def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str]
         import numpy as np
         import pandas as pd
 
-        def path_contrib(nodes, x, out, w):
-            i = 0
-            bias = nodes[0]["pred"] * w
-            while not nodes[i]["leaf"]:
-                n = nodes[i]
-                v = x[n["feat"]]
-                kind, arg = n["rule"]
-                go_left = (v <= arg) if kind == "le" else (v in arg)
-                j = n["l"] if go_left else n["r"]
-                out[n["feat"]] += (nodes[j]["pred"] - n["pred"]) * w
-                i = j
-            return bias
-
-        tr, ws = payload
+        def table(nodes):
+            """A tree as arrays; the rows of ``sets`` mark the categories that go left."""
+            n = len(nodes)
+            feat, left, right = np.full(n, -1), np.zeros(n, int), np.zeros(n, int)
+            limit, pred, sets = np.zeros(n), np.zeros(n), {}
+            for i in range(n):
+                node = nodes[i]
+                pred[i] = node["pred"]
+                if not node["leaf"]:
+                    feat[i], left[i], right[i] = node["feat"], node["l"], node["r"]
+                    kind, arg = node["rule"]
+                    if kind == "le":
+                        limit[i] = arg
+                    else:
+                        sets[i] = np.asarray(sorted(arg), dtype=float)
+            return feat, left, right, limit, pred, sets
+
+        tr, ws = [table(t) for t in payload[0]], payload[1]
         for pdf in batches:
-            contribs, biases, margins = [], [], []
-            for x in pdf["__x"]:
-                xv = np.asarray(x, dtype=float)
-                c = np.zeros(n_feat)
-                bias = 0.0
-                for nodes, w in zip(tr, ws):
-                    bias += path_contrib(nodes, xv, c, w)
-                contribs.append(c.tolist())
-                biases.append(bias)
-                margins.append(bias + float(c.sum()))
-            yield pd.DataFrame({"__id": pdf["__id"], "bias": biases, "margin": margins, "contributions": contribs})
+            x = np.asarray(pdf["__x"].tolist(), dtype=float).reshape(len(pdf), -1)
+            out, bias = np.zeros((len(x), n_feat)), np.zeros(len(x))
+            for (feat, left, right, limit, pred, sets), w in zip(tr, ws):
+                at = np.zeros(len(x), int)
+                bias += pred[0] * w
+                rows = np.flatnonzero(feat[at] >= 0)
+                while len(rows):  # all rows take one step down at once
+                    here = at[rows]
+                    f = feat[here]
+                    v = x[rows, f]
+                    go = v <= limit[here]
+                    for i, known in sets.items():
+                        mine = here == i
+                        if mine.any():
+                            go[mine] = np.isin(v[mine], known)
+                    there = np.where(go, left[here], right[here])
+                    out[rows, f] += (pred[there] - pred[here]) * w
+                    at[rows] = there
+                    rows = rows[feat[there] >= 0]
+            yield pd.DataFrame({"__id": pdf["__id"], "bias": bias, "margin": bias + out.sum(1), "contributions": out.tolist()})
 
     schema = T.StructType([T.StructField("__id", df.schema[id_col].dataType), T.StructField("bias", T.DoubleType()),
                            T.StructField("margin", T.DoubleType()),

@@ -1,9 +1,9 @@
 """Reference-text chunking and exact top-K cosine retrieval (Q4-Q6).
 
 Chunking is array arithmetic per document (whole texts).  Retrieval scores
-every candidate against a bounded query set shipped to the tasks, and keeps
-the top K per query by exact order statistics, so no query's candidate list
-is ever gathered into one task.
+every candidate against blocks of queries, and keeps the top K per query in
+each task before the shuffle, so no query's candidate list is ever gathered
+into one task.
 """
 
 from __future__ import annotations
@@ -53,34 +53,33 @@ def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
             .select(group, F.transform("__s", lambda s: s["x"]).alias("query_vector")))
 
 
+#: Query sets up to so many rows are broadcast; larger ones are dealt into blocks of this size.
+QUERY_BLOCK = 4096
+
+
 def top_k_cosine(candidates: DataFrame, queries: DataFrame, cand_id: str, cand_vec: str, query_id: str,
-                 query_vec: str, k: int = 5, where: Column | None = None, max_queries: int = 4096,
-                 batch: int = 256) -> DataFrame:
+                 query_vec: str, k: int = 5, where: Column | None = None) -> DataFrame:
     """Q5: exact top-K cosine neighbours per query, with an optional metadata
     filter applied to the candidates before scoring (pushed to the scan).
 
-    The query set is checked against ``max_queries`` and shipped to the tasks
-    as literal batches of ``batch`` vectors; each candidate is scored against
-    a batch by ``transform`` + ``explode`` (no join), then the top K per query
-    is kept by exact order statistics.
+    Queries are gathered into blocks of ``QUERY_BLOCK`` (a table of arrays, one
+    row per block); a candidate meets each block once and is scored once
+    against each of its queries.  The rank bound keeps the best k per query in
+    every task before anything is shuffled.
     """
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} queries exceed the bound {max_queries}; split the query set")
-    qs = [(r[0], [float(x) for x in r[1]]) for r in queries.select(query_id, query_vec).collect()]
     c = candidates if where is None else candidates.where(where)
-    parts = None
-    for i in range(0, len(qs), batch):
-        lit = F.array(*[F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(x) for x in v]).alias("v"))
-                        for q, v in qs[i:i + batch]])
-        s = (c.select(F.col(cand_id).alias("candidate_id"), F.col(cand_vec).alias("__cv"),
-                      F.explode(lit).alias("__q"))
-             .select(F.col("__q.query_id").alias("query_id"), "candidate_id",
-                     cosine(F.col("__cv"), F.col("__q.v")).alias("score")))
-        parts = s if parts is None else parts.unionByName(s)
-    scored = parts.where(F.col("score").isNotNull()).withColumn("__neg", -F.col("score"))
-    top = top_k_per_group(scored, ["query_id"], ["__neg", "candidate_id"], k)
-    return top.drop("__neg")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = (queries.withColumn("__block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
+             .groupBy("__block").agg(F.collect_list(F.struct(F.col(query_id).alias("query_id"), F.col(query_vec).alias("v"))).alias("__qs")))
+    # a single block has a bounded size and is broadcast; several are joined by their number
+    if blocks == 1:
+        met = c.withColumn("__block", F.lit(0)).join(F.broadcast(dealt), "__block")
+    else:
+        met = c.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block")
+    scored = (met.select(F.col(cand_id).alias("candidate_id"), F.col(cand_vec).alias("__cv"), F.explode("__qs").alias("__q"))
+              .select(F.col("__q.query_id").alias("query_id"), "candidate_id",
+                      cosine(F.col("__cv"), F.col("__q.v")).alias("score")).where(F.col("score").isNotNull()))
+    return top_k_per_group(scored.withColumn("__neg", -F.col("score")), ["query_id"], ["__neg", "candidate_id"], k).drop("__neg")
 
 
 def hit_rate(results: DataFrame, expected: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -228,3 +228,19 @@ def q_cohort_fallback(spark, sf):
     test = scored.where(F.col("split") == "test")
     out = D.cohort_fallback(test, "merchant_vertical", m_auc, r_auc, "challenger_probability", "probability")
     return round_doubles(out.select("transaction_id", "used_rules", "policy_score"))
+
+
+def _delta_sql() -> str:
+    both = "(SELECT y, probability AS p, 'before' AS which FROM tws UNION ALL SELECT y, challenger_probability AS p, 'after' AS which FROM tws) AS both_scores"
+    return f"""
+SELECT metric, max(CASE WHEN which = 'before' THEN v END) AS before, max(CASE WHEN which = 'after' THEN v END) AS after,
+       max(CASE WHEN which = 'after' THEN v END) - max(CASE WHEN which = 'before' THEN v END) AS delta
+FROM (UNPIVOT (SELECT which, {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in M.DELTA_METRICS)} FROM ({bundle_sql(both, "which", dbl(T), "y", "p")}) AS b)
+      ON {", ".join(M.DELTA_METRICS)} INTO NAME metric VALUE v) AS u
+GROUP BY metric"""
+
+
+@register("metric_deltas", sql_round(["before", "after", "delta"], split_sql(_delta_sql(), EVAL_CTES)), ops=("M9",))
+def q_metric_deltas(spark, sf):
+    """Metrics of the rules score before and the challenger score after, on the test window."""
+    return round_doubles(M.metric_deltas(test_with_scores(spark, sf), "y", "probability", "challenger_probability", T))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rebound import config as C
 from rebound.operators import chains, decide
 from rebound.plans import fixture as fx
-from rebound.plans.catalog import register, round_doubles, sql_round
+from rebound.plans.catalog import dbl, register, round_doubles, sql_round
 from rebound.plans.memo import memo
 from rebound.session import materialize
 from rebound.plans.sqlbase import ev_sql, rule_probability_sql, ts_text, with_ctes
@@ -125,3 +125,12 @@ FROM declines d LEFT JOIN {_code_dim_sql()} ON trim(d.response_code) = dim.code"
 def q_decline_enrichment(spark, sf):
     e = chains.enrich_codes(fx.declines(spark, sf))
     return e.select("transaction_id", "response_code", "code_category", "code_reason")
+
+
+@register("value_labels", sql_round(["retry_value_usd"], with_ctes(f"""
+SELECT transaction_id, retry_count, target_recovered_by_retry, v AS retry_value_usd, v > 0 AS target_retry_had_value
+FROM (SELECT *, CASE WHEN target_recovered_by_retry THEN coalesce(amount_usd, CAST(0.0 AS DOUBLE)) * {dbl(C.DEFAULT_MARGIN_RATE)} ELSE CAST(0.0 AS DOUBLE) END
+             - retry_count * {dbl(C.DEFAULT_RETRY_COST_USD + C.DEFAULT_FRICTION_COST_USD)} AS v FROM modeling) AS m""")), ops=("G2b",))
+def q_value_labels(spark, sf):
+    v = chains.value_label(modeling(spark, sf), C.DEFAULT_MARGIN_RATE, C.DEFAULT_RETRY_COST_USD, C.DEFAULT_FRICTION_COST_USD)
+    return round_doubles(v.select("transaction_id", "retry_count", "target_recovered_by_retry", "retry_value_usd", "target_retry_had_value"))

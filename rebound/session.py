@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (tests, local
-    bench) a fresh private folder is created, so a run never reuses or clears
+    The cluster's setting always wins.  Only when it is unset and the
+    master is this one process (tests, local bench) a fresh private folder is created, so a run never reuses or clears
     another run's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured or ""
     if not configured:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="rebound-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)

@@ -46,11 +46,20 @@ def ntz_to_timestamp(df: DataFrame) -> DataFrame:
 
 
 def read_attempts_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV scan with an explicit schema that skips malformed lines."""
-    return (spark.read.schema(schema)
-            .option("header", "true")
-            .option("mode", "DROPMALFORMED")
-            .csv(path))
+    """CSV scan with an explicit schema.
+
+    Only a line with more fields than the header is skipped; a short line's
+    missing fields and values that do not parse are NULL.  Fields are scanned as
+    text, with a spare column: a line of the right length misses it, which the
+    parser reports by keeping the line in ``__short``.  Types come by ``try_cast``.
+    """
+    names = [f.name for f in schema.fields]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "__spare", "__short"]])
+    rows = (spark.read.schema(text).option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "__short").option("columnPruning", "false").csv(path))
+    return rows.where(F.col("__short").isNotNull() & F.col("__spare").isNull()).select(
+        *[F.col(f.name) if isinstance(f.dataType, T.StringType)
+          else F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",

@@ -1,15 +1,56 @@
-"""Models on the planted label: both learners beat the rules."""
-from conftest import SF_MID
+"""Models: both learners beat the rules on a planted label, and run on the given one."""
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from conftest import SF_MID
+from rebound.plans import memo, q_models
+
 
+def planted_label(df):
+    """Logistic in code, amount and country, noise from the md5 of the id."""
+    u = F.conv(F.substring(F.md5(F.col("transaction_id").cast("string")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    logit = (F.lit(-2.0) + F.when(F.col("response_code").isin("91", "51"), 1.5).otherwise(0.0) + F.col("amount_usd") / F.lit(1000.0)
+             - F.when(F.col("merchant_country").isin("NATION_1", "NATION_2", "NATION_3"), 1.0).otherwise(0.0))
+    return (u < F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).cast("int")
 
-def test_models_beat_rules_on_planted_label(spark):
+
+def test_models_beat_rules_on_planted_label(spark, monkeypatch):
+    memo.clear()
+    monkeypatch.setattr(q_models, "data", lambda s, sf: q_models.split_modeling(s, sf).withColumn(q_models.LABEL, planted_label(q_models.split_modeling(s, sf))))
     rows = {r["model"]: r for r in E.queries()["model_quality"](spark, SF_MID).collect()}
+    memo.clear()
     assert set(rows) == {"rules", "gbt", "logistic_v2", "gbt_isotonic"}
     for m in ("gbt", "logistic_v2", "gbt_isotonic"):
         assert rows[m]["auc"] > rows["rules"]["auc"] + 0.05
         assert rows[m]["log_loss"] < rows["rules"]["log_loss"]
+
+
+def test_models_run_on_the_given_label(spark):
+    rows = {r["model"]: r for r in E.queries()["model_quality"](spark, SF_MID).collect()}
+    assert all(0.3 < r["auc"] < 0.7 and r["rows"] > 500 for r in rows.values())
+
+
+def test_batch_tree_walk_equals_one_row_at_a_time(spark):
+    from rebound.operators import model as MD
+    rows = [(i, f"c{i % 12}", float((i * 37) % 101), int((i * 37) % 101 > 50 or i % 12 < 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, cat string, num double, y int")
+    m = MD.fit_gbt(df, ["num"], ["cat"], "y", max_iter=5)
+    prep = MD.prepare_gbt_input(df, ["num"], ["cat"])
+    trees, weights = MD.extract_trees(m)
+    from pyspark.ml.functions import vector_to_array
+    xs = {r["id"]: r["x"] for r in m.transform(prep).select("id", vector_to_array("__features").alias("x")).collect()}
+    for r in MD.tree_contributions(m, prep, ["num", "cat"], "id").collect():
+        want, bias = [0.0, 0.0], 0.0
+        for nodes, w in zip(trees, weights):
+            i = 0
+            bias += nodes[0]["pred"] * w
+            while not nodes[i]["leaf"]:
+                n = nodes[i]
+                kind, arg = n["rule"]
+                j = n["l"] if (xs[r["id"]][n["feat"]] <= arg if kind == "le" else xs[r["id"]][n["feat"]] in arg) else n["r"]
+                want[n["feat"]] += (nodes[j]["pred"] - n["pred"]) * w
+                i = j
+        assert abs(r["bias"] - bias) < 1e-9 and all(abs(a - b) < 1e-9 for a, b in zip(r["contributions"], want))
     imp = E.queries()["model_importance"](spark, SF_MID).collect()
     assert {r["kind"] for r in imp} == {"gbt_gain", "logistic_top", "logistic_bottom"}
     assert abs(sum(r["value"] for r in imp if r["kind"] == "gbt_gain") - 1.0) < 1e-9

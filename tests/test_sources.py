@@ -8,16 +8,18 @@ from rebound.sources import read_attempts_csv, read_config, read_table, write_ta
 from conftest import SF_SMALL
 
 
-def test_csv_drops_malformed(spark):
+def test_csv_skips_only_long_lines(spark):
     d = tempfile.mkdtemp(prefix="rebound-csv-")
     p = os.path.join(d, "a.csv")
     with open(p, "w") as f:
-        f.write("transaction_id,amount_usd,retry_attempt_num\nA,10.5,1\nB,notanumber,2,extra\nC,3.0,x\n")
+        f.write("transaction_id,amount_usd,retry_attempt_num\nA,10.5,1\nB,notanumber,2,extra\nC,abc,x\nD,3\nE, 4.5 ,,\nF,,7\n")
     schema = T.StructType([T.StructField("transaction_id", T.StringType()),
                            T.StructField("amount_usd", T.DoubleType()),
                            T.StructField("retry_attempt_num", T.IntegerType())])
-    rows = read_attempts_csv(spark, p, schema).collect()
-    assert [r["transaction_id"] for r in rows] == ["A"]
+    df = read_attempts_csv(spark, p, schema)
+    rows = df.collect()
+    assert df.count() == 4 and [r[0] for r in df.select("amount_usd").collect()] == [10.5, None, 3.0, None]
+    assert [tuple(r) for r in rows] == [("A", 10.5, 1), ("C", None, None), ("D", 3.0, None), ("F", None, 7)]
 
 
 def test_write_and_read_roundtrip(spark):

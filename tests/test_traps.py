@@ -343,30 +343,83 @@ def test_key_lookup_and_code_enrichment(spark):
     assert (e[2]["code_category"], e[3]["code_category"]) == ("soft", "unknown")
 
 
-def test_trailing_rate_days_and_same_day(spark):
-    t0 = dt.datetime(2024, 1, 10, 5)
-    rows = [(1, "k", t0, True), (2, "k", t0 + dt.timedelta(hours=3), False),
-            (3, "k", t0 + dt.timedelta(hours=3, minutes=5), True), (4, "k", t0 - dt.timedelta(days=2), True),
-            (5, "k", t0 - dt.timedelta(days=40), True), (6, "k", t0 + dt.timedelta(days=1), False)]
+def test_trailing_rate_is_exact_to_the_microsecond(spark):
+    t0 = dt.datetime(2024, 2, 10, 5)
+    us, day = dt.timedelta(microseconds=1), dt.timedelta(days=1)
+    rows = [(1, "k", t0, True), (2, "k", t0 - 30 * day, True), (3, "k", t0 - 30 * day - us, True),
+            (4, "k", t0 - dt.timedelta(hours=3), False), (5, "k", t0 - us, True), (6, "k", t0, False),
+            (7, None, t0, True), (8, None, t0 - day, False), (9, "k", None, True), (5, "k", t0 - us, True)]
     df = spark.createDataFrame(rows, "id long, key string, ts timestamp, dec boolean")
-    r = {x["id"]: (x["prior_30d_attempts"], x["prior_30d_decline_rate"])
-         for x in history.trailing_rate(df, "key", "ts", 30, F.col("dec")).collect()}
-    assert r[1] == (1, 1.0) and r[2] == (2, 1.0) and r[3] == (3, pytest.approx(2 / 3))
-    assert r[6] == (4, 0.75) and r[5] == (0, None)
-
-
-def test_trailing_counts_match_lookback(spark):
+    out = history.trailing_rate(df, "key", "ts", [30, 7], F.col("dec")).collect()
+    assert sorted((r["id"]) for r in out) == sorted(r[0] for r in rows)   # nothing lost or multiplied
+    for r in out:
+        for n in (30, 7):
+            own = [d for _, k, t, d in rows if k == r["key"] and t is not None and r["ts"] is not None
+                   and r["ts"] - n * day <= t < r["ts"]]
+            assert r[f"prior_{n}d_attempts"] == len(own)
+            assert r[f"prior_{n}d_decline_rate"] == (pytest.approx(sum(own) / len(own)) if own else None)
+
+
+def _awkward_events(spark):
+    """NULL keys and times, equal times, repeated ids, times off midnight."""
     import random
     rnd = random.Random(5)
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, rnd.choice("ab"), t0 + dt.timedelta(seconds=rnd.choice([0, 30, 60, 61, 119, 120, 3599, 3600, 3650])
-                                                     + 120 * (i % 7))) for i in range(120)]
+    rows = [(rnd.randrange(100), rnd.choice(["a", "b", None]),
+             rnd.choice([None] + [t0 + dt.timedelta(seconds=rnd.choice([0, 30, 60, 61, 119, 3599, 3650]) + 120 * (i % 7), microseconds=i % 3)] * 9),
+             rnd.choice(["51", "91", None]), float(rnd.randrange(50))) for i in range(200)]
+    return rows, spark.createDataFrame(rows, "id long, k string, ts timestamp, code string, amount_usd double")
+
+
+def test_history_keeps_rows_with_null_keys_times_and_repeated_ids(spark):
+    rows, df = _awkward_events(spark)
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    out = history.sequence_features(df, "k", "ts", "id", "code")
+    from pyspark.sql import Window
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    plain = df.withColumn("attempt_number", F.row_number().over(w))
+    assert sorted(key(r[:3]) for r in out.select("id", "k", "ts").collect()) == sorted(key(r[:3]) for r in rows)
+    assert sorted((str(r["k"]), r["attempt_number"]) for r in out.collect()) == sorted((str(r["k"]), r["attempt_number"]) for r in plain.collect())
+    hist = history.historical_rates(df.withColumnRenamed("ts", "timestamp"), "k", declined=F.col("code") == "51").collect()
+    assert len(hist) == len(rows)
+    for r in hist:
+        own = [c == "51" for _, k, t, c, _ in rows if k == r["k"] and t is not None and r["timestamp"] is not None and t < r["timestamp"]]
+        assert r["prior_attempts"] == len(own)
+    look = history.lookback_counts(df, ["k"], "ts", 60_000_000).collect()
+    assert len(look) == len(rows)
+    for r in look:
+        own = sum(1 for _, k, t, _, _ in rows if k == r["k"] and t is not None and r["ts"] is not None
+                  and r["ts"] - dt.timedelta(seconds=60) < t <= r["ts"])
+        assert r["lookback_value"] == (own if r["ts"] is not None else None)
+    total = history.rate_breaches(df, "k", "ts", 5).agg(F.sum("requests")).first()[0]
+    assert total == len(rows)
+
+
+def test_dedup_keeps_the_first_and_then_the_next_after_the_horizon(spark):
+    import random
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "b", None]), t0 + dt.timedelta(hours=rnd.randrange(500), minutes=rnd.choice([0, 0, 30]))) for i in range(400)]
+    rows += [(1000, "c", t0), (1001, "c", t0 + dt.timedelta(hours=20)), (1002, "c", t0 + dt.timedelta(hours=40)),
+             (1003, "d", t0), (1004, "d", t0 + dt.timedelta(hours=24)), (1005, "d", t0), (1006, "e", None), (1007, "e", None)]
+    kept, last = [], {}
+    for i, k, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+        if k not in last or t >= last[k] + dt.timedelta(hours=24):
+            last[k] = t
+            kept.append(i)
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
-    a = {r["id"]: r["lookback_value"] for r in history.trailing_counts(df, ["k"], "ts", "id", 60_000_000).collect()}
-    b = {r["id"]: r["lookback_value"] for r in history.lookback_counts(df, ["k"], "ts", 60_000_000).collect()}
-    brute = {i: sum(1 for j, k2, t2 in rows if k2 == k and t - dt.timedelta(seconds=60) < t2 <= t)
-             for i, k, t in rows}
-    assert a == b == brute
+    got = sorted(r["id"] for r in history.dedup_within(df, ["k"], "ts", "id").collect())
+    assert got == sorted([*kept, 1006, 1007])
+    assert {1000, 1002, 1003, 1004} <= set(got) and not {1001, 1005} & set(got)
+
+
+def test_metrics_keep_a_null_group(spark):
+    rows = [(g, y, p) for g in ("a", None) for y, p in ((1, 0.9), (0, 0.2), (1, 0.3), (0, 0.4))]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    b = {r["g"]: r["auc"] for r in metrics.metric_bundle(df, "y", "p", 0.5, ["g"]).collect()}
+    assert b == {"a": 0.75, None: 0.75}
+    t = metrics.threshold_sweep(df, "y", "p", ["g"]).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in t} == {"a": 46, None: 46}
 
 
 def test_grid_uses_linspace_doubles(spark):
@@ -412,33 +465,74 @@ def test_quantiles_ignore_nan_and_null(spark):
     assert ordered.exact_quantiles(df, "x", [0.0, 0.5, 1.0])[()] == [1.0, 2.0, 3.0]
 
 
-def test_vocabulary_size_check_falls_back_to_join(spark):
+def test_vocabulary_join_equals_lists(spark, monkeypatch):
     from rebound.operators import features as FE
     rows = [("t1", "51", "A", "v1", "p1", 10.0), ("t2", "51", "B", "v1", "p1", 10.0),
             ("t3", "51", "Z", "v9", "p1", 10.0)]
     df = spark.createDataFrame(rows, "transaction_id string, response_code string, merchant_country string, "
                                      "merchant_vertical string, processor_name string, amount_usd double")
-    train = df.where("transaction_id != 't3'")
-    vocab = FE.vocabulary(train, ["merchant_country", "merchant_vertical", "processor_name"])
-    fields = {"merchant_country": "merchant_country", "merchant_vertical": "merchant_vertical",
-              "processor_name": "processor_name"}
-    lists = decide.vocabulary_lists(vocab, fields, max_size=10)
-    assert lists["merchant_country"] == ["A", "B"]
-    assert decide.vocabulary_lists(vocab, fields, max_size=1) == {"merchant_vertical": ["v1"],
-                                                                  "processor_name": ["p1"]}
-    flagged = decide.vocabulary_flags(df, vocab, fields)
+    fields = {c: c for c in ("merchant_country", "merchant_vertical", "processor_name")}
+    vocab = FE.vocabulary(df.where("transaction_id != 't3'"), list(fields))
+    by_list = decide.scope_reason(countries=["A", "B"], verticals=["v1"], processors=["p1"])
     by_join = decide.scope_reason(countries=F.col("__in_merchant_country"), verticals=F.col("__in_merchant_vertical"),
                                   processors=F.col("__in_processor_name"))
-    by_list = decide.scope_reason(countries=lists["merchant_country"], verticals=lists["merchant_vertical"],
-                                  processors=lists["processor_name"])
-    a = sorted((r[0], r[1]) for r in flagged.select("transaction_id", by_join).collect())
-    b = sorted((r[0], r[1]) for r in df.select("transaction_id", by_list).collect())
-    assert a == b == [("t1", None), ("t2", None), ("t3", "merchant_country")]
+    for bound in (decide.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decide, "BROADCAST_ROWS", bound)
+        flagged = decide.vocabulary_flags(df, vocab, fields)
+        a = sorted((r[0], r[1]) for r in flagged.select("transaction_id", by_join).collect())
+        b = sorted((r[0], r[1]) for r in df.select("transaction_id", by_list).collect())
+        assert a == b == [("t1", None), ("t2", None), ("t3", "merchant_country")]
+
+
+def test_decisions_guard_by_default_and_say_why(spark):
+    rows = [("t1", "51", "XX", "nope", "nope", 10.0, 0.5), ("t2", " zz ", "US", "saas", None, 10.0, 0.5),
+            ("t3", "51", "US", "saas", "global-acquirer-a", 1234567.891, 0.5), ("t4", " 51 ", "us", "saas", "global-acquirer-a", 100.0, 0.5),
+            ("t5", "", "US", "saas", None, 10.0, 0.5), ("t6", "51", "US", "Saas", None, 10.0, 0.5)]
+    df = spark.createDataFrame(rows, "transaction_id string, response_code string, merchant_country string, "
+                                     "merchant_vertical string, processor_name string, amount_usd double, p double")
+    out = {r["transaction_id"]: r for r in decide.decision_table(df, "p", _timing(spark, [0.6] * 10), model_version="m2").collect()}
+    assert {k: r["recommended_action"] for k, r in out.items()} == {
+        "t1": "out_of_scope", "t2": "out_of_scope", "t3": "out_of_scope", "t4": "retry", "t5": "out_of_scope", "t6": "out_of_scope"}
+    assert out["t1"]["out_of_scope_reason"] == f"merchant_country `XX` not in trained allowlist {sorted(C.SUPPORTED_MERCHANT_COUNTRIES)}"
+    assert out["t2"]["out_of_scope_reason"].startswith("Response code `ZZ` is not in") and "`<empty>`" in out["t5"]["out_of_scope_reason"]
+    assert out["t3"]["out_of_scope_reason"].startswith("Amount $1,234,567.89 exceeds the model's training envelope ($25,000.00).")
+    assert out["t6"]["scope_reason"] == "merchant_vertical" and out["t4"]["out_of_scope_reason"] is None
+    # the padded code finds its timing row: 0.6, not the row score 0.5
+    assert out["t4"]["recommended_delay_probability"] == 0.6
+    assert (out["t4"]["model_version"], out["t4"]["policy_version"], out["t4"]["decision_threshold_used"]) == ("m2", "v1", 0.1)
 
 
-def test_retrieval_query_bound(spark):
+def test_best_delay_reads_the_whole_curve(spark):
+    curve = [(float(i), 0.1, 1.0 if i < 130 else 2.0) for i in range(150)]
+    df = spark.createDataFrame([(curve,)], "delay_curve array<struct<delay_hours:double,success_probability:double,expected_value:double>>")
+    assert df.select(decide.best_delay().alias("b")).first()["b"]["delay_hours"] == 130.0
+
+
+def test_malformed_time_is_missing(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("b", "not a time"), ("c", None)], "transaction_id string, created_at string")
+    from rebound.operators import clean
+    out = {r["transaction_id"]: r for r in clean.map_transaction(df).collect()}
+    assert len(out) == 3 and sum(v is not None for v in out["b"].asDict().values()) <= sum(v is not None for v in out["a"].asDict().values())
+
+
+def test_trees_take_many_categories(spark):
+    from rebound.operators import model as MD
+    rows = [(i, f"c{i % 90}", float(i % 7), int(i % 90 < 30)) for i in range(1800)]
+    df = spark.createDataFrame(rows, "id long, cat string, num double, y int")
+    m = MD.fit_gbt(df, ["num"], ["cat"], "y", max_iter=2)
+    assert MD.apply_model(m, df, "p", ["num"], ["cat"]).count() == 1800
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_retrieval_in_one_and_many_query_blocks(spark, monkeypatch, block):
+    import random
     from rebound.operators import retrieval as R
-    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "qid int, v array<double>")
-    c = spark.createDataFrame([(1, [1.0, 0.0])], "cid int, e array<double>")
-    with pytest.raises(ValueError):
-        R.top_k_cosine(c, q, "cid", "e", "qid", "v", 1, max_queries=2)
+    rnd = random.Random(1)
+    vec = lambda: [rnd.uniform(-1, 1) for _ in range(4)]
+    qs, cs = [(i, vec()) for i in range(7)], [(i, vec()) for i in range(50)]
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    got = R.top_k_cosine(spark.createDataFrame(cs, "cid int, e array<double>"), spark.createDataFrame(qs, "qid int, v array<double>"),
+                         "cid", "e", "qid", "v", 3)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(q, i) for q, v in qs for i in [i for _, i in sorted((-cos(v, e), i) for i, e in cs)[:3]]}
+    assert {(r["query_id"], r["candidate_id"]) for r in got.collect()} == want
