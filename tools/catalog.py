@@ -26,6 +26,10 @@ SUMMARY = {'batch_score_summary': 'retry / skip / out-of-scope counts, EV of ret
     'delay_curve': '10-point delay curve (success probability, EV) per in-scope decline',
     'document_chunks': '200-word chunks with 50-word overlap of every document (md5 per chunk)',
     'drift_metrics': 'PSI, KS statistic and p-value, JS divergence and alert per feature',
+    'event_error_rates': "W6b over real times: a user's error rate in the 30 and 7 days before each event",
+    'historical_feature_set': 'the standard point-in-time features of every decline',
+    'metric_deltas': 'AUC, log loss, Brier, precision, recall, F1 of two scores and their differences',
+    'value_labels': 'whether retrying had positive business value, per decline',
     'event_dedup': 'events kept by the 24 h first-wins dedup (batch twin of the stream)',
     'explained_top_rows': 'top 20 rows by explained score x top 5 contributions with phrases',
     'explanations': 'top-3 scorecard contributions per test decline with direction and phrase',
