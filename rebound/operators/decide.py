@@ -245,7 +245,7 @@ def out_of_scope_text(reason: Column, vocab: dict, code="response_code", amount=
         if isinstance(known, (list, tuple)):
             text = F.concat(text, F.lit(f" {sorted(known)}"))
         out = out.when(reason == field, text)
-    return out.when(reason == "amount", F.format_string(C.OUT_OF_SCOPE_AMOUNT, to_double(amount), F.lit(float(amount_cap))))
+    return out.when(reason == "amount", F.format_string(C.OUT_OF_SCOPE_AMOUNT, _fr(to_double(amount), 2), F.lit(float(amount_cap))))
 
 
 def hard_decline_reason(code="response_code") -> Column:

@@ -66,8 +66,8 @@ def _fr(x: str, d: int) -> str:
 
 
 def _money(x: str) -> str:
-    """Two decimals, half up, with thousands separated (amounts below a billion)."""
-    cents = f"CAST(round(({x}) * 100) AS BIGINT)"
+    """Two decimals, rounded like ``_fr``, with thousands separated (amounts below a billion)."""
+    cents = f"CAST(floor(({x}) * 100 + 0.5) AS BIGINT)"
     whole = f"({cents} // 100)"
     return (f"(CASE WHEN {whole} >= 1000000 THEN printf('%d,%03d,%03d', {whole} // 1000000, {whole} // 1000 % 1000, {whole} % 1000) "
             f"WHEN {whole} >= 1000 THEN printf('%d,%03d', {whole} // 1000, {whole} % 1000) ELSE printf('%d', {whole}) END "
