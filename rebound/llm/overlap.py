@@ -23,7 +23,7 @@ and a set already joined with the query is not probed again.
 
 Edge cases: null, empty and blank texts have the empty set, link with nothing,
 and are their own component; long texts are compared whole; rows that share a
-doc_id are one node; sets whose rows all lack an id have no component; an empty
+doc_id are one node, blank ones too; sets whose rows all lack an id have no component; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -212,10 +212,16 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
         return pa.table({"a": pa.array([rep[ok[i]] for i, _ in found], pa.int64()), "b": pa.array([rep[ok[j]] for _, j in found], pa.int64())})
 
     links = texts.groupBy("g", "lo", "hi").applyInArrow(search, "a long, b long")
-    joined = components(materialize(links)).select(F.col("node").alias("rep"), "component")
+    # An id whose rows have several sets joins the classes of those sets, even where another id names the class.
+    held = sets.where("n > 0 and doc_id is not null").select("doc_id", "e1", "e2", "n").distinct()
+    several = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    same = held.join(several, "doc_id").join(classes, ["e1", "e2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = components(materialize(links.unionByName(same))).select(F.col("node").alias("rep"), "component")
     named = classes.join(joined, "rep", "left").select("e1", "e2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return (sets.select("doc_id", "n", "e1", "e2").join(named, ["e1", "e2", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    named = sets.where("n > 0").join(named, ["e1", "e2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    blank = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    other = named.join(blank.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return named.unionByName(blank.join(other, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def op5_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,14 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 498: 498, 499: 498, 500: 498}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_join_their_classes(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (20, d), (31, d), (40, prose(rng, 60)), (5, None), (None, a), (41, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], awkward(spark).schema)
+    got = {}
+    for r in O.similar_components(docs, 4, 85, 100).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got == {3: {3}, 5: {3}, 9: {3}, 20: {20}, 31: {20}, 40: {40}, 41: {41}, None: {3}}
