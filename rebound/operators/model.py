@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rebound.functions.parse import missing_as
+from rebound.operators.treeshap import TreeShap
 
 
 # ---------------------------------------------------------------- L1
@@ -152,7 +153,8 @@ def grid_search_net_value(folds: Sequence[tuple[DataFrame, DataFrame]], fit, gri
 
 # ---------------------------------------------------------------- X1 (trees)
 def extract_trees(model: PipelineModel) -> tuple[list[list[dict]], list[float]]:
-    """Flatten the fitted trees into node tables (driver, once per model)."""
+    """Flatten the fitted trees into node tables with the weight of training
+    rows that reached each node (driver, once per model)."""
     gbt = model.stages[-1]
     trees = []
     for t in gbt.trees:
@@ -161,7 +163,7 @@ def extract_trees(model: PipelineModel) -> tuple[list[list[dict]], list[float]]:
         def walk(jn) -> int:
             idx = len(nodes)
             nodes.append({})
-            pred = float(jn.prediction())
+            pred, cover = float(jn.prediction()), float(jn.impurityStats().count())
             if jn.getClass().getSimpleName() == "InternalNode":
                 split = jn.split()
                 feat = int(split.featureIndex())
@@ -171,9 +173,9 @@ def extract_trees(model: PipelineModel) -> tuple[list[list[dict]], list[float]]:
                     rule = ("in", [float(x) for x in split.leftCategories()])
                 left = walk(jn.leftChild())
                 right = walk(jn.rightChild())
-                nodes[idx] = {"leaf": False, "pred": pred, "feat": feat, "rule": rule, "l": left, "r": right}
+                nodes[idx] = {"leaf": False, "pred": pred, "cover": cover, "feat": feat, "rule": rule, "l": left, "r": right}
             else:
-                nodes[idx] = {"leaf": True, "pred": pred}
+                nodes[idx] = {"leaf": True, "pred": pred, "cover": cover}
             return idx
 
         walk(t._java_obj.rootNode())
@@ -182,67 +184,29 @@ def extract_trees(model: PipelineModel) -> tuple[list[list[dict]], list[float]]:
 
 
 def tree_contributions(model: PipelineModel, df: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
-    """X1 for trees: per-row path contributions (the change of node value
-    along the decision path, credited to the split feature, summed over trees
-    with their weights).  Additive: bias + sum(contributions) = margin.
+    """X1 for trees: Shapley values under the trees' own training shares
+    (``treeshap``), summed over the trees with their weights.  Additive:
+    bias + sum(contributions) = margin, bias being the mean margin.
 
-    Runs as ``mapInPandas`` over the assembled feature vectors with the node
-    tables shipped in the task closure; returns (id, bias, margin, contributions array).
+    Runs over the assembled feature vectors in Arrow batches; the node tables
+    travel with the task (bounded by iterations x 2^depth).  Returns
+    (id, bias, margin, contributions array).
     """
-    trees, weights = extract_trees(model)
-    # the node tables are bounded by iterations x 2^depth; they travel with the
-    # task closure (works on classic and Spark Connect sessions alike)
-    payload = (trees, weights)
-    feats = model.transform(df).select(F.col(id_col).alias("__id"),
-                                       vector_to_array("__features").alias("__x"))
+    shap = TreeShap(*extract_trees(model))
+    feats = model.transform(df).select(F.col(id_col), vector_to_array("__features").alias("__x"))
     n_feat = len(names)
 
     def run(batches):
-        # self-contained (pickled by value): executors need numpy/pandas only
         import numpy as np
-        import pandas as pd
-
-        def table(nodes):
-            """A tree as arrays; the rows of ``sets`` mark the categories that go left."""
-            n = len(nodes)
-            feat, left, right = np.full(n, -1), np.zeros(n, int), np.zeros(n, int)
-            limit, pred, sets = np.zeros(n), np.zeros(n), {}
-            for i in range(n):
-                node = nodes[i]
-                pred[i] = node["pred"]
-                if not node["leaf"]:
-                    feat[i], left[i], right[i] = node["feat"], node["l"], node["r"]
-                    kind, arg = node["rule"]
-                    if kind == "le":
-                        limit[i] = arg
-                    else:
-                        sets[i] = np.asarray(sorted(arg), dtype=float)
-            return feat, left, right, limit, pred, sets
-
-        tr, ws = [table(t) for t in payload[0]], payload[1]
-        for pdf in batches:
-            x = np.asarray(pdf["__x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            out, bias = np.zeros((len(x), n_feat)), np.zeros(len(x))
-            for (feat, left, right, limit, pred, sets), w in zip(tr, ws):
-                at = np.zeros(len(x), int)
-                bias += pred[0] * w
-                rows = np.flatnonzero(feat[at] >= 0)
-                while len(rows):  # all rows take one step down at once
-                    here = at[rows]
-                    f = feat[here]
-                    v = x[rows, f]
-                    go = v <= limit[here]
-                    for i, known in sets.items():
-                        mine = here == i
-                        if mine.any():
-                            go[mine] = np.isin(v[mine], known)
-                    there = np.where(go, left[here], right[here])
-                    out[rows, f] += (pred[there] - pred[here]) * w
-                    at[rows] = there
-                    rows = rows[feat[there] >= 0]
-            yield pd.DataFrame({"__id": pdf["__id"], "bias": bias, "margin": bias + out.sum(1), "contributions": out.tolist()})
-
-    schema = T.StructType([T.StructField("__id", df.schema[id_col].dataType), T.StructField("bias", T.DoubleType()),
+        import pyarrow as pa
+        for batch in batches:
+            x = batch["__x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_feat)
+            out = shap(x)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n_feat, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(np.full(len(x), shap.bias)), pa.array(shap.bias + out.sum(1)), lists],
+                                             names=[id_col, "bias", "margin", "contributions"])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("bias", T.DoubleType()),
                            T.StructField("margin", T.DoubleType()),
                            T.StructField("contributions", T.ArrayType(T.DoubleType()))])
-    return feats.mapInPandas(run, schema).withColumnRenamed("__id", id_col)
+    return feats.mapInArrow(run, schema)
