@@ -11,6 +11,8 @@ third of all rows) into one task.  Two layouts avoid that:
   the look-back's length, so a hot key is split by it (``lookback_counts``);
 * long look-backs (W6b): C(t) - C(t - lookback) from the two-level cumulative
   sums, with a probe at t - lookback (``trailing_sums``);
+* many keys at once (P18): the same, on rows stacked as (kind, key, instant)
+  (``history_of_keys``);
 * first-kept dedup (S2 twin): each time's successor at least a horizon later,
   then pointer doubling from the key's first time (``dedup_within``).
 
@@ -182,6 +184,50 @@ def trailing_sums(events: DataFrame, key: str, ts: str, lookbacks_us: Sequence[i
     return join_on(d, out, ["__k", "__t"], "left").select(*events.columns, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
 
 
+def history_of_keys(events: DataFrame, asked: DataFrame, keys: dict[str, Sequence[str]], ts: str, sums: dict[str, Column],
+                    lookbacks_us: Sequence[int] = (), bucket_seconds: int = HOUR_SECONDS) -> DataFrame:
+    """Rows of ``asked`` with, for every key of ``keys`` (name -> columns), the
+    sums over events of that key strictly before the row's time
+    (``<key>_<sum>``) and over those in [t - L, t) for the nth look-back L
+    (``<key>_<sum>_<n>``); 0 without events or without a time.
+
+    One pass for all keys: events are stacked as (kind, key, instant) and summed
+    first, so rows of one instant collapse before the shuffle.  The cumulative
+    sum is two-level (active buckets of a key, then the instants of a bucket):
+    no task holds more of a hot key than one bucket.  Answers depend on the
+    keys and the instant alone, so each combination that ``asked`` holds is
+    answered once and joined back; repeated rows cannot multiply each other.
+    The stacked instants are read twice, so they are checkpointed.
+    """
+    columns = list(dict.fromkeys(c for cols in keys.values() for c in cols))
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.array(*[F.col(c).cast("string") for c in cols]).alias("key"))
+                                for i, cols in enumerate(keys.values())]))
+    stacked = events.where(F.col(ts).isNotNull()).select(*columns, _micros(ts).alias("__t"), *[e.alias(f"__s_{n}") for n, e in sums.items()])
+    at = (stacked.withColumn("__k", kinds).groupBy("__k.kind", "__k.key", "__t")
+          .agg(*[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums]))
+    probes = F.explode(F.array(*[F.struct(F.lit(i - 1).alias("nth"), F.lit(x).cast("long").alias("back")) for i, x in enumerate([0, *lookbacks_us])]))
+    wanted = asked.where(F.col(ts).isNotNull()).select(*columns, _micros(ts).alias("__t")).distinct()
+    ask = wanted.withColumn("__k", kinds).select("*", F.col("__k.kind"), F.col("__k.key"))
+    moments = ask.select("kind", "key", "__t").distinct()
+    asking = moments.withColumn("__p", probes).select("kind", "key", (F.col("__t") - F.col("__p.back")).alias("__x"), "__t", F.col("__p.nth"))
+    u = at.select("kind", "key", F.col("__t").alias("__x"), *[F.col(f"__s_{n}") for n in sums]).unionByName(asking, allowMissingColumns=True)
+    u = materialize(u.withColumn("__b", F.floor(F.col("__x") / F.lit(bucket_seconds * 1_000_000))))
+    active = u.groupBy("kind", "key", "__b").agg(*[F.sum(f"__s_{n}").alias(f"__d_{n}") for n in sums])
+    wb = Window.partitionBy("kind", "key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = active.select("kind", "key", "__b", *[F.coalesce(F.sum(f"__d_{n}").over(wb), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    wi = Window.partitionBy("kind", "key", "__b").orderBy("__x").rangeBetween(Window.unboundedPreceding, -1)
+    before = u.join(earlier, ["kind", "key", "__b"]).select(
+        "kind", "key", "__t", "nth", *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__s_{n}").over(wi), F.lit(0))).alias(f"__c_{n}") for n in sums])
+    pick = lambda n, i: F.max(F.when(F.col("nth") == i, F.col(f"__c_{n}")))
+    names = [n if i < 0 else f"{n}_{i}" for n in sums for i in range(-1, len(lookbacks_us))]
+    values = [pick(n, -1) if i < 0 else pick(n, -1) - pick(n, i) for n in sums for i in range(-1, len(lookbacks_us))]
+    answers = before.where(F.col("nth").isNotNull()).groupBy("kind", "key", "__t").agg(*[v.alias(f"__a_{c}") for v, c in zip(values, names)])
+    spread = (ask.join(answers, ["kind", "key", "__t"]).groupBy(*columns, "__t")
+              .agg(*[F.max(F.when(F.col("kind") == i, F.col(f"__a_{c}"))).alias(f"{k}_{c}") for i, k in enumerate(keys) for c in names]))
+    out = join_on(asked.withColumn("__t", _micros(ts)), spread, [*columns, "__t"], "left")
+    return out.select(*asked.columns, *[F.coalesce(F.col(f"{k}_{c}"), F.lit(0)).alias(f"{k}_{c}") for k in keys for c in names])
+
+
 def rate_breaches(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60) -> DataFrame:
     """Requests per key in the trailing (t - 60 s, t]; breaches of the limit.
     A request without a time is counted and breaches nothing."""
@@ -252,8 +298,8 @@ def trailing_rate(attempts: DataFrame, key: str, ts: str, days: Sequence[int], d
 
 
 # ---------------------------------------------------------------- P18
-FEATURE_KEYS = {"provider": "processor_name", "country": "merchant_country", "code": "response_code",
-                "code_country": "__code_country", "merchant": "merchant_id"}
+FEATURE_KEYS = {"provider": ["processor_name"], "country": ["merchant_country"], "code": ["response_code"],
+                "code_country": ["response_code", "merchant_country"], "merchant": ["merchant_id"]}
 
 
 def amount_bucket(amount: Column) -> Column:
@@ -262,6 +308,16 @@ def amount_bucket(amount: Column) -> Column:
             .when(amount.isNotNull(), "very_large"))
 
 
+def _attempt_events(attempts: DataFrame, retries: DataFrame, ts: str, id_col: str, link: str, status: str) -> DataFrame:
+    """Attempts and the retries of declined ones (under the keys of their original) as one event table."""
+    declined = attempts.where(F.col(status) == "DECLINED")
+    roles = ["merchant_id", "merchant_country", "processor_name", "response_code"]
+    linked = retries.select(F.col(link).alias("__link"), F.col(ts), F.col(status)).join(
+        declined.select(F.col(id_col).alias("__link"), *roles), "__link").drop("__link")
+    return (attempts.select(*roles, ts, status, "amount_usd", F.lit(False).alias("is_retry"))
+            .unionByName(linked.withColumn("is_retry", F.lit(True)), allowMissingColumns=True))
+
+
 def feature_set(attempts: DataFrame, retries: DataFrame, ts: str = "timestamp", id_col: str = "transaction_id",
                 link: str = "original_transaction_id", status: str = "auth_status") -> DataFrame:
     """The standard features of every declined original, each as known
@@ -269,29 +325,18 @@ def feature_set(attempts: DataFrame, retries: DataFrame, ts: str = "timestamp",
     merchant and sequence groups.
 
     A retry counts for the keys of its original from its own time on.  Attempts
-    and retries form one event table; for each key its sums before every event
-    come from ``history_before``, so a hot key is split by hour.
+    and retries form one event table, and ``history_of_keys`` answers all keys
+    in one pass.
     """
-    declined = F.col(status) == "DECLINED"
-    seq = sequence_features(attempts.where(declined), "merchant_id", ts, id_col, "response_code")
-    roles = ["merchant_id", "merchant_country", "processor_name", "response_code"]
-    linked = retries.select(F.col(link).alias("__link"), F.col(ts), F.col(status)).join(
-        attempts.where(declined).select(F.col(id_col).alias("__link"), *roles), "__link").drop("__link")
-    events = (seq.withColumn("__kind", F.lit("decline"))
-              .unionByName(attempts.where(~F.coalesce(declined, F.lit(False))).withColumn("__kind", F.lit("other")), allowMissingColumns=True)
-              .unionByName(linked.withColumn("__kind", F.lit("retry")), allowMissingColumns=True)
-              .withColumn("__code_country", F.concat_ws("|", F.coalesce("response_code", F.lit("")), F.coalesce("merchant_country", F.lit("")))))
-    retry, ok = F.col("__kind") == "retry", F.col(status) == "APPROVED"
+    events = _attempt_events(attempts, retries, ts, id_col, link, status)
+    retry, ok = F.col("is_retry"), F.col(status) == "APPROVED"
     one = lambda c: c.cast("bigint")
-    for name, key in FEATURE_KEYS.items():
-        sums = {f"__{name}_n": one(~retry), f"__{name}_ok": one(~retry & ok), f"__{name}_r": one(retry), f"__{name}_rok": one(retry & ok)}
-        if name == "merchant":
-            sums |= {"__sum": F.when(~retry, F.col("amount_usd").cast("decimal(18,4)")), "__cnt": one(~retry & F.col("amount_usd").isNotNull())}
-        events = history_before(events, key, ts, sums)
-    d = events.where(F.col("__kind") == "decline")
-    before = lambda n: F.col(f"__{n}_before")
-    rate = lambda a, b: F.when(before(b) > 0, before(a) / before(b))
-    mean = F.when(F.col("__cnt_before") > 0, F.col("__sum_before").cast("double") / F.col("__cnt_before"))
+    sums = {"n": one(~retry), "ok": one(~retry & ok), "r": one(retry), "rok": one(retry & ok),
+            "sum": F.when(~retry, F.col("amount_usd").cast("decimal(18,4)")), "cnt": one(~retry & F.col("amount_usd").isNotNull())}
+    asked = materialize(sequence_features(attempts.where(F.col(status) == "DECLINED"), "merchant_id", ts, id_col, "response_code"))
+    d = history_of_keys(events, asked, FEATURE_KEYS, ts, sums)
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    mean = F.when(F.col("merchant_cnt") > 0, F.col("merchant_sum").cast("double") / F.col("merchant_cnt"))
     hour, weekday = F.hour(ts), F.weekday(F.col(ts))
     soft = F.coalesce(F.col("is_soft_decline"), F.lit(False))
     return d.select(
@@ -306,3 +351,22 @@ def feature_set(attempts: DataFrame, retries: DataFrame, ts: str = "timestamp",
         "merchant_vertical", rate("merchant_ok", "merchant_n").alias("merchant_approval_rate"),
         rate("merchant_rok", "merchant_r").alias("merchant_retry_success_rate"), mean.alias("merchant_mean_amount"),
         "attempt_number", "hours_since_first", "decline_code_changed")
+
+
+def retry_success_history(attempts: DataFrame, retries: DataFrame, keys: dict[str, Sequence[str]], days: Sequence[int],
+                          ts: str = "timestamp", id_col: str = "transaction_id", link: str = "original_transaction_id",
+                          status: str = "auth_status") -> DataFrame:
+    """For every declined original and key, the retries that ended in the
+    N days before it, to the microsecond, and the share of them that succeeded
+    (NULL without any), for each N in ``days``; all keys and days in one pass."""
+    events = _attempt_events(attempts, retries, ts, id_col, link, status)
+    retry = F.col("is_retry")
+    sums = {"r": retry.cast("bigint"), "rok": (retry & (F.col(status) == "APPROVED")).cast("bigint")}
+    asked = attempts.where(F.col(status) == "DECLINED")
+    h = history_of_keys(events.where(retry), asked, keys, ts, sums, [n * DAY_SECONDS * 1_000_000 for n in days])
+    out = []
+    for k in keys:
+        for i, n in enumerate(days):
+            count, won = F.col(f"{k}_r_{i}"), F.col(f"{k}_rok_{i}")
+            out += [count.alias(f"{k}_{n}d_retries"), F.when(count > 0, won / count).alias(f"{k}_{n}d_retry_success_rate")]
+    return h.select(*asked.columns, *out)

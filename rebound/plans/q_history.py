@@ -178,3 +178,26 @@ SELECT NULL, r.ts, d.merchant_id, NULL, d.merchant_country, d.processor_name, d.
 FROM retries r JOIN declines d ON r.original_transaction_id = d.transaction_id""")])), ops=("P18", "W5", "W6", "W7"))
 def q_historical_feature_set(spark, sf):
     return round_doubles(H.feature_set(fx.originals(spark, sf), fx.retries(spark, sf)))
+
+
+_RS_KEYS = {"merchant": ["merchant_id"], "provider": ["processor_name"], "code_country": ["response_code", "merchant_country"]}
+_RS_DAYS = (30, 7)
+
+
+def _rs_window(columns: str, days: int) -> str:
+    return f"(PARTITION BY {columns} ORDER BY ts RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+
+
+@register("retry_success_history", sql_round([f"{k}_{n}d_retry_success_rate" for k in _RS_KEYS for n in _RS_DAYS], with_ctes(f"""
+SELECT transaction_id, {", ".join(f"{k}_{n}d_retries, CASE WHEN {k}_{n}d_retries > 0 THEN {k}_{n}d_ok / {k}_{n}d_retries END AS {k}_{n}d_retry_success_rate" for k in _RS_KEYS for n in _RS_DAYS)}
+FROM (SELECT *, {", ".join(f"count(ok) OVER w_{k}_{n} AS {k}_{n}d_retries, coalesce(sum(ok) OVER w_{k}_{n}, 0) AS {k}_{n}d_ok" for k in _RS_KEYS for n in _RS_DAYS)}
+      FROM rsev
+      WINDOW {", ".join(f"w_{k}_{n} AS {_rs_window(', '.join(c), n)}" for k, c in _RS_KEYS.items() for n in _RS_DAYS)}) AS h
+WHERE ok IS NULL""", upto="retries", extra=[("rsev", """
+SELECT d.transaction_id, d.ts, d.merchant_id, d.merchant_country, d.processor_name, d.response_code, CAST(NULL AS INTEGER) AS ok FROM declines d
+UNION ALL
+SELECT NULL, r.ts, d.merchant_id, d.merchant_country, d.processor_name, d.response_code, CASE WHEN r.auth_status = 'APPROVED' THEN 1 ELSE 0 END
+FROM retries r JOIN declines d ON r.original_transaction_id = d.transaction_id""")])), ops=("W6b", "P18"))
+def q_retry_success_history(spark, sf):
+    h = H.retry_success_history(fx.originals(spark, sf), fx.retries(spark, sf), _RS_KEYS, _RS_DAYS)
+    return round_doubles(h.select("transaction_id", *[f"{k}_{n}d_{c}" for k in _RS_KEYS for n in _RS_DAYS for c in ("retries", "retry_success_rate")]))
