@@ -55,6 +55,9 @@ OUT_OF_SCOPE_CODE = ("Response code `%s` is not in the model's trained vocabular
 OUT_OF_SCOPE_CATEGORY = "%s `%s` not in trained allowlist"
 OUT_OF_SCOPE_AMOUNT = ("Amount $%,.2f exceeds the model's training envelope ($%,.2f). Use a manual review "
                        "or merchant's high-ticket workflow rather than automated retry.")
+BELOW_THRESHOLD = "best-delay success probability %.3f is below decision_threshold %.2f"
+BELOW_MIN_EV = "best-delay expected value $%.2f is below min_retry_ev_usd $%.2f"
+SCORE_MISSING = "recoverability score is missing"  # own text: the score is NULL or NaN
 ATTEMPT_STOP = (". Timing model conditions on attempt_num, so success probability decays as retries "
                 "accumulate; once it crosses either the probability or EV floor the engine stops.")
 

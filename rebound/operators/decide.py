@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rebound import config as C
 from rebound.functions.parse import normalize_code, strip_ws, to_double
+from rebound.operators.metrics import scored
 
 RETRY = "retry"
 DO_NOT_RETRY = "do_not_retry"
@@ -333,10 +334,10 @@ def best_delay(curve_col: str = "delay_curve") -> Column:
 
 
 def confidence(prob, threshold) -> Column:
-    """round(min(1, |p - t| / 0.5), 4)."""
-    p = F.col(prob) if isinstance(prob, str) else prob
+    """round(min(1, |p - t| / 0.5), 4); NULL without a score or threshold."""
+    p = scored(prob)
     t = F.col(threshold) if isinstance(threshold, str) else threshold
-    return _fr(F.least(F.lit(1.0), F.abs(p - t) / F.lit(C.CONFIDENCE_SCALE)), 4)
+    return F.when(p.isNotNull() & t.isNotNull(), _fr(F.least(F.lit(1.0), F.abs(p - t) / F.lit(C.CONFIDENCE_SCALE)), 4))
 
 
 def _fr(c: Column, digits: int) -> Column:
@@ -357,7 +358,9 @@ def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
     ``vocab`` maps field -> literal list or flag column name for the scope guard;
     without it the served model's fixed lists apply.
     ``score_col`` is the recoverability score to use (raw or calibrated, T27).
-    Amounts are back-filled before deciding (T11 fix).
+    Amounts are back-filled before deciding (T11 fix).  Without a score (NULL,
+    NaN) confidence and score are NULL and the reason says so; the row is
+    retried only if the timing table alone supports it.
     """
     vocab = SERVED_VOCABULARY if vocab is None else vocab
     e = resolve_economics(df, economics, vertical_col="merchant_vertical")
@@ -366,7 +369,7 @@ def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
     reason = scope_reason(amount_cap=amount_cap, countries=v.get("merchant_country"),
                           verticals=v.get("merchant_vertical"), processors=v.get("processor_name"))
     e = e.withColumn("scope_reason", reason)
-    p = F.col(score_col)
+    p = scored(score_col)
     amt = F.coalesce(to_double("amount_usd"), F.lit(0.0))
     ev = p * amt * F.col("margin_rate") - F.col("retry_cost_usd") - F.col("friction_cost_usd")
     e = delay_curve(e.withColumn("__ev", ev), timing, attempt=attempt, fallback=p)
@@ -379,11 +382,10 @@ def decision_table(df: DataFrame, score_col: str, timing: DataFrame, attempt=1,
               .when(ev_ok & p_ok, F.lit(RETRY)).otherwise(F.lit(DO_NOT_RETRY)))
     att = F.col(attempt).cast("string") if isinstance(attempt, str) else F.lit(str(attempt))
     parts = F.array_compact(F.array(
-        F.when(~p_ok, F.format_string("best-delay success probability %.3f is below decision_threshold %.2f",
-                                      _fr(F.col("__best.success_probability"), 3),
+        F.when(p.isNull(), F.lit(C.SCORE_MISSING)),
+        F.when(~p_ok, F.format_string(C.BELOW_THRESHOLD, _fr(F.col("__best.success_probability"), 3),
                                       _fr(F.col("decision_threshold"), 2))),
-        F.when(~ev_ok, F.format_string("best-delay expected value $%.2f is below min_retry_ev_usd $%.2f",
-                                       _fr(F.col("__best.expected_value"), 2),
+        F.when(~ev_ok, F.format_string(C.BELOW_MIN_EV, _fr(F.col("__best.expected_value"), 2),
                                        _fr(F.col("min_retry_ev_usd"), 2)))))
     why = F.concat(F.lit("Attempt "), att, F.lit(": "), F.array_join(parts, "; "), F.lit(C.ATTEMPT_STOP))
     e = e.withColumn("__best", best).withColumn("recommended_action", action)

@@ -49,18 +49,30 @@ def temporal_split(df: DataFrame, ts_col: str = "timestamp", id_col: str = "tran
 
 
 # ---------------------------------------------------------------- M1
+def scored(score) -> Column:
+    """The score as a double; NaN and infinities are missing like NULL."""
+    c = (F.col(score) if isinstance(score, str) else score).cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
 def auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """M1: AUC by midranks (ties share the average rank, T15).
+    """M1: AUC by midranks (ties share the average rank, T15) of the rows with a
+    score; NULL when one class is absent."""
+    y = _y(label)
+    collapsed = (df.withColumn("__s", scored(score)).where(F.col("__s").isNotNull())
+                 .groupBy(*group_cols, "__s")
+                 .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
+    return auc_of_counts(collapsed, "__s", group_cols)
+
+
+def auc_of_counts(collapsed: DataFrame, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """AUC from (group, score, pos, neg) counts with a score in every row.
 
     AUC = sum over scores s of pos(s) * (neg(<s) + neg(s)/2) / (P * N), equal
     to (R+ - P(P+1)/2) / (P N); NULL when one class is absent.
     """
     group_cols = list(group_cols)
-    y = _y(label)
-    collapsed = (df.where(F.col(score).isNotNull())
-                 .groupBy(*group_cols, F.col(score).alias("__s"))
-                 .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
-    pre = prefix_sums(collapsed, "__s", ["neg"], group_cols)
+    pre = prefix_sums(collapsed, score, ["neg"], group_cols)
     u = pre.groupBy(*group_cols).agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))).alias("__u"),
         F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
@@ -72,16 +84,21 @@ def auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -
 def metric_bundle(df: DataFrame, label: str, score: str, threshold=0.5,
                   group_cols: Sequence[str] = (), with_auc: bool = True) -> DataFrame:
     """M5: rows, positives, AUC, log loss, Brier, precision, recall, F1 and
-    predicted-positive rate at a threshold, in one grouped pass (+ AUC)."""
+    predicted-positive rate at a threshold, in one grouped pass (+ AUC).
+
+    All are of the rows with a score; those without (NULL, NaN) are counted in
+    ``unscored_rows``.  A group without scores has 0 rows and NULL averages."""
     df, group_cols, drop = _with_group(df, group_cols)
-    y = _y(label)
-    p = F.col(score)
+    df = df.withColumn("__score", scored(score))
+    p = F.col("__score")
+    has = p.isNotNull()
+    y = F.when(has, _y(label))
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     pc = F.least(F.greatest(p, F.lit(C.LOG_LOSS_EPS)), F.lit(1 - C.LOG_LOSS_EPS))
     pred = (p >= t).cast("int")
     agg = df.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(y).cast("bigint").alias("positives"),
+        F.count_if(has).alias("rows"), F.count_if(~has).alias("unscored_rows"),
+        F.coalesce(F.sum(y), F.lit(0)).cast("bigint").alias("positives"),
         F.avg(-(y * F.log(pc) + (F.lit(1) - y) * F.log(F.lit(1.0) - pc))).alias("log_loss"),
         F.avg(F.pow(p - y, 2)).alias("brier"),
         F.count_if((y == 1) & (pred == 1)).alias("tp"),
@@ -89,9 +106,9 @@ def metric_bundle(df: DataFrame, label: str, score: str, threshold=0.5,
         F.count_if((y == 1) & (pred == 0)).alias("fn"),
         F.avg(pred).alias("predicted_positive_rate"))
     out = agg.select(*group_cols, "rows", "positives", "log_loss", "brier", "tp", "fp", "fn",
-                     *prf1(F.col("tp"), F.col("fp"), F.col("fn")), "predicted_positive_rate")
+                     *prf1(F.col("tp"), F.col("fp"), F.col("fn")), "predicted_positive_rate", "unscored_rows")
     if with_auc:
-        out = join_on(out, auc(df, label, score, group_cols), group_cols, "left")
+        out = join_on(out, auc(df, label, "__score", group_cols), group_cols, "left")
     return out.drop(*drop)
 
 
@@ -106,9 +123,9 @@ def prf1(tp: Column, fp: Column, fn: Column) -> list[Column]:
 # ---------------------------------------------------------------- grid sweep
 def grid_bucket(score, grid: Sequence[float] | None = None) -> Column:
     """Number of grid thresholds <= score (0..46): predicted positive at
-    threshold j (0-based) iff bucket >= j + 1."""
+    threshold j (0-based) iff bucket >= j + 1; 0 without a score."""
     grid = grid or C.threshold_grid()
-    s = F.col(score) if isinstance(score, str) else score
+    s = scored(score)
     b = F.lit(0)
     for g in grid:
         b = b + (s >= F.lit(g)).cast("int")
@@ -151,10 +168,10 @@ def _with_group(df: DataFrame, group_cols):
 
 def threshold_sweep(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = (),
                     grid: Sequence[float] | None = None) -> DataFrame:
-    """Confusion counts and F1 at each of the 46 thresholds (one pass)."""
+    """Confusion counts and F1 at each of the 46 thresholds (one pass), of the rows with a score."""
     grid = grid or C.threshold_grid()
     y = _y(label)
-    df, group_cols, drop = _with_group(df, group_cols)
+    df, group_cols, drop = _with_group(df.where(scored(score).isNotNull()), group_cols)
     t = _grid_table(df, group_cols, {"tp": y, "fp": F.lit(1) - y}, score, grid)
     tot = df.groupBy(*group_cols).agg(F.sum(y).alias("__pos"))
     t = join_on(t, tot, group_cols)
@@ -181,7 +198,8 @@ def net_value_frontier(df: DataFrame, label: str, score: str, amount: str = "amo
                        retry_cost=C.DEFAULT_RETRY_COST_USD, friction=C.DEFAULT_FRICTION_COST_USD,
                        grid: Sequence[float] | None = None) -> DataFrame:
     """Retries, recoveries, wasted cost, friction and realised net value
-    of the rule "retry iff p >= t and EV > 0" at every grid threshold."""
+    of the rule "retry iff p >= t and EV > 0" at every grid threshold; rows
+    without a score are never retried."""
     from rebound.operators.decide import expected_value
     grid = grid or C.threshold_grid()
     y = _y(label)
@@ -193,7 +211,7 @@ def net_value_frontier(df: DataFrame, label: str, score: str, amount: str = "amo
         "recovered_count": ind * y,
         "gross_margin_recovered_usd": F.when(ev_pos & (y == 1), amt * F.lit(margin)).otherwise(F.lit(0.0)),
     }
-    df, group_cols, drop = _with_group(df, group_cols)
+    df, group_cols, drop = _with_group(df.where(scored(score).isNotNull()), group_cols)
     t = _grid_table(df, group_cols, sums, score, grid)
     return t.drop(*drop).select(
         *[g for g in group_cols if g not in drop], "threshold", F.col("retry_count").cast("bigint").alias("retry_count"),
@@ -279,7 +297,7 @@ def segment_metrics(df: DataFrame, label: str, score: str, threshold=0.5,
     kept = long.join(F.broadcast(top), ["segment_column", "segment_value"])
     m = metric_bundle(kept, label, score, threshold, ["segment_column", "segment_value"])
     return m.select("segment_column", "segment_value", "rows",
-                    (F.col("positives") / F.col("rows")).alias("positive_rate"),
+                    F.try_divide("positives", "rows").alias("positive_rate"),
                     "auc", "precision", "recall", "f1")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rebound import config as C
+from rebound.operators import daily
 from rebound.operators import decide as D
 from rebound.operators import metrics as M
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
@@ -13,6 +16,7 @@ from rebound.plans.q_features import TE_CTES, challenger
 from rebound.plans.q_labels import POLICY_SQL_DOUBLES, policy_summary_sql
 from rebound.plans.q_metrics import segment_ctes, split_modeling, split_sql
 from rebound.plans.sqlmetrics import auc_sql, bundle_sql
+from rebound.session import checkpoint_dir
 
 T = C.OFFLINE_POLICY_THRESHOLD
 
@@ -244,3 +248,58 @@ GROUP BY metric"""
 def q_metric_deltas(spark, sf):
     """Metrics of the rules score before and the challenger score after, on the test window."""
     return round_doubles(M.metric_deltas(test_with_scores(spark, sf), "y", "probability", "challenger_probability", T))
+
+
+BASE_DAYS = 120
+AMOUNT_EDGES = [0.0, 250.0, 500.0, 1000.0, 1500.0, 2000.0, 2500.0, 3000.0, 4000.0, 6000.0]
+_R = 10.0 ** daily.SCORE_DIGITS
+_AMOUNT_BUCKET = "CASE WHEN amount_usd >= 0 AND amount_usd <= 6000 THEN least(%s, %d) END" % (
+    " + ".join(f"(amount_usd >= {e})::INT" for e in AMOUNT_EDGES[1:]), len(AMOUNT_EDGES) - 2)
+_NIGHT_CTES = EVAL_CTES + [
+    ("nightly", f"""
+SELECT 'champion' AS model, floor(probability * {_R} + 0.5) / {_R} AS p, y FROM tws
+UNION ALL SELECT 'challenger', floor(challenger_probability * {_R} + 0.5) / {_R}, y FROM tws"""),
+    ("separation", """
+SELECT model, max(abs(cp / np - cn / nn)) AS ks FROM (
+  SELECT model, sum(sum(y)) OVER (PARTITION BY model ORDER BY p) AS cp, sum(sum(1 - y)) OVER (PARTITION BY model ORDER BY p) AS cn,
+         sum(sum(y)) OVER (PARTITION BY model) AS np, sum(sum(1 - y)) OVER (PARTITION BY model) AS nn
+  FROM nightly WHERE p IS NOT NULL GROUP BY model, p) AS c GROUP BY model"""),
+    ("amount_bins", f"""
+SELECT b.bucket, count(t.amount_usd) FILTER (WHERE t.base) AS e, count(t.amount_usd) FILTER (WHERE NOT t.base) AS a
+FROM (SELECT CAST(i AS INTEGER) AS bucket FROM range({len(AMOUNT_EDGES) - 1}) AS r(i)) AS b
+LEFT JOIN (SELECT amount_usd, {_AMOUNT_BUCKET} AS bucket,
+                  CAST(ts AS DATE) < (SELECT CAST(min(ts) AS DATE) FROM tws) + {BASE_DAYS} AS base FROM tws) AS t USING (bucket)
+GROUP BY b.bucket"""),
+    ("amount_psi", """
+SELECT sum((ap - ep) * ln(ap / ep)) AS psi FROM (
+  SELECT greatest(e / sum(e) OVER (), 1e-6) AS ep, greatest(a / sum(a) OVER (), 1e-6) AS ap FROM amount_bins) AS s"""),
+]
+
+
+@register("nightly_reconciliation", sql_round(["log_loss", "brier", "auc", "ks", "amount_psi", "mean_delta", "mean_abs_delta", "share_over_limit"],
+                                              split_sql(f"""
+SELECT m.model, m.rows, m.unscored_rows, m.positives, m.log_loss, m.brier, m.auc, s.ks, z.psi AS amount_psi,
+       d.compared_rows, d.mean_delta, d.mean_abs_delta, d.share_over_limit
+FROM ({bundle_sql('nightly', 'model', dbl(T), 'y', 'p')}) AS m JOIN separation s USING (model), amount_psi AS z,
+     (SELECT count(*) AS compared_rows, avg(challenger_probability - probability) AS mean_delta, avg(abs(challenger_probability - probability)) AS mean_abs_delta,
+             avg((abs(challenger_probability - probability) > {C.DISAGREEMENT_DELTA})::INT) AS share_over_limit
+      FROM tws WHERE probability IS NOT NULL AND challenger_probability IS NOT NULL) AS d""", _NIGHT_CTES)),
+          ops=("M10", "D14", "M1", "M2", "M3", "F1"))
+def q_nightly_reconciliation(spark, sf):
+    """Every day of the test window is reduced to state and written; the report reads the merged state alone."""
+    rows = test_with_scores(spark, sf)
+    day, folder = F.to_date("timestamp"), f"{checkpoint_dir(spark)}/nightly-{uuid.uuid4().hex}"
+    days = sorted(r[0] for r in rows.select(day).where(day.isNotNull()).distinct().collect())  # the nights to run: one value a day
+    bins = {"amount_usd": (F.col("amount_usd"), AMOUNT_EDGES)}
+    models = {"champion": F.col("probability"), "challenger": F.col("challenger_probability")}
+    for name, state in (("scores", daily.day_scores(rows, day, F.col("y"), models)), ("bins", daily.day_bins(rows, day, bins)),
+                        ("deltas", daily.day_deltas(rows, day, *models.values(), C.DISAGREEMENT_DELTA))):
+        daily.write_days(state, f"{folder}/{name}", days)
+    read = lambda name: daily.read_days(spark, f"{folder}/{name}")
+    first = days[0] if days else None
+    psi = daily.merged_psi(read("bins"), F.col("day") < F.date_add(F.lit(first), BASE_DAYS), {"amount_usd": len(AMOUNT_EDGES) - 1})
+    one = F.lit(1).alias("__k")
+    out = (daily.merged_quality(read("scores")).withColumn("__k", F.lit(1))
+           .join(psi.select(one, F.col("psi").alias("amount_psi")), "__k").join(daily.merged_deltas(read("deltas")).select(one, "*"), "__k"))
+    return round_doubles(out.select("model", "rows", "unscored_rows", "positives", "log_loss", "brier", "auc", "ks", "amount_psi",
+                                    "compared_rows", "mean_delta", "mean_abs_delta", "share_over_limit"))

@@ -30,7 +30,8 @@ def bundle_sql(src: str, group: str, threshold: str, y: str = "y", score: str =
     pc = f"least(greatest({score}, {dbl(C.LOG_LOSS_EPS)}), {dbl(1 - C.LOG_LOSS_EPS)})"
     pred = f"CAST({score} >= {threshold} AS INTEGER)"
     base = f"""
-SELECT {g}count(*) AS rows, CAST(sum({y}) AS BIGINT) AS positives,
+SELECT {g}count({score}) AS rows, count(*) FILTER (WHERE {score} IS NULL) AS unscored_rows,
+       CAST(coalesce(sum({y}) FILTER (WHERE {score} IS NOT NULL), 0) AS BIGINT) AS positives,
        avg(-({y} * ln({pc}) + (1 - {y}) * ln(1.0 - {pc}))) AS log_loss,
        avg(pow({score} - {y}, 2)) AS brier,
        count(*) FILTER (WHERE {y} = 1 AND {pred} = 1) AS tp,
@@ -45,11 +46,11 @@ FROM {src} {"GROUP BY " + group if group else ""}"""
         sel = ", ".join(f"b.{k}" for k in keys) + ", "
         return f"""
 SELECT {sel}b.rows, b.positives, b.log_loss, b.brier, b.tp, b.fp, b.fn, {prf},
-       b.predicted_positive_rate, a.auc
+       b.predicted_positive_rate, b.unscored_rows, a.auc
 FROM ({base}) AS b LEFT JOIN ({auc_sql(src, group, y, score)}) AS a ON {on}"""
     return f"""
 SELECT b.rows, b.positives, b.log_loss, b.brier, b.tp, b.fp, b.fn, {prf},
-       b.predicted_positive_rate, a.auc
+       b.predicted_positive_rate, b.unscored_rows, a.auc
 FROM ({base}) AS b, ({auc_sql(src, group, y, score)}) AS a"""
 
 
