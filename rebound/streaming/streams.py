@@ -122,9 +122,11 @@ def monitor_counts(events: DataFrame, ts: str, counts: dict[str, Column], window
 
 # ---------------------------------------------------------------- S5 / F7
 def sliding_bucket_counts(events: DataFrame, ts: str, value: str, edges: Sequence[float],
-                          length: str = "1 day", slide: str = "1 hour", watermark: str = "1 day") -> DataFrame:
+                          length: str = "1 day", slide: str = "1 hour", watermark: str = "1 day",
+                          keep_window: bool = False) -> DataFrame:
     """Counts per (sliding window, baseline bin); PSI per window follows
-    from these counts and the baseline shares (``rebound.operators.drift``)."""
+    from these counts and the baseline shares (``rebound.operators.drift``).
+    ``keep_window`` keeps the window itself (``w``) for a further aggregation."""
     arr = F.array(*[F.lit(float(x)) for x in edges])
     v = F.col(value)
     le = F.size(F.filter(arr, lambda x: x <= v))
@@ -133,7 +135,7 @@ def sliding_bucket_counts(events: DataFrame, ts: str, value: str, edges: Sequenc
     e = as_event_time(events, ts).withWatermark(ts, watermark)
     return (e.where(v.isNotNull()).groupBy(F.window(ts, length, slide).alias("w"), b.alias("bucket"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bucket", "n"))
+            .select(*(["w"] if keep_window else []), F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "bucket", "n"))
 
 
 # ---------------------------------------------------------------- S6
