@@ -110,15 +110,18 @@ def _share(nodes: DataFrame, parent: list[str], given: Column, weight: Column) -
 def leaf_quotas(leaves: DataFrame, mix: Mix) -> DataFrame:
     """One row per leaf (domain, language, source, rows, avail) with its ``quota`` of tokens.
 
+    The cap of a node is what its children of positive weight can take, bottom
+    up, so no node is given tokens that it cannot place.
     The tables are as small as the tree; windows run per parent node.
     """
     leaves = leaves.withColumn("cap", F.col("avail") * mix.max_epochs)
+    taken = lambda level: F.sum(F.when(mix.weight(level) > 0, F.col("cap")).otherwise(0)).alias("cap")
+    langs = leaves.groupBy("domain", "language").agg(taken("source"), F.sum("avail").alias("avail"))
     total = F.sum("avail").over(Window.partitionBy())
     target = F.lit(mix.tokens).cast("long") if mix.tokens is not None else F.floor(F.col("total") * F.lit(mix.share))
-    d = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("avail").alias("avail")).withColumn("total", total)
+    d = langs.groupBy("domain").agg(taken("language"), F.sum("avail").alias("avail")).withColumn("total", total)
     d = _share(d, [], target, mix.weight("domain")).select("domain", F.col("quota").alias("up"))
-    lang = leaves.groupBy("domain", "language").agg(F.sum("cap").alias("cap")).join(d, "domain")
-    lang = _share(lang, ["domain"], F.col("up"), mix.weight("language")).select("domain", "language", F.col("quota").alias("up"))
+    lang = _share(langs.join(d, "domain"), ["domain"], F.col("up"), mix.weight("language")).select("domain", "language", F.col("quota").alias("up"))
     s = _share(leaves.join(lang, ["domain", "language"]), ["domain", "language"], F.col("up"), mix.weight("source"))
     return s.select(*LEVELS, "rows", "avail", "quota")
 
@@ -200,7 +203,7 @@ def _sql_level(name: str, nodes: str, parent: list[str], given: str, weights: st
 
 def _sql_weight(mix: Mix, level: str) -> str:
     own = " ".join(f"WHEN '{n}' THEN {w}" for (lv, n), w in sorted(mix.weights.items()) if lv == level)
-    return f"CASE {level} {own} ELSE {mix.default_weight} END" if own else str(mix.default_weight)
+    return f"(CASE {level} {own} ELSE {mix.default_weight} END)" if own else str(mix.default_weight)
 
 
 def mix_sql(mix: Mix, docs: str = "documents", columns: str = "doc_id, domain, language, source, epoch, tokens, quota") -> str:
@@ -214,9 +217,10 @@ WITH doc AS (
     CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
   FROM (SELECT doc_id, text, lang AS lang_name, source AS source_name, n_chars FROM {docs})),
 leaves AS (SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS avail, CAST(sum(tokens) * {mix.max_epochs} AS BIGINT) AS cap FROM doc GROUP BY ALL),
-top AS (SELECT domain, sum(cap) AS cap, {target} AS total FROM leaves GROUP BY domain),
+langs AS (SELECT domain, language, sum(avail) AS avail, sum(CASE WHEN {_sql_weight(mix, "source")} > 0 THEN cap ELSE 0 END) AS cap FROM leaves GROUP BY ALL),
+top AS (SELECT domain, sum(CASE WHEN {_sql_weight(mix, "language")} > 0 THEN cap ELSE 0 END) AS cap, {target} AS total FROM langs GROUP BY domain),
 {_sql_level("dq", "top", [], "total", _sql_weight(mix, "domain"))},
-mid AS (SELECT domain, language, sum(cap) AS cap, any_value(dq.quota) AS up FROM leaves JOIN dq USING (domain) GROUP BY domain, language),
+mid AS (SELECT domain, language, cap, dq.quota AS up FROM langs JOIN dq USING (domain)),
 {_sql_level("lq", "mid", ["domain"], "up", _sql_weight(mix, "language"))},
 low AS (SELECT leaves.*, lq.quota AS up FROM leaves JOIN lq USING (domain, language)),
 {_sql_level("sq", "low", ["domain", "language"], "up", _sql_weight(mix, "source"))},

@@ -78,14 +78,15 @@ def blob_address(text: str = "text"):
 
 
 def ledger_rows(spark: SparkSession, ledger: str) -> DataFrame:
-    """The ledger's rows under the current rules, one per blob (empty if there is no ledger yet)."""
+    """The ledger's rows under the current rules (empty if there is no ledger yet), one per blob: two scans at
+    once may both append a blob that is new to them, with equal findings."""
     try:
         rows = spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], LEDGER)
-    return rows.where(F.col("rule_version") == RULE_VERSION)
+    return rows.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger: str) -> DataFrame:

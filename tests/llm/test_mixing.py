@@ -40,6 +40,28 @@ def test_zero_weight_gets_nothing_and_a_small_tree_gives_all(spark):
     assert q == {("a", "x", "s1"): 30, ("b", "x", "s2"): 0}
 
 
+def test_a_subtree_of_weight_zero_takes_no_budget_from_the_others(spark):
+    rows = [("a", "en", "s1", 1, 100), ("a", "de", "s2", 1, 900), ("b", "en", "s3", 1, 1000)]
+    q = quotas(spark, rows, Mix(tokens=1000, max_epochs=1, weights={("language", "de"): 0}))
+    assert q == {("a", "en", "s1"): 100, ("a", "de", "s2"): 0, ("b", "en", "s3"): 900}
+    rows = [("a", "en", "s1", 1, 50), ("a", "en", "s2", 1, 900), ("a", "de", "s2", 1, 70), ("b", "en", "s3", 1, 300)]
+    q = quotas(spark, rows, Mix(tokens=1000, max_epochs=1, weights={("source", "s2"): 0}))
+    assert q == {("a", "en", "s1"): 50, ("a", "en", "s2"): 0, ("a", "de", "s2"): 0, ("b", "en", "s3"): 300}
+
+
+def test_sql_deals_a_tree_with_zero_weights_alike(spark, tmp_path):
+    import duckdb
+
+    from llm_cases import save
+    from rebound.llm.mixing import mix_sql
+    mix = Mix(tokens=1500, weights={("language", "de"): 0, ("source", "src0"): 0, ("domain", "books"): 3})
+    docs = awkward(spark).where("doc_id IS NOT NULL")
+    path = save(spark, docs, tmp_path)
+    sql = mix_sql(mix, f"read_parquet('{path}/documents.parquet/*.parquet')", "doc_id, source, epoch, quota")
+    got = select_mix(docs, mix).select("doc_id", F.col("mix_source").alias("source"), "epoch", F.col("mix_quota").alias("quota"))
+    assert rows_of(got) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+
+
 def brute(rows, plan, seed):
     """Epoch prefixes by sorting each leaf."""
     import hashlib

@@ -95,3 +95,11 @@ def test_redact_hides_every_span_and_nothing_else(spark, tmp_path):
         assert r["text"] == want and r["n_chars"] == len(want)
         assert not plain(r["text"]) or all(k == "assign" for k, _, _ in plain(r["text"]))
     assert out.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_a_blob_that_the_ledger_holds_twice_multiplies_nothing(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl0123456789"), (2, "nothing here"), (3, "token=abcdefghijkl0123456789")], "doc_id long, text string")
+    ledger = S.new_ledger(spark)
+    once = sorted(tuple(r) for r in S.digests(S.scan(docs, ledger)).collect())
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)  # what two scans at once leave
+    assert sorted(tuple(r) for r in S.digests(S.scan(docs, ledger)).collect()) == once and len(once) == 3
