@@ -55,3 +55,15 @@ def test_foreign_text_is_less_sure_and_pieces_do_not_matter(monkeypatch):
     monkeypatch.setattr(L, "PIECE", 1000)
     assert abs(model.logits(long) - whole).max() < 0.02
     assert letters("A1é!𝒳").tolist() == [32, ord("a"), 32, ord("é"), 32, ord("𝒳"), 32]
+
+
+def test_an_unlearned_script_is_rejected_and_clean_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    model = fit_model(docs, usable=~held_out())
+    assert model.evidence > 0
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве", "人人生而自由，在尊严和权利上一律平等", "すべての人間は自由であり", "모든 인간은 태어날 때부터 자유로우며",
+               "όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "सभी मनुष्यों को गौरव और अधिकारों"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r["rejected"] for r in identify(rows, model).collect())
+    kept = identify(docs, model).where(held_out() & F.col("lang").isNotNull() & F.col("lang").eqNullSafe(F.col("lang_pred")))
+    assert kept.where("rejected").count() == 0 and kept.count() > 200

@@ -44,7 +44,7 @@ def brute(spark, docs):
         if z is None:
             continue
         p = model.scores(z)
-        if p.max() >= model.threshold:
+        if p.max() >= model.threshold and z.max() >= model.evidence:
             kept.append((r[0], r[1], r[2] or model.labels[int(p.argmax())], r[3], r[4]))
     group = all_pairs(kept, 5, 4, 5)
     kept = [r for r in kept if r[0] is None or group[r[0]][1] == r[0]]
