@@ -224,13 +224,14 @@ def drift_table(base: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
 def unseen_category_rate(base: DataFrame, cur: DataFrame, features: Sequence[str],
                          alert_rate: float = 0.05) -> DataFrame:
     """F8 (+J8): share of current rows whose category is absent from the
-    baseline vocabulary, via an anti join on (feature, value)."""
+    baseline vocabulary, via an anti join on (feature, value).  The current
+    rows are counted by category first: what is joined is as small as the vocabularies."""
     bl = unpivot(base.select(*[missing_as(f"`{f}`").alias(f) for f in features]), features, "STRING", "base")
     cl = unpivot(cur.select(*[missing_as(f"`{f}`").alias(f) for f in features]), features, "STRING", "current")
     vocab = bl.select("feature", "value").distinct()
-    unseen = cl.join(vocab, ["feature", "value"], "left_anti").groupBy("feature").agg(
-        F.count(F.lit(1)).alias("unseen_rows"))
-    tot = cl.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    counts = cl.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    unseen = counts.join(vocab, ["feature", "value"], "left_anti").groupBy("feature").agg(F.sum("n").alias("unseen_rows"))
+    tot = counts.groupBy("feature").agg(F.sum("n").alias("rows"))
     return (tot.join(unseen, "feature", "left").na.fill(0, ["unseen_rows"])
             .withColumn("unseen_rate", F.col("unseen_rows") / F.col("rows"))
             .withColumn("alert", F.col("unseen_rate") > F.lit(alert_rate)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rebound import config as C
 from rebound.functions.parse import missing_as
 from rebound.operators.ordered import exact_quantiles, top_k_per_group
 
@@ -179,6 +180,40 @@ def duplicate_key_test(name: str, df: DataFrame, keys: Sequence[str]) -> DataFra
                 F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
 
 
+def baseline_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, share) of every category (missing ones as MISSING): what a
+    table test keeps of its baseline.  One row per category, whatever the table's size."""
+    n = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), missing_as(f"`{c}`").alias("value")) for c in columns])).alias("x"))
+         .groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n")))
+    total = n.groupBy("feature").agg(F.sum("n").alias("total"))
+    return n.join(total, "feature").select("feature", "value", (F.col("n") / F.col("total")).alias("share"))
+
+
+def category_shift_test(df: DataFrame, baseline: DataFrame, columns: Sequence[str], limit: float = C.JS_ALERT) -> DataFrame:
+    """Q2: per column (test, rows, failures, divergence, unseen_rows): Jensen-Shannon divergence (natural log) of the
+    table's category shares from the stored ``baseline``.  Beyond ``limit`` all rows fail, else those of categories
+    that the baseline does not have.
+
+    The table is reduced to its category counts first; those meet the baseline
+    in one join, so no row of the table is shuffled.  A column without rows has
+    no divergence and no failures; against an empty baseline every row is unseen.
+    """
+    counts = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), missing_as(f"`{c}`").alias("value")) for c in columns])).alias("x"))
+              .groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.groupBy("feature").agg(F.sum("n").alias("total"))
+    both = (counts.join(baseline.where(F.col("feature").isin(*columns)), ["feature", "value"], "full_outer")
+            .join(total, "feature", "left")
+            .withColumns({"q": F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), "p": F.coalesce("share", F.lit(0.0))}))
+    term = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log(F.lit(2.0) * F.col(x) / (F.col("p") + F.col("q")))).otherwise(0.0)
+    found = both.groupBy("feature").agg(F.coalesce(F.max("total"), F.lit(0)).cast("bigint").alias("rows"),
+                                        F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("n"))), F.lit(0)).alias("unseen_rows"),
+                                        (F.lit(0.5) * F.sum(term("p")) + F.lit(0.5) * F.sum(term("q"))).alias("d"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string").join(found, "feature", "left").na.fill(0, ["rows", "unseen_rows"])
+    d = F.when(F.col("rows") > 0, F.col("d"))
+    return named.select(F.concat(F.col("feature"), F.lit("_shift")).alias("test"), "rows",
+                        F.when(d > limit, F.col("rows")).otherwise(F.col("unseen_rows")).alias("failures"), d.alias("divergence"), "unseen_rows")
+
+
 # ---------------------------------------------------------------- Q3
 def snake_case(name: str) -> str:
     import re

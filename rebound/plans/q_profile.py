@@ -178,4 +178,31 @@ def q_staged_events(spark, sf):
     return ok
 
 
+_SHIFT = ["merchant_vertical", "merchant_country", "processor_name", "response_code"]
 
+
+def _shift_counts(name: str, cond: str) -> str:
+    return " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, coalesce(NULLIF(CAST({c} AS VARCHAR), ''), 'MISSING') AS value, count(*) AS n FROM originals WHERE {cond} GROUP BY 1, 2""" for c in _SHIFT)
+
+
+@register("category_shift", sql_round(["divergence"], with_ctes(f"""
+SELECT feature || '_shift' AS test, CAST(sum(coalesce(n, 0)) AS BIGINT) AS rows,
+       CAST(CASE WHEN d > {C.JS_ALERT} THEN sum(coalesce(n, 0)) ELSE sum(CASE WHEN share IS NULL THEN n ELSE 0 END) END AS BIGINT) AS failures,
+       d AS divergence, CAST(sum(CASE WHEN share IS NULL THEN n ELSE 0 END) AS BIGINT) AS unseen_rows
+FROM (
+  SELECT *, 0.5 * sum(CASE WHEN p > 0 THEN p * ln(2.0 * p / (p + q)) ELSE 0 END) OVER f
+            + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(2.0 * q / (p + q)) ELSE 0 END) OVER f AS d
+  FROM (
+    SELECT coalesce(c.feature, b.feature) AS feature, c.n, b.share, coalesce(b.share, 0.0) AS p,
+           coalesce(c.n / c.total, 0.0) AS q
+    FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS total FROM ({_shift_counts("c", "auth_status = 'DECLINED'")})) AS c
+    FULL JOIN (SELECT feature, value, n / sum(n) OVER (PARTITION BY feature) AS share FROM ({_shift_counts("b", "auth_status = 'APPROVED'")})) AS b
+      ON b.feature = c.feature AND b.value = c.value) AS j
+  WINDOW f AS (PARTITION BY feature)) AS k
+GROUP BY feature, d""", upto="originals")), ops=("Q2", "F4"))
+def q_category_shift(spark, sf):
+    """The declines' categories against stored shares of the approved attempts, as table tests."""
+    o = fx.originals(spark, sf)
+    base = profile.baseline_shares(o.where(F.col("auth_status") == "APPROVED"), _SHIFT)
+    return round_doubles(profile.category_shift_test(o.where(F.col("auth_status") == "DECLINED"), base, _SHIFT))
