@@ -11,9 +11,9 @@ run to any lower end.  Two bounds reject a text.  The score must reach the calib
 a stated share of correctly labelled rows reach, but never more than 1.5 / labels
 is asked: on about 800 calibration rows the quantile is close to the least of
 them, and asking for it would drop clean documents.  And the largest logit must
-reach half of what all but the same share of those rows reach: subwords never
-seen in training add next to nothing, so text in an unlearned script fails here
-however the softmax divides it.  A language that shares its subwords with a
+reach a quarter of what all but the same share of those rows reach (short clean texts
+go down to half of it): subwords never seen in training add next to nothing, so
+most text in an unlearned script fails here however the softmax divides it.  A language that shares its subwords with a
 learned one is not told apart by either bound.
 
 The fit sees at most ``Fit.per_label`` rows of each label (documented bound;
@@ -196,7 +196,7 @@ def train(texts: list, names: list, fit: Fit) -> Model | None:
         return float(values[int(fit.reject_share * len(values))]) if len(values) else 0.0
 
     model.threshold = min(floor(s.max(1)), 1.5 / k)
-    model.evidence = max(0.0, floor(z.max(1)) / 2)
+    model.evidence = max(0.0, floor(z.max(1)) / 4)
     return model
 
 
