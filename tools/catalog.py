@@ -8,7 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rebound.plans.registry import load  # noqa: E402
 
-SUMMARY = {'batch_score_summary': 'retry / skip / out-of-scope counts, EV of retries, hindsight recoveries',
+SUMMARY = {'nightly_reconciliation': 'champion and challenger quality, PSI and deltas from merged daily state',
+    'category_shift': 'category shares of the declines against a stored baseline, as table tests',
+    'retry_success_history': 'W6b: retry success of merchant, provider and code x country in the 30 and 7 days before',
+    'batch_score_summary': 'retry / skip / out-of-scope counts, EV of retries, hindsight recoveries',
     'best_f1_threshold': 'best-F1 threshold per split on the 46-point grid (first wins ties)',
     'best_net_value_threshold': 'threshold with the highest realised net value per split',
     'best_policy_by_segment': 'best replayed strategy per merchant vertical',

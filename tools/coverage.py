@@ -18,7 +18,7 @@ from rebound.plans.registry import load  # noqa: E402
 TESTS = {
     "I1": "test_sources::test_csv_skips_only_long_lines", "I2": "test_sources::test_write_and_read_roundtrip",
     "I3": "test_sources::test_read_config", "I4": "test_streaming (file source)",
-    "I5": "test_streaming::test_score_stream_and_validation_sink",
+    "I5": "test_stateful (upsert), test_streaming::test_score_stream_and_validation_sink",
     "S1": "test_streaming::test_score_stream_and_validation_sink",
     "S2": "test_streaming::test_dedup_stream_equals_batch_twin, test_sliding_dedup_stream_equals_twin",
     "S3": "test_streaming::test_score_stream_and_validation_sink",
@@ -42,8 +42,8 @@ TESTS = {
     "W6b": "test_traps::test_trailing_rate_days_and_same_day", "W5": "test_traps::test_sequence_features_cross_day",
     "X2": "test_traps::test_explanations_neutral_and_ties", "P16": "test_traps::test_payload_rules",
     "W1": "test_properties::test_split_sizes_and_order", "M1": "test_properties::test_auc_matches_bruteforce",
-    "D14": "test_traps::test_date_range_scoring_pushes_filter",
-    "X1": "test_properties::test_isotonic_monotone_and_tree_additivity, test_logistic_contributions_additive",
+    "M10": "test_daily", "Q2": "test_shift", "P18": "test_history_keys", "D14": "test_daily, test_traps::test_date_range_scoring_pushes_filter",
+    "X1": "test_models (all subsets), test_properties::test_isotonic_monotone_and_tree_additivity, test_logistic_contributions_additive",
     "G8": "test_properties::test_one_hot_numeric_bool_and_scale_settings",
     "P2": "tests/test_oracle (text_schema_inference)",
     "P1": "test_traps::test_boolean_parses, test_one_hot_numeric_bool_and_scale_settings",
