@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rebound import config as C
+from rebound.operators import cascade as CA
 from rebound.operators import decide as D
 from rebound.operators import features as FE
 from rebound.plans import fixture as fx
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
 from rebound.plans.memo import memo
 from rebound.plans.q_metrics import split_modeling, split_sql
+from rebound.plans.sqlbase import ev_sql
 
 # The fixture amounts run from 10 to 5,000 USD: a 4,000 cap exercises the guard.
 FIXTURE_AMOUNT_CAP = 4000.0
@@ -268,3 +270,48 @@ def q_three_way_actions(spark, sf):
     a = D.three_way_action("ev")
     return round_doubles(s.select("transaction_id", "ev", "nv_weighted", a.alias("action"),
                                   F.when(a == "cascade", target).alias("cascade_target")))
+
+
+# Days after which a decline's outcome is known: the last retry delay of the grid.
+OUTCOME_DAYS = int(C.DELAY_GRID_HOURS[-1] // 24)
+
+
+def _cascade_ctes() -> list[tuple[str, str]]:
+    """Running counts per level, traits, provider and day, joined to the days that are asked."""
+    key = [", ".join(f"coalesce('=' || {c}, '-')" for c in cols) or "''" for cols in CA.LEVELS]
+    each = lambda body: " UNION ALL ".join(body.format(level=i, key=f"concat_ws(chr(1), {k})") for i, k in enumerate(key))
+    return [
+        ("asked", "SELECT DISTINCT CAST(ts AS DATE) AS day, merchant_country, merchant_vertical, response_code, processor_name FROM scored"),
+        ("cells", each(f"SELECT {{level}} AS level, {{key}} AS key, processor_name AS provider, CAST(ts AS DATE) + {OUTCOME_DAYS} AS known, "
+                       "count(*) AS n, count(*) FILTER (WHERE target_recovered_by_retry) AS ok FROM scored "
+                       "WHERE processor_name IS NOT NULL AND ts IS NOT NULL GROUP BY ALL")),
+        ("days", each("SELECT DISTINCT {level} AS level, {key} AS key, day FROM asked")),
+        ("rates", """
+SELECT d.level, d.key, d.day, c.provider, CAST(sum(c.n) AS BIGINT) AS n, sum(c.ok) / sum(c.n) AS rate
+FROM days d JOIN cells c ON c.level = d.level AND c.key = d.key AND c.known < d.day
+GROUP BY ALL HAVING sum(c.n) >= """ + str(CA.MIN_SUPPORT)),
+        ("keyed", each("SELECT *, {level} AS level, {key} AS key FROM asked")),
+        ("choice", """
+SELECT * FROM (SELECT k.*, r.provider, r.rate, r.n, row_number() OVER (
+                 PARTITION BY k.day, k.merchant_country, k.merchant_vertical, k.response_code, k.processor_name
+                 ORDER BY k.level, r.rate DESC, r.provider) AS place
+               FROM keyed k JOIN rates r ON r.level = k.level AND r.key = k.key AND r.day = k.day
+               WHERE r.provider IS DISTINCT FROM k.processor_name) AS z WHERE place = 1"""),
+    ]
+
+
+@register("cascade_targets", sql_round(["ev", "cascade_rate"], split_sql(f"""
+SELECT s.transaction_id, s.ev, CASE WHEN ev > 0.5 THEN 'retry' WHEN ev < -0.1 THEN 'abandon' ELSE 'cascade' END AS action,
+       CASE WHEN ev > 0.5 OR ev < -0.1 THEN NULL ELSE c.provider END AS cascade_target,
+       c.provider AS best_other_provider, CAST(c.level AS INTEGER) AS cascade_level, c.rate AS cascade_rate, c.n AS cascade_support
+FROM (SELECT *, {ev_sql("probability")} AS ev FROM scored) AS s
+LEFT JOIN choice c ON c.day = CAST(s.ts AS DATE) AND c.merchant_country IS NOT DISTINCT FROM s.merchant_country
+  AND c.merchant_vertical IS NOT DISTINCT FROM s.merchant_vertical AND c.response_code IS NOT DISTINCT FROM s.response_code
+  AND c.processor_name IS NOT DISTINCT FROM s.processor_name""", _cascade_ctes())), ops=("D12", "D3"))
+def q_cascade_targets(spark, sf):
+    s = split_modeling(spark, sf).withColumns({"ev": D.expected_value("probability", "amount_usd"), "__day": F.to_date("timestamp")})
+    known = s.withColumn("__known", F.date_add("__day", OUTCOME_DAYS))
+    t = CA.cascade_targets(s, known, "processor_name", "__day", "__known", "target_recovered_by_retry")
+    a = D.three_way_action("ev")
+    return round_doubles(t.select("transaction_id", "ev", a.alias("action"), F.when(a == "cascade", F.col("cascade_provider")).alias("cascade_target"),
+                                  F.col("cascade_provider").alias("best_other_provider"), "cascade_level", "cascade_rate", "cascade_support"))
