@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rebound.operators import blocks as B
 from rebound.operators import clean as CL
 from rebound.operators import decide as D
 from rebound.operators import retrieval as R
@@ -64,6 +65,14 @@ def q_cosine_top_k(spark, sf):
     return round_doubles(top.select("query_id", "candidate_id", "score"))
 
 
+@register("cosine_top_k_blocks", sql_round(["score"], _RET_CTES + "SELECT query_id, candidate_id, score FROM top"),
+          ops=("Q5",))
+def q_cosine_top_k_blocks(spark, sf):
+    emb = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    top, _ = B.search(B.build(emb, "vec_id", "embedding"), R.centroids(emb, "label", "embedding"), "label", "query_vector", K)
+    return round_doubles(top.select("query_id", "candidate_id", "score"))
+
+
 @register("retrieval_hit_rate", sql_round(["hit_rate"], _RET_CTES + """
 SELECT count(*) AS queries, avg(CASE WHEN hit THEN 1 ELSE 0 END) AS hit_rate FROM (
   SELECT query_id, bool_or(candidate_label = query_id) AS hit FROM top GROUP BY query_id) AS h"""), ops=("Q6",))
