@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rebound import config as C
 from rebound.functions.parse import strip_ws, time_features
 from rebound.operators import chains, profile
+from rebound.operators import sketches as SK
 from rebound.plans import fixture as fx
 from rebound.plans.catalog import dbl, register, round_doubles, sql_round
 from rebound.plans.q_labels import modeling
@@ -206,3 +207,27 @@ def q_category_shift(spark, sf):
     o = fx.originals(spark, sf)
     base = profile.baseline_shares(o.where(F.col("auth_status") == "APPROVED"), _SHIFT)
     return round_doubles(profile.category_shift_test(o.where(F.col("auth_status") == "DECLINED"), base, _SHIFT))
+
+
+SKETCHED_NUMBERS, SKETCHED_TEXTS = ["amount_usd", "retry_count", "hours_to_first_retry"], ["merchant_country", "response_code"]
+
+
+def _sketch_sql() -> str:
+    number = ("SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count({c}) AS numbers, "
+              "CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, avg(CAST({c} AS DOUBLE)) AS mean, "
+              "true AS quantiles_in_bound, true AS distinct_in_bound FROM modeling")
+    text = ("SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, CAST(0 AS BIGINT) AS numbers, "
+            "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean, "
+            "CAST(NULL AS BOOLEAN) AS quantiles_in_bound, true AS distinct_in_bound FROM modeling")
+    return with_ctes(" UNION ALL ".join([number.format(c=c) for c in SKETCHED_NUMBERS] + [text.format(c=c) for c in SKETCHED_TEXTS]))
+
+
+@register("sketch_profile", sql_round(["min_value", "max_value", "mean"], _sketch_sql()), ops=("G14", "G16"))
+def q_sketch_profile(spark, sf):
+    """Statistics from merged daily sketches, and whether an exact pass finds them within the stated error."""
+    m = modeling(spark, sf)
+    state = SK.merged(SK.day_sketches(m, F.to_date("timestamp"), SKETCHED_NUMBERS, SKETCHED_TEXTS, F.col("target_recovered_by_retry")))
+    told = SK.statistics(state).join(SK.audit(m, state, SKETCHED_NUMBERS, SKETCHED_TEXTS).select("column_name", "rank_error", "distinct_error"), "column_name")
+    return round_doubles(told.select("column_name", "rows", "nulls", "numbers", "min_value", "max_value", "mean",
+                                     (F.col("rank_error") <= SK.RANK_ERROR).alias("quantiles_in_bound"),
+                                     (F.col("distinct_error") <= SK.DISTINCT_ERROR).alias("distinct_in_bound")))
