@@ -8,7 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rebound.plans.registry import load  # noqa: E402
 
-SUMMARY = {'nightly_reconciliation': 'champion and challenger quality, PSI and deltas from merged daily state',
+SUMMARY = {'cascade_targets': 'provider with the best point-in-time recovery rate for this decline, own provider excluded',
+    'cosine_top_k_blocks': 'the same neighbours through a block index that skips what cannot reach the k-th score',
+    'sketch_profile': 'column statistics from merged daily sketches, with an exact audit of their error',
+    'nightly_reconciliation': 'champion and challenger quality, PSI and deltas from merged daily state',
     'category_shift': 'category shares of the declines against a stored baseline, as table tests',
     'retry_success_history': 'W6b: retry success of merchant, provider and code x country in the 30 and 7 days before',
     'batch_score_summary': 'retry / skip / out-of-scope counts, EV of retries, hindsight recoveries',

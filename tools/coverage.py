@@ -17,6 +17,7 @@ from rebound.plans.registry import load  # noqa: E402
 
 TESTS = {
     "I1": "test_sources::test_csv_skips_only_long_lines", "I2": "test_sources::test_write_and_read_roundtrip",
+    "D12": "test_cascade", "Q5": "test_blocks", "G7": "test_sketches", "G14": "test_sketches", "G16": "test_sketches",
     "I3": "test_sources::test_read_config", "I4": "test_streaming (file source)",
     "I5": "test_stateful (upsert), test_streaming::test_score_stream_and_validation_sink",
     "S1": "test_streaming::test_score_stream_and_validation_sink",
