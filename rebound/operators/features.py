@@ -1,8 +1,8 @@
 """Feature selection, typing and encoders.
 
 Encoders are fitted on the training rows as small grouped tables and applied
-by left joins; whether such a table is broadcast is decided by AQE from its
-measured size (``spark.sql.autoBroadcastJoinThreshold``), never assumed.
+by left joins; whether such a table is broadcast is decided by its measured
+size (``SMALL``, or AQE's threshold), never assumed.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from rebound import config as C
 from rebound.functions.parse import missing_as
 from rebound.operators.ordered import exact_quantiles, top_k_per_group
+from rebound.session import materialize
+
+#: Rows of an encoder that is broadcast.
+SMALL = 100_000
 
 
 class ForbiddenColumnError(RuntimeError):
@@ -97,13 +101,18 @@ def fit_target_encoding(train: DataFrame, cols: Sequence[str], target: str,
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, cols: Sequence[str], global_mean: float,
                           suffix: str = "__target_encoded") -> DataFrame:
-    """Lookup with default; unseen values get the global mean."""
-    out = df
+    """Lookup with default; unseen values get the global mean.
+
+    The encoder is built and counted first: left to AQE, ``df`` would be
+    shuffled whole before the encoder's size is known.
+    """
+    out, enc = df, materialize(enc)
+    known = F.broadcast if enc.count() <= SMALL else lambda e: e
     for c in cols:
         e = enc.where(F.col("feature") == c).select(F.col("value").alias(f"__v_{c}"),
                                                     F.col("encoding").alias(f"__e_{c}"))
         out = (out.withColumn(f"__k_{c}", missing_as(c))
-               .join(e, F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
+               .join(known(e), F.col(f"__k_{c}") == F.col(f"__v_{c}"), "left")
                .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"__e_{c}"), F.lit(global_mean)))
                .drop(f"__k_{c}", f"__v_{c}", f"__e_{c}"))
     return out
