@@ -116,48 +116,49 @@ def _hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_seconds(later) - F.unix_seconds(earlier)) / F.lit(3600.0)
 
 
-def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-level retry attempts (used where single retries are needed)."""
+def _declined_lines(spark: SparkSession, sf_dir: str, columns=()) -> DataFrame:
+    """Lines of declined orders shipped on/after the order date: (link, attempt, status, ship date, hours, ``columns``).
+
+    The lines are cut to fixed-size columns and travel once, to their orders;
+    the summaries are built where they then lie.  The merge join keeps it so at
+    every size: with the dates broadcast while they are few, the work would
+    change its growth later.  A hot order is split by the skew join.
+    """
     li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                     "l_returnflag", "l_linestatus", "l_shipdate"])
-    od = _declined_order_dates(spark, sf_dir)
+                    ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", *columns])
+    approved = _retry_status(F.col("l_returnflag"), F.col("l_linestatus")) == "APPROVED"
+    li = li.select("l_orderkey", "l_linenumber", approved.alias("approved"), "l_shipdate", *columns)
+    od = _declined_order_dates(spark, sf_dir).hint("merge")
     return (li.join(od, li.l_orderkey == od.o_orderkey)
             .where(F.col("l_shipdate") >= F.col("o_orderdate"))
             .select(F.col("l_orderkey").alias("original_transaction_id"),
                     F.col("l_linenumber").alias("retry_attempt_num"),
-                    _retry_status(F.col("l_returnflag"), F.col("l_linestatus")).alias("auth_status"),
-                    _hours_between(F.col("l_shipdate"), F.col("o_orderdate")).alias("hours_since_original"),
-                    F.col("l_shipdate").alias("timestamp"),
-                    F.col("l_partkey").alias("retry_tb1"), F.col("l_suppkey").alias("retry_tb2")))
+                    F.when(F.col("approved"), F.lit("APPROVED")).otherwise(F.lit("DECLINED")).alias("auth_status"),
+                    F.col("l_shipdate").alias("ship"),
+                    _hours_between(F.col("l_shipdate"), F.col("o_orderdate")).alias("hours"), *columns))
+
+
+def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row-level retry attempts (used where single retries are needed)."""
+    return _declined_lines(spark, sf_dir, ["l_partkey", "l_suppkey"]).select(
+        "original_transaction_id", "retry_attempt_num", "auth_status", F.col("hours").alias("hours_since_original"),
+        F.col("ship").alias("timestamp"), F.col("l_partkey").alias("retry_tb1"), F.col("l_suppkey").alias("retry_tb2"))
 
 
 RETRY_ORDER = ["retry_attempt_num", "hours_since_original", "retry_tb1", "retry_tb2"]
 
 
 def retry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-decline retry summary, aggregated *before* the join to orders.
+    """Per-decline retry summary, aggregated *before* the join to the declines.
 
-    lineitem is pre-aggregated per (order, ship date): every quantity of the
-    summary is decomposable over that key and the hours/ship-date filter are
-    constant inside it.  A hot order with billions of lines collapses to one
-    row per ship date map-side, so the join to orders never sees the skew.
+    Partials per (order, ship date, hours), merged per order; both lie where the
+    lines of an order already are, so neither is shuffled again.
     """
-    li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                     "l_returnflag", "l_linestatus", "l_shipdate"])
-    rows = li.select(F.col("l_orderkey").alias("original_transaction_id"),
-                     F.col("l_shipdate").alias("ship"),
-                     F.col("l_linenumber").alias("retry_attempt_num"),
-                     _retry_status(F.col("l_returnflag"), F.col("l_linestatus")).alias("auth_status"),
-                     F.col("l_partkey").alias("retry_tb1"), F.col("l_suppkey").alias("retry_tb2"))
-    partial = retry_partials(rows, ["original_transaction_id", "ship"],
+    rows = (_declined_lines(spark, sf_dir, ["l_partkey", "l_suppkey"])
+            .withColumnsRenamed({"l_partkey": "retry_tb1", "l_suppkey": "retry_tb2"}))
+    partial = retry_partials(rows, ["original_transaction_id", "ship", "hours"],
                              order_cols=["retry_attempt_num", "retry_tb1", "retry_tb2"])
-    od = _declined_order_dates(spark, sf_dir)
-    joined = (partial.join(od, partial.original_transaction_id == od.o_orderkey)
-              .where(F.col("ship") >= F.col("o_orderdate"))
-              .withColumn("hours", _hours_between(F.col("ship"), F.col("o_orderdate"))))
-    return merge_retry_partials(joined, "original_transaction_id", hours_col="hours")
+    return merge_retry_partials(partial, "original_transaction_id", hours_col="hours")
 
 
 def events(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
@@ -165,17 +166,8 @@ def events(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
 
 
 def retry_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retries pre-aggregated per (order, ship date, attempt, status) with a
-    row-count ``weight``: enough for every per-(code, attempt, delay) rate and
-    immune to a hot order."""
-    li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"])
-    cells = (li.groupBy(F.col("l_orderkey").alias("original_transaction_id"), F.col("l_shipdate").alias("ship"),
-                        F.col("l_linenumber").alias("retry_attempt_num"),
-                        _retry_status(F.col("l_returnflag"), F.col("l_linestatus")).alias("auth_status"))
-             .agg(F.count(F.lit(1)).alias("weight")))
-    od = _declined_order_dates(spark, sf_dir)
-    return (cells.join(od, cells.original_transaction_id == od.o_orderkey)
-            .where(F.col("ship") >= F.col("o_orderdate"))
-            .select("original_transaction_id", "retry_attempt_num", "auth_status", "weight",
-                    _hours_between(F.col("ship"), F.col("o_orderdate")).alias("hours_since_original")))
+    """Retries aggregated per (order, delay, attempt, status) with a row-count
+    ``weight``: enough for every per-(code, attempt, delay) rate."""
+    keys = ["original_transaction_id", "retry_attempt_num", "auth_status", "hours"]
+    return (_declined_lines(spark, sf_dir).groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"))
+            .select(*keys[:3], "weight", F.col("hours").alias("hours_since_original")))
