@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -58,10 +59,14 @@ BLOCK, BLOCK_POSTINGS = 1 << 16, 4_000_000
 BITS = BLOCK // 8
 #: Blocks of a pair whose scores are joined under one key.
 SLICE = 4096
+#: Units whose spelling is compared at once.
+RUN = 4096
 #: A group of more token pairs is counted by distinct ids.
 WIDE = 4096
 #: Where both tokenizers begin anew.
 UNIT = re.compile(r"(?<! ) (?=\S)")
+#: A space that does not begin a unit, or whose next character does not.
+BLANKS = re.compile(r" (?:\s|$)")
 
 
 def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +88,11 @@ class Units:
 
     def __init__(self, a: list, b: list, sizes_a: np.ndarray, sizes_b: np.ndarray, names_a: list, names_b: list):
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
         end_a, end_b = np.cumsum(sizes_a[ids_a]), np.cumsum(sizes_b[ids_b])  # over all units: all their bytes agree
-        cut = end_a[np.isin(end_a, end_b, assume_unique=True)]
-        group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
+        both = end_b[np.searchsorted(end_b, end_a)] == end_a if len(end_b) else np.zeros(0, bool)  # the last ends are equal
+        cut = end_a[both]
+        group_a, group_b = np.cumsum(both) - both, np.searchsorted(cut, end_b)
         per_a, per_b = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
         unit = np.searchsorted(np.cumsum(n_a), np.cumsum(per_a), "left")  # of each group
         size = len(a)
@@ -147,22 +153,38 @@ class Aligner:
         """The units of space + text, each without its first space."""
         if self.whole:
             return [text]
-        first, *rest = UNIT.split(" " + text)
+        if not BLANKS.search(text := " " + text):
+            return text.split(" ")[1:]
+        first, *rest = UNIT.split(text)
         return [first[1:], *rest] if first else rest
 
     def align(self, texts: list[str]):
         """(document, unit and times of each unit, unit arrays, whether each text is spelled by both)."""
         self._open()
         cuts = [self.cut(t) if t else [] for t in texts]
-        distinct = list(dict.fromkeys(u for c in cuts for u in c))
+        distinct = list(dict.fromkeys(chain.from_iterable(cuts)))
         fill = self.codec.tables.fill(distinct)
         b = self.pieces.encode(distinct, num_threads=1) if distinct else []
-        spelled = [b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + u.encode() for u, ids in zip(distinct, b)]
-        kept = [u for u, ok in zip(distinct, spelled) if ok]
-        units = Units([fill[u] for u in kept], [ids for ids, ok in zip(b, spelled) if ok], *self.sizes, *self.names)
-        number = {u: i for i, u in enumerate(kept)}
+        spelled = self._spelled(distinct, b)
+        kept = distinct if all(spelled) else [u for u, ok in zip(distinct, spelled) if ok]
+        units = Units(list(map(fill.__getitem__, kept)), b if kept is distinct else [ids for ids, ok in zip(b, spelled) if ok], *self.sizes, *self.names)
+        number = dict(zip(kept, range(len(kept))))
         whole = [bool(c) and all(u in number for u in c) for c in cuts] if len(kept) < len(distinct) else [bool(c) for c in cuts]
-        return [[number[u] for u in c] if ok else [] for c, ok in zip(cuts, whole)], units, whole
+        return [list(map(number.__getitem__, c)) if ok else [] for c, ok in zip(cuts, whole)], units, whole
+
+    def _spelled(self, units: list[str], b: list) -> list[bool]:
+        """Whether the pieces of each unit spell space + unit: of a run of units at once, one by one where the run differs."""
+        out: list = []
+        for at in range(0, len(units), RUN):
+            us, ids = units[at:at + RUN], b[at:at + RUN]
+            flat, whole = list(chain.from_iterable(ids)), (" " + " ".join(us)).encode()
+            same = b"".join(map(self.bytes_b.__getitem__, flat)) == whole
+            if same:  # and cut at the same places
+                long = np.fromiter(map(len, us if len(whole) == sum(map(len, us)) + len(us) else map(str.encode, us)), np.int64, len(us)) + 1
+                ends = np.r_[0, np.cumsum(self.sizes[1][flat])][np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+                same = bool((ends == np.cumsum(long)).all())
+            out += [True] * len(us) if same else [b"".join(map(self.bytes_b.__getitem__, x)) == b" " + u.encode() for u, x in zip(us, ids)]
+        return out
 
 
 def open_aligner(vocabulary: str | None = None, pieces: str | None = None) -> Aligner:
@@ -286,7 +308,7 @@ def invert(docs: DataFrame, aligner: Aligner, most_postings: int = BLOCK_POSTING
                 while at < len(found):
                     part = found[at:at + most_docs - block.docs]
                     n = len(part)
-                    doc, unit = np.repeat(np.arange(n), [len(u) for u in part]), np.fromiter((i for u in part for i in u), np.int64)
+                    doc, unit = np.repeat(np.arange(n), [len(u) for u in part]), np.fromiter(chain.from_iterable(part), np.int64)
                     size = max(1, len(units.n_a))
                     key, times = _summed(doc * size + unit, np.ones(len(doc), np.int64))
                     doc, unit = key // size, key % size

@@ -3,9 +3,9 @@
 A sequence of tokens is the BPE encoding of its bytes exactly when every token
 is reachable (the encoding of its own bytes) and every two neighbours are
 compatible: no merge that crosses their border comes up before both are whole.
-So each prefix of a pre-token has one possible last token.  An automaton over
-the reachable tokens reports, place by place, every token that is a suffix of
-the bytes read; the one that is compatible with the last token of the prefix
+So each prefix of a pre-token has one possible last token.  A walk of all
+places at once down a trie of the reachable tokens reports, place by place, every
+token that is a suffix of the bytes read; the one that is compatible with the last token of the prefix
 before it is stored, and the back-pointers from the end give the ids.
 
 Texts are first cut at the strings of added tokens (or not at all, with
@@ -30,7 +30,6 @@ import json
 import re
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -121,17 +120,81 @@ class _Tables:
         reachable = self.size == 1
         for (a, b, t), ok in zip(v.merges, kept):
             reachable[t] = ok and reachable[a] and reachable[b]
-        self.automaton, self.known = ahocorasick.Automaton(), {}
+        self.known = {}
         for t in np.flatnonzero(reachable).tolist():
             if t not in v.added.values():
-                self.known[chars := v.tokens[t].decode("latin-1")] = (t,)
-                self.automaton.add_word(chars, t)
-        self.automaton.make_automaton()
+                self.known[v.tokens[t].decode("latin-1")] = (t,)
+        self._grow(self.known.items())
         self.words, self.units = {}, {}
         self.added = {i: (i,) for i in v.added.values()}
         self.short = regex.compile(public_tokenizers.PATTERN).findall
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
 
+    def _grow(self, words):
+        """A trie of the reachable tokens as flat arrays: steps by (node, character) in a table of open addresses, tokens by node."""
+        step, ends = {}, {}
+        for chars, (t,) in words:
+            node = 0
+            for c in chars:
+                node = step.setdefault(node << 8 | ord(c), len(step) + 1)
+            ends[node] = t
+        self.ends = np.full(len(step) + 1, -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
+        self.slots = 1 << max(10, (8 * len(step)).bit_length())
+        self.step_key, self.step_to = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        key, to = (np.fromiter(x, np.int64, len(step)) for x in (step.keys(), step.values()))
+        slot = self._slot(key)
+        while len(key):
+            free = self.step_key[slot] < 0
+            _, one = np.unique(slot, return_index=True)
+            put = np.zeros(len(key), bool)
+            put[one] = True
+            put &= free
+            self.step_key[slot[put]], self.step_to[slot[put]] = key[put], to[put]
+            key, to, slot = key[~put], to[~put], (slot[~put] + 1) & (self.slots - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * 0x1E3779B97F4A7C15 >> 20) & (self.slots - 1)
+
+    def _steps(self, key: np.ndarray) -> np.ndarray:
+        """The node after each step, 0 for none."""
+        slot = self._slot(key)
+        held = self.step_key[slot]
+        out = np.where(held == key, self.step_to[slot], 0)
+        at = np.flatnonzero((held != key) & (held >= 0))
+        while len(at):  # the few whose place another step has
+            nxt = (slot[at] + 1) & (self.slots - 1)
+            slot[at] = nxt
+            held = self.step_key[nxt]
+            hit = held == key[at]
+            out[at[hit]] = self.step_to[nxt[hit]]
+            at = at[~hit & (held >= 0)]
+        return out
+
+    def _found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(end, token) of every reachable token in the text, by end, the longest first: all beginnings walk the trie at once."""
+        chars = np.frombuffer(text.encode("utf-16-le"), "<u2").astype(np.int64)
+        begin = np.flatnonzero(chars < 256)
+        node, at, found = np.zeros(len(begin), np.int64), begin, []
+        while len(at):
+            node = self._steps(node << 8 | chars[at])
+            live = node > 0
+            node, at = node[live].astype(np.int64), at[live]
+            t = self.ends[node]
+            hit = t >= 0
+            found.append((at[hit], t[hit]))
+            at = at + 1
+            go = at < len(chars)
+            go[go] = chars[at[go]] < 256
+            node, at = node[go], at[go]
+        many = np.bincount(np.concatenate([e for e, _ in found]), minlength=len(chars)) if found else np.zeros(len(chars), np.int64)
+        place = np.cumsum(many) - many
+        end, token = np.repeat(np.arange(len(chars)), many), np.empty(int(many.sum()), np.int64)
+        for e, t in reversed(found):
+            token[place[e]] = t
+            place[e] += 1
+        return end, token
+
     def _uncrossed(self, a: np.ndarray, b: np.ndarray, until=None) -> np.ndarray:
         """For token pairs: whether no merge crosses their border while both are put together.
 
@@ -177,8 +240,7 @@ class _Tables:
         text = SEPARATOR.join(words)
         length = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(length + 1) - length - 1
-        match = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
-        end, token = match[:, 0], match[:, 1]
+        end, token = self._found(text)
         depth = end - np.repeat(begin, length + 1)[end]
         run = np.r_[0, np.flatnonzero(np.diff(end)) + 1]  # of the tokens that end at one place, longest first
         turn = np.arange(len(end)) - np.repeat(run, np.diff(np.r_[run, len(end)]))
@@ -213,7 +275,7 @@ class _Tables:
     def one_word(self, chars: str) -> tuple:
         """Ids of a long pre-token, place after place."""
         last, pairs, size = [-1] * len(chars), {}, self.size.tolist()
-        for end, t in self.automaton.iter(chars):
+        for end, t in zip(*(x.tolist() for x in self._found(chars))):
             if last[end] < 0:
                 start = end - size[t]
                 pair = (last[start], t)

@@ -150,3 +150,22 @@ def test_whole_texts_and_units_give_the_same_groups():
             found, flat, _ = aligner.align([t])
             spelled.append("".join(flat.text[i] for i in found[0]))
         assert spelled[0] == spelled[1] != ""
+
+
+def test_units_and_spelling_in_runs(monkeypatch):
+    """Blanks are cut as the expression cuts them, and one unit that pieces do not spell does not spoil its run."""
+    import random
+
+    from rebound.llm import alignment as A
+    aligner = A.open_aligner()
+    aligner._open()
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab  \n\té　") for _ in range(rng.randrange(1, 30)))
+        first, *rest = A.UNIT.split(" " + text)
+        assert aligner.cut(text) == ([first[1:], *rest] if first else rest)
+    monkeypatch.setattr(A, "RUN", 3)
+    units = ["one", "é", "two", "▁x", "three", "b", "c"]
+    ids = aligner.pieces.encode(units, num_threads=1)
+    assert aligner._spelled(units, ids) == [b"".join(map(aligner.bytes_b.__getitem__, x)) == b" " + u.encode() for u, x in zip(units, ids)]
+    assert not aligner._spelled(["ab", "c"], [[*ids[5], *ids[5]], ids[6]])[0] and aligner._spelled([], []) == []

@@ -115,3 +115,21 @@ def test_columns_round_trip(spark):
     out = B.decode(B.encode(with_clashes(awkward(spark)), codec), codec)
     for r in out.collect():
         assert r["decoded"] == (r["text"] or "") and r["score"] == "other"
+
+
+def test_trie_finds_every_token_longest_first():
+    """All reachable tokens at every end, as a plain search finds them; steps that share a slot included."""
+    import random
+
+    import numpy as np
+
+    from rebound.llm import prefix_bpe as P
+    tables = P.open_codec(added=False).tables
+    rng = random.Random(4)
+    words = ["".join(rng.choice(" abeinrst\x00ÿ") for _ in range(rng.randrange(1, 20))) for _ in range(300)] + [" ", "the", " international" * 12]
+    text = P.SEPARATOR.join(words)
+    end, token = tables._found(text)
+    size, known = int(tables.size.max()), {k: v[0] for k, v in tables.known.items()}
+    want = [(e, known[text[b:e + 1]]) for e in range(len(text)) for b in range(max(0, e + 1 - size), e + 1) if text[b:e + 1] in known]
+    assert list(zip(end.tolist(), token.tolist())) == want
+    assert [len(x) for x in tables._found("")] == [0, 0] and not tables._steps(np.array([0 << 8 | 256])).any()
