@@ -10,8 +10,12 @@ segment count of its size class, and of the next class if a partner may lie
 there.  The count is chosen so that a pair right at the threshold is expected
 to share 21 or more segments, and so misses all with a chance below 1e-8.
 Small sets use their prefix in hash order instead, which two linked sets always
-share.  Components of sets with equal keys are the blocks; a block above the
-task size is dealt into parts, and each pair of parts is a task of its own.
+share.  Components of sets with equal keys are the blocks.  Sets that share a
+common line or phrase can share a key by chance, and with enough texts such keys
+connect a large part of them to one block.  A block of ``LARGE`` times the task
+size is therefore cut again, by keys of more shingles each, of which a linked
+pair is expected to share as many.  A block that stays above the task size is
+dealt into parts, and each pair of parts is a task of its own.
 
 Search inside a block.  Posting lists run from each shingle to the sets that
 hold it, by size.  For each set as query with overlap threshold T, the long
@@ -30,7 +34,9 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 
 from rebound.llm.graph import components
 from rebound.llm.words import chunks, mix, shingles, utf8, word_hashes
-from rebound.session import materialize
+from rebound.session import materialize, shared_path, stored
 
 #: Sets under so many shingles are blocked by prefix; above, size classes double from here.
 SMALL = 40
@@ -48,6 +54,10 @@ SMALL = 40
 SHARED = 21.0
 #: Shingles in a task's block, about.
 BLOCK = 500_000
+#: A block of more than so many times as much is cut again, by keys of about so many shingles.
+LARGE, SHARPER = 4, (8, 12, 16)
+#: Such keys of a set and size class, about, where one table does not do; fewer shingles each if it takes more.
+KEYS = 2048
 #: Posting lists longer than this are probed rather than merged, as far as T allows.
 LONG_LIST = 64
 
@@ -83,6 +93,60 @@ def blocking_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+@lru_cache(maxsize=64)
+def _bounds(num: int, den: int) -> list[int]:
+    """Where the finer size classes begin; a partner is of the same class or a neighbour's."""
+    out = [SMALL]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * den // num + 1)
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _tables(cls: int, num: int, den: int, run: int) -> tuple[int, int]:
+    """(segments, tables) of a finer size class: segments of about ``run`` shingles or more, in as many independent
+    tables as leave ``SHARED`` whole when the largest linked pair differs most."""
+    upper = _bounds(num, den)[cls + 1] - 1
+    differ = 2 * (den - num) / (den + num) * upper
+    whole = lambda s: s * (1 - 1 / s) ** differ
+    s = max(2, round(upper / run))
+    while SHARED > whole(s) and s * SHARED > whole(s) * KEYS:
+        s += max(1, s // 8)
+    if whole(s) < SHARED:
+        return s, math.ceil(SHARED / whole(s))
+    least = 2  # one table leaves enough: the fewest segments that do
+    while least < s:
+        middle = (least + s) // 2
+        least, s = (least, middle) if whole(middle) >= SHARED else (middle + 1, s)
+    return s, 1
+
+
+def sharper_keys(own: np.ndarray, num: int, den: int, run: int) -> np.ndarray:
+    """Keys of a set like ``blocking_keys``, but of about ``run`` shingles each; of small sets of a quarter as many from a longer prefix."""
+    n = len(own)
+    if n * den < num * (n + 1):
+        return np.zeros(0, np.uint64)
+    out = []
+    if n < SMALL:
+        fewest = -(-num // (den - num))  # the smallest set that can have a partner
+        k = max(1, min(run // 4, -(-num * fewest // den)))  # all linked sets share so many
+        chosen = np.array(list(combinations(own[:n - -(-num * n // den) + k].tolist(), k)), np.uint64)
+        out.append(mix(mix(chosen + np.arange(k, dtype=np.uint64), 211).sum(1, dtype=np.uint64), 213))
+    bounds = _bounds(num, den)
+    cls = bisect_right(bounds, n) - 1
+    for c in (cls, cls + 1):
+        if c < 0 or n * den < num * bounds[c]:
+            continue
+        s, tables = _tables(c, num, den, run)
+        hashed = mix(own[:, None] + mix(np.arange(tables, dtype=np.uint64), 217 + c))
+        where = (((hashed >> np.uint64(40)).astype(np.int64) * s >> 24) + np.arange(tables) * s).ravel()
+        # Sums of 40 bits are exact in a double.
+        held = np.bincount(where, (hashed & np.uint64((1 << 40) - 1)).astype(np.float64).ravel(), s * tables)
+        full = np.flatnonzero(np.bincount(where, minlength=s * tables))
+        out.append(mix(mix(held[full].astype(np.uint64)) + full.astype(np.uint64), 223 + c))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: list, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     flat, offsets = word_hashes(texts)
@@ -104,7 +168,7 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             for a, b in chunks(texts):
                 n, e1, e2, keys = [], [], [], []
                 for own in shingle_sets(texts[a:b], size):
-                    address = tuple(int(mix(own, salt).sum(dtype=np.uint64)) for salt in (1, 2))
+                    address = tuple(_address(own, salt) for salt in (1, 2))
                     n.append(len(own))
                     e1.append(address[0])
                     e2.append(address[1])
@@ -120,6 +184,33 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, e1 long, e2 long, keys array<long>")
 
 
+def _blocks(keys: DataFrame) -> DataFrame:
+    """(e1, label): the components of sets that share a key, by a star around the smallest address of each key, from one shuffle read twice."""
+    keys = keys.repartition("key")
+    least = keys.groupBy("key").agg(F.min("e1").alias("m"), F.max("e1").alias("x")).where("m < x").select("key", "m")
+    meet = keys.join(least, "key").where("e1 <> m").select(F.col("m").alias("a"), F.col("e1").alias("b"))
+    return components(meet).select(F.col("node").alias("e1"), F.col("component").alias("label"))
+
+
+def _address(own: np.ndarray, salt: int) -> int:
+    return int(mix(own, salt).sum(dtype=np.uint64))
+
+
+def _sharper(texts: DataFrame, size: int, num: int, den: int, run: int) -> DataFrame:
+    """(key, e1): the sharper keys of the sets of ``texts``."""
+
+    def keys(batches):
+        for batch in batches:
+            flat, e1 = utf8(batch["text"]), batch["e1"].to_numpy()
+            for a, b in chunks(flat):
+                found = [sharper_keys(own, num, den, run) if _address(own, 1) == int(e) & (2**64 - 1) else np.zeros(0, np.uint64)
+                         for own, e in zip(shingle_sets(flat[a:b], size), e1[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(e1[a:b], [len(k) for k in found]))],
+                                                 names=["key", "e1"])
+
+    return texts.select("text", "e1").mapInArrow(keys, "key long, e1 long")
+
+
 def t_occurrence_links(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (as a spanning forest of indices) among sets; with ``part``, only between different parts."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -185,13 +276,17 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     keyed = _sets(docs, size, num, den).persist(StorageLevel.MEMORY_AND_DISK)
     sets = materialize(keyed.select("doc_id", "n", "e1", "e2"))
     classes = materialize(sets.where("n > 0").groupBy("e1", "e2", "n").agg(F.min("doc_id").alias("rep")))
-    # Sets that share a key: a star around the smallest address of each key, from one shuffle read twice.
-    keys = keyed.select(F.explode("keys").alias("key"), "e1").repartition("key")
-    least = keys.groupBy("key").agg(F.min("e1").alias("m"), F.max("e1").alias("x")).where("m < x").select("key", "m")
-    meet = keys.join(least, "key").where("e1 <> m").select(F.col("m").alias("a"), F.col("e1").alias("b")).distinct()
-    label = components(meet).select(F.col("node").alias("e1"), F.col("component").alias("label"))
+    label = _blocks(keyed.select(F.explode("keys").alias("key"), "e1"))
     keyed.unpersist()
     cand = materialize(classes.where("rep is not null").join(label, "e1").select("rep", "e1", "n", "label"))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(cand.select("rep", "e1"), "rep"), shared_path(docs.sparkSession, "texts"))
+    for run in SHARPER:
+        large = cand.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > LARGE * block).select("label")
+        if large.isEmpty():
+            break
+        label = _blocks(_sharper(texts.join(cand.join(large, "label", "left_semi").select("rep", "e1"), ["rep", "e1"]), size, num, den, run))
+        cut = cand.join(large, "label", "left_semi").drop("label").join(label, "e1").select("rep", "e1", "n", "label")
+        cand = materialize(cand.join(large, "label", "left_anti").select("rep", "e1", "n", "label").unionByName(cut))
     total = cand.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / block))
     parts = cand.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts"))
@@ -201,22 +296,21 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
                       F.when(F.col("parts") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.col("label")).alias("g"),
                       F.when(F.col("parts") == 1, -1).otherwise(F.least("part", "other")).alias("lo"),
                       F.when(F.col("parts") == 1, -1).otherwise(F.greatest("part", "other")).alias("hi")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep")
 
     def search(group: pa.Table) -> pa.Table:
         own = shingle_sets(utf8(group["text"]), size)
-        address = np.array([int(mix(s, 1).sum(dtype=np.uint64)) for s in own], np.uint64).view(np.int64)
+        address = np.array([_address(s, 1) for s in own], np.uint64).view(np.int64)
         rep, ok = group["rep"].to_numpy(), np.flatnonzero(address == group["e1"].to_numpy())
         across = group["lo"][0].as_py() != group["hi"][0].as_py()
         found = t_occurrence_links([own[i] for i in ok], num, den, group["part"].to_numpy()[ok] if across else None)
         return pa.table({"a": pa.array([rep[ok[i]] for i, _ in found], pa.int64()), "b": pa.array([rep[ok[j]] for _, j in found], pa.int64())})
 
-    links = texts.groupBy("g", "lo", "hi").applyInArrow(search, "a long, b long")
+    links = texts.join(placed, ["rep", "e1"]).groupBy("g", "lo", "hi").applyInArrow(search, "a long, b long")
     # An id whose rows have several sets joins the classes of those sets, even where another id names the class.
     held = sets.where("n > 0 and doc_id is not null").select("doc_id", "e1", "e2", "n").distinct()
     several = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = held.join(several, "doc_id").join(classes, ["e1", "e2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(materialize(links.unionByName(same))).select(F.col("node").alias("rep"), "component")
+    joined = components(links.unionByName(same)).select(F.col("node").alias("rep"), "component")
     named = classes.join(joined, "rep", "left").select("e1", "e2", "n", F.coalesce("component", "rep").alias("component_id"))
     named = sets.where("n > 0").join(named, ["e1", "e2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     blank = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))

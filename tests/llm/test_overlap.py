@@ -1,13 +1,16 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import rebound.llm.overlap as O
 from conftest import SF_MID
 from llm_cases import awkward, awkward_rows, empty, prose, save, with_clashes
 from rebound.llm.graph import components
+from rebound.session import checkpoint_dir
 
 
 def shingle_set(text, size):
@@ -135,3 +138,41 @@ def test_rows_that_share_an_id_join_their_classes(spark):
     for r in O.similar_components(docs, 4, 85, 100).collect():
         got.setdefault(r["doc_id"], set()).add(r["component_id"])
     assert got == {3: {3}, 5: {3}, 9: {3}, 20: {20}, 31: {20}, 40: {40}, 41: {41}, None: {3}}
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5), (1, 2)])
+def test_linked_sets_share_a_sharper_key(num, den):
+    rng = np.random.default_rng(7)
+    for n in list(range(2, 90)) + [200, 700, 3000]:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        drop, half = n * (den - num) // den, n * (den - num) // (den + num)
+        b = np.sort(rng.permutation(a)[:n - drop])  # the smallest linked subset
+        c = np.sort(np.r_[rng.permutation(a)[:n - half], rng.integers(0, 2**64, half, np.uint64)])
+        for other in (b, c):
+            k = len(np.intersect1d(a, other))
+            if den * k >= num * (len(a) + len(other) - k) and not (k == len(a) == len(other)):
+                for run in O.SHARPER:
+                    assert len(np.intersect1d(O.sharper_keys(a, num, den, run), O.sharper_keys(other, num, den, run)))
+
+
+def test_texts_that_share_a_common_line_are_not_one_block(spark, monkeypatch):
+    rng = random.Random(4)
+    line, made = prose(rng, 40), []
+    texts = [f"{line} {prose(rng, 60)}" for _ in range(500)] + family(rng, 30, 100, 2)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    monkeypatch.setattr(O, "materialize", lambda df, keep=O.materialize: made.append(keep(df)) or made[-1])
+    got = O.similar_components(spark.createDataFrame(rows, awkward(spark).schema), 4, 85, 100, block=1000)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows, 4, 85, 100)
+    placed = [df for df in made if "label" in df.columns][-1]
+    assert placed.groupBy("label").agg(F.sum("n").alias("n")).where("n > 4000").count() == 0
+
+
+def test_components_leave_one_table(spark):
+    def files():
+        where = checkpoint_dir(spark).removeprefix("file:")
+        return {d for d, _, names in os.walk(where) if any("part-" in n for n in names)}
+
+    before = files()
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+    assert got.where("component <> 0").count() == 0
+    assert len(files() - before) == 1
