@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = SHARD = 8192
 #: Candidates scored at once, and those scored in full to find a first threshold.
 TILE, SEED = 1024, 512
+#: Queries whose scores with a tile of candidates are held at once.
+QUERY_TILE = 1024
+#: Components of pairs gathered at once; pairs are probed one by one when fewer than one in ``DENSE`` is left.
+GATHER, DENSE = 1 << 21, 32
 
 _OUT = "query_id long, vec_id long, score long"
 _ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -70,40 +74,75 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     return q[keep], ids[keep], score[keep]
 
 
+def _probed(queries: np.ndarray, part: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of the pairs (q, c), a bounded number of components at a time."""
+    step = max(1, GATHER // max(1, part.shape[1]))
+    pieces = [np.einsum("ij,ij->i", queries[q[i:i + step]], part[c[i:i + step]]) for i in range(0, len(q), step)]
+    return np.concatenate(pieces) if pieces else np.zeros(0, part.dtype)
+
+
 def max_score(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int):
     """(query index, candidate id, score) of the k best candidates of every query in one shard."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(shard):
+        hi, lo = shard.max(0), shard.min(0)
+        for a in range(0, len(queries), QUERY_TILE):
+            at, who, score = _tile_score(queries[a:a + QUERY_TILE], query_ids[a:a + QUERY_TILE], shard, ids, hi, lo, k)
+            found.append((at + a, who, score))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _tile_score(queries, query_ids, shard, ids, hi, lo, k: int):
+    """``max_score`` of a few queries, whose scores with a tile of candidates are held at once."""
     nq, n = len(queries), len(shard)
     found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    theta = np.full(nq, -np.inf)
-    if not n or not nq:
-        return found
-    hi, lo = shard.max(0), shard.min(0)
+    theta = np.full(nq, -np.inf, object if queries.dtype == object else np.float64)  # as exact as the scores
+    bound = np.maximum(queries * hi, queries * lo)               # of each term, for each query
+    order = np.argsort(bound, axis=1, kind="stable")
+    total = np.cumsum(np.take_along_axis(bound, order, 1), axis=1)
+    most = np.maximum.accumulate(total, 1)
     at = 0
     while at < n:
         rows = slice(at, at + (SEED if at == 0 else TILE))
         at = min(n, rows.stop)
         part, part_ids = shard[rows], ids[rows]
-        bound = np.maximum(queries * hi, queries * lo)           # of each term, for each query
-        order = np.argsort(bound, axis=1, kind="stable")
-        total = np.cumsum(np.take_along_axis(bound, order, 1), axis=1)
         non = np.zeros(bound.shape, bool)                        # non-essential terms
-        np.put_along_axis(non, order, (total < theta[:, None]) & (np.maximum.accumulate(total, 1) < theta[:, None]), 1)
+        np.put_along_axis(non, order, (total < theta[:, None]) & (most < theta[:, None]), 1)
         left = np.where(non, bound, 0).sum(1)
         score = np.where(non, 0, queries) @ part.T               # essential postings
-        q, c = np.nonzero(score + left[:, None] >= theta[:, None])
-        score = score[q, c]
-        while non.any() and len(q):                              # probe the larger half of what is left
+        q = c = None                                             # pairs that can reach theta, once they are few
+        while non.any():                                         # probe the larger half of what is left
+            if q is None:
+                can = score + left[:, None] >= theta[:, None]
+                if np.count_nonzero(can) * DENSE < can.size:
+                    q, c = np.nonzero(can)
+                    score = score[q, c]
+            if q is not None and not len(q):
+                break
             rank = np.argsort(np.argsort(np.where(non, -bound, np.inf), axis=1, kind="stable"), axis=1)
             probe = non & (rank < (non.sum(1)[:, None] + 1) // 2)
-            score = score + np.einsum("ij,ij->i", np.where(probe, queries, 0)[q], part[c])
+            chosen = np.where(probe, queries, 0)
             non &= ~probe
             left = np.where(non, bound, 0).sum(1)
-            keep = score + left[q] >= theta[q]
-            q, c, score = q[keep], c[keep], score[keep]
-        own = part_ids[c] == query_ids[q]
-        q, c, score = q[~own], c[~own], score[~own]
+            if q is None:
+                score = score + chosen @ part.T
+            else:
+                score = score + _probed(chosen, part, q, c)
+                keep = score + left[q] >= theta[q]
+                q, c, score = q[keep], c[keep], score[keep]
+        if q is None:
+            own = part_ids[None, :] == query_ids[:, None]
+            if at <= SEED and score.shape[1] > k:                # a first threshold: the k-th best of the first candidates
+                theta = np.maximum(theta, np.partition(np.where(own, -np.inf, score), -k, axis=1)[:, -k])
+            q, c = np.nonzero((score >= theta[:, None]) & ~own)
+            score = score[q, c]
+        else:
+            own = part_ids[c] == query_ids[q]
+            q, c, score = q[~own], c[~own], score[~own]
+        if not len(q):
+            continue
         found = _best(*(np.concatenate(x) for x in zip(found, (q, part_ids[c], score))), k)
-        last = np.flatnonzero(np.r_[found[0][1:] != found[0][:-1], True]) if len(found[0]) else np.zeros(0, np.int64)
+        last = np.flatnonzero(np.r_[found[0][1:] != found[0][:-1], True])
         full = np.bincount(found[0], minlength=nq)[found[0][last]] >= k
         theta[found[0][last][full]] = found[2][last][full]
     return found
@@ -121,7 +160,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = QUERY_BL
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil((nq or 0) / query_block))
 
     def deal(df, own, count, other, others):
-        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
+        return (df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

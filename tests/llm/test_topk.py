@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -64,3 +65,40 @@ def test_large_integers_stay_exact(spark):
     rows = [(i, [float(2**20 + i), float(-(2**20)), 2.0**-6], 1) for i in range(30)]
     got = T.top_k(T.quantised(spark.createDataFrame(rows, SCHEMA)), F.col("vec_id") % 20 == 0, 5)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 5, 20)
+
+
+def test_memory_is_bounded_with_many_queries():
+    rng = np.random.default_rng(6)
+    q, v = (rng.integers(-30, 31, (n, 64)).astype(np.float32) for n in (4096, 2048))
+    ids, qids = rng.permutation(2048), np.arange(10_000, 14_096)
+    tracemalloc.start()
+    try:
+        at, who, score = T.max_score(q, qids, v, ids, 20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200 << 20
+    full = q @ v.T
+    for i in range(0, 4096, 371):
+        order = sorted((-int(s), int(d)) for s, d in zip(full[i], ids))[:20]
+        assert [(-int(s), int(d)) for s, d in zip(score[at == i], who[at == i])] == order
+
+
+@pytest.mark.parametrize("kind", [np.float64, object])
+@pytest.mark.parametrize("dense", [1, 4, 10**9])
+def test_probing_pair_by_pair_and_by_product_agree(monkeypatch, kind, dense):
+    monkeypatch.setattr(T, "DENSE", dense)
+    monkeypatch.setattr(T, "GATHER", 100)
+    monkeypatch.setattr(T, "QUERY_TILE", 7)
+    monkeypatch.setattr(T, "TILE", 30)
+    monkeypatch.setattr(T, "SEED", 25)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-9, 10, (300, 12))
+    v[:, :2] *= 6
+    big = 1 if kind is np.float64 else 2**29 + 1
+    ids = rng.permutation(150).repeat(2)
+    full = (v.astype(object) * big) @ (v.T.astype(object) * big)
+    at, who, score = T.max_score((v[:40] * big).astype(kind), ids[:40], (v * big).astype(kind), ids, 5)
+    for i in range(40):
+        order = sorted((-int(s), int(d)) for s, d in zip(full[i], ids) if d != ids[i])[:5]
+        assert [(-int(s), int(d)) for s, d in zip(score[at == i], who[at == i])] == order
