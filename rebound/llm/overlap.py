@@ -12,10 +12,10 @@ to share 21 or more segments, and so misses all with a chance below 1e-8.
 Small sets use their prefix in hash order instead, which two linked sets always
 share.  Components of sets with equal keys are the blocks.  Sets that share a
 common line or phrase can share a key by chance, and with enough texts such keys
-connect a large part of them to one block.  A block of ``LARGE`` times the task
-size is therefore cut again, by keys of more shingles each, of which a linked
-pair is expected to share as many.  A block that stays above the task size is
-dealt into parts, and each pair of parts is a task of its own.
+connect a large part of them to one block.  A block above the task size is
+therefore cut again, by keys of more shingles each, of which a linked pair is
+expected to share as many.  What stays above the task size is dealt into parts,
+and each pair of parts is a task of its own.
 
 Search inside a block.  Posting lists run from each shingle to the sets that
 hold it, by size.  For each set as query with overlap threshold T, the long
@@ -54,8 +54,8 @@ SMALL = 40
 SHARED = 21.0
 #: Shingles in a task's block, about.
 BLOCK = 500_000
-#: A block of more than so many times as much is cut again, by keys of about so many shingles.
-LARGE, SHARPER = 4, (8, 12, 16)
+#: A larger block is cut again, by keys of about so many shingles.
+SHARPER = (8, 12, 16)
 #: Such keys of a set and size class, about, where one table does not do; fewer shingles each if it takes more.
 KEYS = 2048
 #: Posting lists longer than this are probed rather than merged, as far as T allows.
@@ -279,9 +279,11 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 4, den: int =
     label = _blocks(keyed.select(F.explode("keys").alias("key"), "e1"))
     keyed.unpersist()
     cand = materialize(classes.where("rep is not null").join(label, "e1").select("rep", "e1", "n", "label"))
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(cand.select("rep", "e1"), "rep"), shared_path(docs.sparkSession, "texts"))
+    # Both sides travel by id, however few the candidates are: disk and time then grow evenly with the input.
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(cand.select("rep", "e1").hint("merge"), "rep")
+    texts = stored(texts, shared_path(docs.sparkSession, "texts"))
     for run in SHARPER:
-        large = cand.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > LARGE * block).select("label")
+        large = cand.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > block).select("label")
         if large.isEmpty():
             break
         label = _blocks(_sharper(texts.join(cand.join(large, "label", "left_semi").select("rep", "e1"), ["rep", "e1"]), size, num, den, run))
